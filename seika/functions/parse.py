@@ -23,28 +23,29 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_required_int(c):
+def parse_required_int(c, trim: bool = True):
     """S3: signed base-10 integer; blank or anything else is an error.
 
-    Returns (value BIGINT, ok BOOLEAN).
+    Returns (value BIGINT, ok BOOLEAN). ``trim=False`` when ``c`` is already trimmed.
     """
-    s = trim_unicode(c)
+    s = trim_unicode(c) if trim else _c(c)
     v = F.when(s.rlike(INT_SYNTAX), s.try_cast("bigint"))
     return v, v.isNotNull()
 
 
-def _nullable_number_text(c) -> Column:
+def nullable_number_text(c, trim: bool = True) -> Column:
     """Trim; '' and '-' mean NULL; thousands commas dropped."""
-    s = trim_unicode(c)
+    s = trim_unicode(c) if trim else _c(c)
     return F.when(~s.isin("", "-"), F.regexp_replace(s, ",", ""))
 
 
-def parse_nullable_float(c):
+def parse_nullable_float(c, prepared: bool = False):
     """S4: ''/'-' is NULL, commas dropped, decimal float syntax.
 
-    Returns (value DOUBLE, ok BOOLEAN); ok is true for NULL.
+    Returns (value DOUBLE, ok BOOLEAN); ok is true for NULL. ``prepared=True``
+    when ``c`` already went through ``nullable_number_text``.
     """
-    s = _nullable_number_text(c)
+    s = _c(c) if prepared else nullable_number_text(c)
     good = s.rlike(FLOAT_SYNTAX)
     v = F.when(good, s.try_cast("double"))
     # an out-of-range literal like 1e400 is an error in Go (ErrRange)
@@ -52,13 +53,13 @@ def parse_nullable_float(c):
     return v, s.isNull() | (good & finite)
 
 
-def parse_nullable_int(c):
+def parse_nullable_int(c, prepared: bool = False):
     """As S4, integer first, else float truncated toward zero (12.9 -> 12, -0.4 -> 0).
 
     Returns (value BIGINT, ok BOOLEAN). The value is 64-bit; whether it fits
     the stored INT is a load concern (I11), not a parse error.
     """
-    s = _nullable_number_text(c)
+    s = _c(c) if prepared else nullable_number_text(c)
     as_int = F.when(s.rlike(INT_SYNTAX), s.try_cast("bigint"))
     f = F.when(s.rlike(FLOAT_SYNTAX), s.try_cast("double"))
     truncated = F.when(f.isNotNull() & (F.abs(f) < F.lit(9.2e18)),
@@ -72,7 +73,7 @@ def parse_trade_date(year, month, day) -> Column:
     y, m, d = _c(year), _c(month), _c(day)
     in_range = y.between(1000, 9999) & m.between(1, 12) & d.between(1, 31)
     text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when(in_range, F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(in_range, F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def to_decimal_14_3(v) -> Column:

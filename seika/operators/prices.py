@@ -355,7 +355,7 @@ def coverage(star: Star):
                  F.col("r.id").alias("last_ingestion_run_id"),
                  F.col("r.status").alias("last_ingestion_status"),
                  F.col("r.run_type").alias("last_ingestion_run_type"),
-                 F.col("r.finished_at").alias("last_ingestion_at"))
+                 F.col("r.finished_at").alias("last_ingestion_finished_at"))
     # both sides are single-row aggregates
     return f.join(r, "_k", "left").drop("_k"), {}
 

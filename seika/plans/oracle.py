@@ -44,7 +44,10 @@ dim_market AS (SELECT row_number() OVER (ORDER BY market_code) AS id, market_cod
 dim_item AS (SELECT row_number() OVER (ORDER BY item_code) AS id, item_code, item_name
              FROM (SELECT item_code, max(item_name) AS item_name FROM rows_ GROUP BY 1)),
 dim_origin AS (SELECT row_number() OVER (ORDER BY origin_code) AS id, origin_code, origin_name
-               FROM (SELECT origin_code, max(origin_name) AS origin_name FROM rows_ GROUP BY 1))
+               FROM (SELECT origin_code, max(origin_name) AS origin_name FROM rows_ GROUP BY 1)),
+dim_grade AS (SELECT row_number() OVER (ORDER BY grade, class, product_name, unit_weight) AS id,
+                     grade, class, product_name, unit_weight
+              FROM (SELECT DISTINCT grade, class, product_name, unit_weight FROM rows_))
 """
 
 
@@ -160,3 +163,155 @@ def dim_sql(kind: str, q: str | None, sort: str, order: str, limit: int, offset:
     return with_fact(f"""
 SELECT id, {code} AS code, {name} AS name FROM dim_{kind} {where}
 ORDER BY {sort} {order} {nulls}{tie} LIMIT {limit} OFFSET {offset}""")
+
+
+# ------------------------------------------------------------------ ingest
+# Expected parse of the FIXTURES §4 dirty rows, computed from the clean rows
+# and the defect class g (no parsing involved).
+PARSED_CTES = """
+r AS (SELECT *, (day(trade_date) * 31 + source_row_no) % 50 AS g FROM rows_),
+parsed AS (
+  SELECT r.*,
+    CASE WHEN g = 0 THEN 'date' WHEN g = 1 THEN 'code' WHEN g = 2 THEN 'number'
+         WHEN g = 3 THEN 'negative' WHEN g <> 7 AND price_mid_yen < 10 THEN 'negative'
+         WHEN g = 4 THEN 'name' END AS reject_class
+  FROM r),
+acc AS (
+  SELECT trade_date, weekday_ja, market_code, replace(replace(market_name, ' ', ''), '　', '') AS market_name,
+    item_code, replace(replace(item_name, ' ', ''), '　', '') AS item_name,
+    CASE WHEN g = 5 THEN 'UNKNOWN' ELSE origin_code END AS origin_code,
+    CASE WHEN g = 5 THEN '不明' ELSE replace(replace(origin_name, ' ', ''), '　', '') END AS origin_name,
+    grade, class, product_name, unit_weight, item_total_ton, arrival_ton,
+    price_high_yen, price_mid_yen, CASE WHEN g = 7 THEN 0 ELSE price_low_yen END AS price_low_yen,
+    trend_label, source_file, source_row_no
+  FROM parsed WHERE reject_class IS NULL)
+"""
+
+PARSED_COLS = """trade_date, weekday_ja, market_code, market_name, item_code, item_name, origin_code, origin_name,
+  grade, class, product_name, unit_weight, CAST(item_total_ton AS DOUBLE) AS item_total_ton,
+  CAST(arrival_ton AS DOUBLE) AS arrival_ton, price_high_yen, price_mid_yen, price_low_yen, trend_label,
+  source_file, source_row_no"""
+
+
+def with_parsed(select_sql: str, extra: str = "") -> str:
+    return with_fact(select_sql, PARSED_CTES + ("," + extra if extra else ""))
+
+
+def parse_rows_sql() -> str:
+    return with_parsed(f"SELECT {PARSED_COLS} FROM acc")
+
+
+def quarantine_sql() -> str:
+    return with_parsed("SELECT reject_class, count(*) AS rows FROM parsed WHERE reject_class IS NOT NULL GROUP BY 1")
+
+
+def origin_counts_sql() -> str:
+    return with_parsed("SELECT origin_code, origin_name, count(*) AS rows FROM acc GROUP BY 1, 2")
+
+
+FILE_STATS = """
+fs AS (SELECT source_file AS file_path, count(*) AS rows_total,
+              count(*) FILTER (WHERE reject_class IS NULL) AS rows_ok,
+              count(*) FILTER (WHERE reject_class IS NOT NULL) AS rows_error
+       FROM parsed GROUP BY 1),
+files AS (SELECT row_number() OVER (ORDER BY y.run_id, fs.file_path) AS id, y.run_id, fs.*,
+                 CASE WHEN rows_error > 0 THEN 'partial_success' ELSE 'success' END AS status
+          FROM fs JOIN (SELECT y, row_number() OVER (ORDER BY y) AS run_id
+                        FROM (SELECT DISTINCT CAST(substr(file_path, 1, 4) AS INTEGER) AS y FROM fs)) y
+            ON y.y = CAST(substr(fs.file_path, 1, 4) AS INTEGER)),
+runs AS (SELECT run_id AS id, count(*) AS files, 0 AS failed_files, sum(rows_total) AS rows_total,
+                sum(rows_ok) AS rows_ok, sum(rows_error) AS rows_error, 'success' AS status,
+                CAST(NULL AS VARCHAR) AS error_message
+         FROM files GROUP BY run_id)
+"""
+
+
+def file_stats_sql() -> str:
+    return with_parsed("""
+SELECT source_file, count(*) AS rows_total, count(*) FILTER (WHERE reject_class IS NULL) AS rows_ok,
+  count(*) FILTER (WHERE reject_class IS NOT NULL) AS rows_error,
+  CASE WHEN count(*) FILTER (WHERE reject_class IS NOT NULL) > 0 THEN 'partial_success' ELSE 'success' END AS status
+FROM parsed GROUP BY 1""")
+
+
+def run_audit_sql(run_type: str) -> str:
+    return with_parsed(f"""
+SELECT id, '{run_type}' AS run_type, status, error_message, files, failed_files, rows_total, rows_ok, rows_error
+FROM runs""", FILE_STATS)
+
+
+def status_rollup_sql() -> str:
+    return with_parsed("""
+SELECT split_part(file_path, '/', 1) AS date_key, count(*) AS files, 0 AS failed_files,
+  sum(rows_total) AS rows_total, sum(rows_ok) AS rows_ok, sum(rows_error) AS rows_error
+FROM files GROUP BY 1""", FILE_STATS)
+
+
+def ingestion_runs_sql(run_type: str, limit: int, offset: int) -> str:
+    return with_parsed(f"""
+SELECT id, '{run_type}' AS run_type, status, error_message, rows_total
+FROM runs ORDER BY id DESC LIMIT {limit} OFFSET {offset}""", FILE_STATS)
+
+
+def ingestion_files_sql(run_id: int, limit: int, offset: int) -> str:
+    return with_parsed(f"""
+SELECT id, run_id, file_path, rows_total, rows_ok, rows_error, status
+FROM files WHERE run_id = {run_id} ORDER BY id DESC LIMIT {limit} OFFSET {offset}""", FILE_STATS)
+
+
+def coverage_sql(run_type: str) -> str:
+    return with_parsed(f"""
+SELECT strftime(min(trade_date), '%Y-%m-%d') AS earliest_trade_date,
+  strftime(max(trade_date), '%Y-%m-%d') AS latest_trade_date, count(*) AS fact_rows_total,
+  (SELECT max(id) FROM runs) AS last_ingestion_run_id,
+  (SELECT status FROM runs ORDER BY id DESC LIMIT 1) AS last_ingestion_status,
+  '{run_type}' AS last_ingestion_run_type
+FROM fact""", FILE_STATS)
+
+
+def dim_upsert_sql(kind: str) -> str:
+    code, name = f"{kind}_code", f"{kind}_name"
+    return with_parsed(f"""
+SELECT o.id, o.code AS {code}, coalesce(b.name, o.name) AS {name}, b.code IS NOT NULL AS updated
+FROM old o LEFT JOIN b ON b.code = o.code
+UNION ALL
+SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY b.code), b.code, b.name, true
+FROM b WHERE b.code NOT IN (SELECT code FROM old)""", f"""
+old AS (SELECT row_number() OVER (ORDER BY code) AS id, code, name
+        FROM (SELECT {code} AS code, max({name}) AS name FROM rows_
+              WHERE trade_date < DATE '1995-02-01' GROUP BY 1)),
+b AS (SELECT {code} AS code, max({name}) AS name FROM acc WHERE year(trade_date) = 1998 GROUP BY 1)""")
+
+
+def grade_upsert_sql() -> str:
+    k = "grade, class, product_name, unit_weight"
+    return with_parsed(f"""
+SELECT o.id, o.grade, o.class, o.product_name, o.unit_weight, b.grade IS NOT NULL AS updated
+FROM old o LEFT JOIN b USING (grade, class, product_name, unit_weight)
+UNION ALL
+SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY {k}), {k}, true
+FROM (SELECT * FROM b EXCEPT SELECT {k} FROM old)""", f"""
+old AS (SELECT row_number() OVER (ORDER BY {k}) AS id, {k}
+        FROM (SELECT DISTINCT {k} FROM rows_ WHERE trade_date < DATE '1995-02-01')),
+b AS (SELECT DISTINCT {k} FROM acc WHERE year(trade_date) = 1998)""")
+
+
+FACT_OUT = """trade_date, weekday_ja, market_code, item_code, origin_code, grade, class, product_name,
+  unit_weight, CAST(item_total_ton AS DOUBLE) AS item_total_ton, CAST(arrival_ton AS DOUBLE) AS arrival_ton,
+  price_high_yen, price_mid_yen, price_low_yen, trend_label, source_file, source_row_no"""
+
+
+def fact_upsert_sql() -> str:
+    return with_parsed(f"""
+SELECT {FACT_OUT}, false AS updated FROM fact f
+WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.source_file = f.source_file AND i.source_row_no = f.source_row_no)
+UNION ALL
+SELECT {FACT_OUT}, true AS updated FROM inc""", """
+inc AS (SELECT * FROM acc WHERE year(trade_date) = 1998)""")
+
+
+def surrogate_sql() -> str:
+    return with_fact("""
+SELECT f.source_file, f.source_row_no, m.id AS market_id, i.id AS item_id, o.id AS origin_id, gd.id AS grade_id
+FROM fact f JOIN dim_market m USING (market_code) JOIN dim_item i USING (item_code)
+JOIN dim_origin o USING (origin_code) JOIN dim_grade gd USING (grade, class, product_name, unit_weight)""")

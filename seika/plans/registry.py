@@ -183,3 +183,7 @@ def dim_items_search(spark, sf_dir):
 def resolve_codes(spark, sf_dir):
     """Code -> surrogate id of an item and a market."""
     return R.resolve_codes(_star(spark, sf_dir), ITEM, "M0001")
+
+
+# the other query groups register themselves on import
+from seika.plans import ingest_queries  # noqa: E402,F401

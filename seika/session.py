@@ -27,11 +27,17 @@ REQUIRED_CONF = {
 
 def build_session(master: str | None = None, app_name: str = "seika",
                   shuffle_partitions: int | None = None,
-                  extra: dict | None = None) -> SparkSession:
-    """Create (or join) a session with the library's required settings."""
+                  extra: dict | None = None, driver_memory: str | None = None) -> SparkSession:
+    """Create (or join) a session with the library's required settings.
+
+    ``driver_memory`` matters in local mode only, where the driver JVM runs
+    every task; on a cluster executor sizing comes from the cluster's confs.
+    """
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", driver_memory or os.environ.get("SEIKA_DRIVER_MEMORY", "16g"))
     b = b.config("spark.ui.enabled", "false")
     b = b.config("spark.sql.session.timeZone", "UTC")
     if shuffle_partitions:

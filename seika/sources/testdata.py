@@ -100,6 +100,12 @@ def _code_dim(rows: DataFrame, code: str, name: str) -> DataFrame:
                     F.lit(FIXED_LOADED_AT).alias("created_at"), F.lit(FIXED_LOADED_AT).alias("updated_at"))
 
 
+def _grade_dim(rows: DataFrame) -> DataFrame:
+    grade = number_rows(rows.select(*GRADE_KEY).distinct(), [], GRADE_KEY, out="id")
+    return grade.select("id", *GRADE_KEY, F.lit(FIXED_LOADED_AT).alias("created_at"),
+                        F.lit(FIXED_LOADED_AT).alias("updated_at"))
+
+
 def star(spark: SparkSession, sf_dir: str, with_row_no: bool = True) -> Star:
     """The warehouse as the ingest would leave it, built from the test tables.
 
@@ -113,9 +119,7 @@ def star(spark: SparkSession, sf_dir: str, with_row_no: bool = True) -> Star:
                              "updated_at": F.lit(FIXED_LOADED_AT)})
     dims = rows.select("market_code", "market_name", "item_code", "item_name",
                        "origin_code", "origin_name", *GRADE_KEY)
-    grade = number_rows(dims.select(*GRADE_KEY).distinct(), [], GRADE_KEY, out="id")
-    grade = grade.select("id", *GRADE_KEY, F.lit(FIXED_LOADED_AT).alias("created_at"),
-                         F.lit(FIXED_LOADED_AT).alias("updated_at"))
+    grade = _grade_dim(dims)
     return Star(fact=fact,
                 dim_market=_code_dim(dims, "market_code", "market_name"),
                 dim_item=_code_dim(dims, "item_code", "item_name"),
@@ -137,3 +141,57 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", "ts", F.lit("GET").alias("method"), path.alias("path"),
                      status.alias("status"), (F.col("value") / 50).alias("seconds"),
                      "event_type", k.alias("k"))
+
+
+# The column each defect class g = (day * 31 + row_no) % 50 touches (FIXTURES §4).
+DEFECTS = {
+    0: "month 13", 1: "blank market code", 2: "mid price 'abc'", 3: "arrival -5",
+    4: "item name U+3000", 5: "blank origin", 6: "mid price + '.9'", 7: "low price '-0.4'",
+    8: "high price with thousands commas", 9: "spaces around and inside market code",
+}
+
+
+def _txt(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIXTURES §4: the price rows rendered back to CSV text, with one defect
+    class per ``g = (day(trade_date) * 31 + source_row_no) % 50`` (``DEFECTS``).
+
+    Columns: the 20 required headers (all text) + ``source_file`` and
+    ``source_row_no``. Mid prices print as text, ``-`` when missing; high/low
+    are mid ± 10.
+    """
+    r = price_rows(spark, sf_dir, with_row_no=True)
+    g = (F.dayofmonth("trade_date") * 31 + F.col("source_row_no")) % 50
+    mid = F.col("price_mid_yen")
+    dash = lambda v: F.when(mid.isNull(), F.lit("-")).otherwise(v.cast("string"))
+    high = F.when(g == 8, F.format_number(mid + 10, 0)).otherwise(dash(mid + 10))
+    low = F.when(g == 7, F.lit("-0.4")).otherwise(dash(mid - 10))
+    mid_txt = (F.when(g == 2, F.lit("abc"))
+                .when((g == 6) & mid.isNotNull(), F.concat(mid.cast("string"), F.lit(".9")))
+                .otherwise(dash(mid)))
+    market_code = (F.when(g == 1, F.lit(""))
+                    .when(g == 9, F.concat(F.lit("　 "), F.substring("market_code", 1, 2), F.lit(" 　"),
+                                           F.expr("substring(market_code, 3)"), F.lit(" ")))
+                    .otherwise(F.col("market_code")))
+    return r.select(
+        F.year("trade_date").cast("string").alias("年"),
+        F.when(g == 0, F.lit("13")).otherwise(F.month("trade_date").cast("string")).alias("月"),
+        F.dayofmonth("trade_date").cast("string").alias("日"),
+        F.col("weekday_ja").alias("曜日"),
+        F.col("market_name").alias("市場名"),
+        market_code.alias("市場コード"),
+        F.when(g == 4, F.lit("　")).otherwise(F.col("item_name")).alias("品目名"),
+        F.col("item_code").alias("品目コード"),
+        F.when(g == 5, F.lit("")).otherwise(F.col("origin_name")).alias("産地名"),
+        F.when(g == 5, F.lit("")).otherwise(F.col("origin_code")).alias("産地コード"),
+        _txt(F.col("item_total_ton")).alias("品目計"),
+        F.when(g == 3, F.lit("-5")).otherwise(_txt(F.col("arrival_ton"))).alias("入荷量"),
+        high.alias("高値"), mid_txt.alias("中値"), low.alias("安値"),
+        F.col("grade").alias("等級"), F.col("class").alias("階級"),
+        F.col("product_name").alias("品名"), F.col("unit_weight").alias("量目"),
+        _txt(F.col("trend_label")).alias("動向"),
+        "source_file", "source_row_no",
+    )
