@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 20
@@ -32,6 +33,21 @@ def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
             .otherwise(_bucket_expr(key, bounds, mid + 1, hi))
 
 
+def _lit_as(v, dtype) -> Column:
+    """A literal of the column's exact type (timestamps go through text so no
+    time zone is applied)."""
+    if v is None:
+        return F.lit(None).cast(dtype)
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+        return F.lit(v.isoformat(sep=" ")).cast(dtype)
+    return F.lit(v).cast(dtype)
+
+
+def _bound_literals(df: DataFrame, keys: list[str], bounds: list[tuple]) -> list[Column]:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [F.struct(*[_lit_as(v, types[k]).alias(k) for k, v in zip(keys, b)]) for b in bounds]
+
+
 def bucket_bounds(df: DataFrame, keys: list[str], buckets: int, seed: int = 7) -> list[tuple]:
     """About ``buckets - 1`` key tuples splitting ``df`` into equal ranges,
     from a sample of ~20 keys per bucket (a bounded list on the driver)."""
@@ -65,7 +81,7 @@ def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str],
     keys = [*group_cols, *order_cols]
     bounds = bucket_bounds(df, keys, n)
     key = F.struct(*[F.col(k) for k in keys])
-    lits = [F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, b)]) for b in bounds]
+    lits = _bound_literals(df, keys, bounds)
     b = df.withColumn("_b", _bucket_expr(key, lits, 0, len(lits)) if lits else F.lit(0))
     w = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
     local = b.withColumn("_r", F.row_number().over(w))
@@ -76,3 +92,28 @@ def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str],
     return (numbered
             .withColumn(out, (F.col("_off") + F.col("_r") + F.lit(start - 1)).cast("bigint"))
             .drop("_b", "_r", "_off"))
+
+
+def running_sum(df: DataFrame, order_cols: list[str], values: dict[str, str],
+                buckets: int | None = None) -> DataFrame:
+    """``SUM(v) OVER (ORDER BY order_cols ROWS UNBOUNDED PRECEDING)`` for each
+    ``out: v`` in ``values``, over the whole frame without a single-partition
+    window: rows are bucketed by sampled key bounds, summed inside their
+    bucket, and shifted by the totals of all earlier buckets (a table of
+    ``buckets`` rows). ``order_cols`` must be unique and non-null per row."""
+    spark = df.sparkSession
+    n = min(MAX_BUCKETS, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = bucket_bounds(df, order_cols, n)
+    key = F.struct(*[F.col(k) for k in order_cols])
+    lits = _bound_literals(df, order_cols, bounds)
+    b = df.withColumn("_b", _bucket_expr(key, lits, 0, len(lits)) if lits else F.lit(0))
+    w = (Window.partitionBy("_b").orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = b.withColumns({f"_s_{o}": F.sum(v).over(w) for o, v in values.items()})
+    totals = b.groupBy("_b").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}")
+                                    for o in values])
+    out = local.join(F.broadcast(offsets), "_b")
+    out = out.withColumns({o: F.col(f"_o_{o}") + F.col(f"_s_{o}") for o in values})
+    return out.drop("_b", *[f"_s_{o}" for o in values], *[f"_o_{o}" for o in values])
