@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seika.functions.parse import (int32_overflow, nullable_number_text, parse_nullable_float,
@@ -23,7 +25,7 @@ from seika.functions.parse import (int32_overflow, nullable_number_text, parse_n
                                    to_decimal_14_3)
 from seika.functions.text import blank_to_default, normalize_code, trim_unicode
 from seika.operators.numbering import number_rows
-from seika.schemas import (CODE_DIMS, FACT_COLUMNS, FILE_FAILED, FILE_PARTIAL, FILE_SUCCESS,
+from seika.schemas import (CODE_DIMS, FACT_COLUMNS, Star, FILE_FAILED, FILE_PARTIAL, FILE_SUCCESS,
                            GRADE_KEY, MAX_LEN, REQUIRED_HEADERS, RUN_FAILED, RUN_PARTIAL,
                            RUN_SUCCESS, UNKNOWN_ORIGIN_CODE, UNKNOWN_ORIGIN_NAME)
 
@@ -292,3 +294,121 @@ def number_file_log(file_log: DataFrame, first_id: int | Column = 1) -> DataFram
     """File log ids in (run, file) order, continuing after ``first_id - 1``."""
     return number_rows(file_log, [], ["run_id", "file_path"], out="id", start=1).withColumn(
         "id", F.col("id") + (first_id if isinstance(first_id, Column) else F.lit(first_id)) - 1)
+
+
+# ------------------------------------------------------------ file batches
+
+@dataclass
+class IngestResult:
+    """Everything one ingest run produces, as lazy DataFrames."""
+    star: Star
+    file_log: DataFrame
+    run: DataFrame
+    rejects: DataFrame
+    parsed: DataFrame
+
+
+def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type: str = "manual_utf8",
+                 now: _dt.datetime | None = None, fail_fast: bool = False, ext: str = ".csv",
+                 width: int = 64) -> IngestResult | None:
+    """One ingest run over the CSV files below ``root``.
+
+    Returns None when there is no file (I16: skipped, not failed). Files with
+    a bad or empty header fail (I4); a date group with a load error fails as a
+    whole and loads nothing (I11); rows of failed files are never loaded
+    (I15). Dimensions and facts are upserted against ``existing`` (I9-I13);
+    the run and file log follow the reference's status rules (I8, I14).
+    """
+    from seika.sources import csv_files as C
+    now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    listing = C.list_files(spark, root, ext)
+    # the batch's file list: metadata only, one entry per file
+    paths = [r.abs_path for r in listing.select("abs_path").collect()]
+    if not paths:
+        return None
+    # Stage the batch once (the reference's temporary stage table): every
+    # later step reads the checkpointed records / parsed rows instead of
+    # re-reading and re-parsing the files. Reliable checkpoints live in the
+    # cluster's shared checkpoint folder, so a lost executor costs a re-read.
+    records = C.read_records(spark, root, paths, width).checkpoint(eager=True)
+    maps = C.header_maps(records, width).checkpoint(eager=True)
+    files = listing.select("file_path", "date_key").join(C.file_hashes(spark, root, ext), "file_path", "left")
+    header_err = (files.join(maps.select("file_path", "missing"), "file_path", "inner")
+                  .select("file_path", "date_key",
+                          F.when(F.col("missing").isNotNull(),
+                                 F.concat(F.lit("missing required column: "), F.col("missing")))
+                           .alias("error")))
+    no_header = files.join(maps.select("file_path"), "file_path", "left_anti").select(
+        "file_path", "date_key", F.lit("read header: EOF").alias("error"))
+    header_failed = header_err.where(F.col("error").isNotNull()).unionByName(no_header)
+    raw = C.labelled_rows(records, maps, width)
+    parsed = parse_rows(raw).checkpoint(eager=True)
+    poison = group_poison(parsed, "date_key", "source_file")
+    group_failed = files.join(poison, "date_key").select(
+        "file_path", "date_key", F.col("group_error").alias("error"))
+    failed = (header_failed.unionByName(group_failed)
+              .groupBy("file_path").agg(F.min("error").alias("error")))
+    stats = (files.join(parsed.groupBy(F.col("source_file").alias("file_path")).agg(
+        F.count(F.lit(1)).alias("rows_total"),
+        F.count_if(F.col("reject_reason").isNull()).alias("rows_ok"),
+        F.count_if(F.col("reject_reason").isNotNull()).alias("rows_error")), "file_path", "left")
+        .join(failed, "file_path", "left")
+        .na.fill(0, ["rows_total", "rows_ok", "rows_error"]))
+    stats = stats.withColumn("status", F.when(F.col("error").isNotNull(), F.lit(FILE_FAILED))
+                             .when(F.col("rows_error") > 0, F.lit(FILE_PARTIAL)).otherwise(F.lit(FILE_SUCCESS)))
+    ok_rows = loadable(parsed.withColumnRenamed("source_file", "file_path"),
+                       failed.select("file_path"), poison, "date_key", "file_path") \
+        .withColumnRenamed("file_path", "source_file")
+    empty = existing is None
+    if empty:
+        existing = empty_star(spark)
+    ts = F.lit(now).cast("timestamp")
+    dims = {k: upsert_code_dimension(existing.dim(k), ok_rows, k, now) for k in CODE_DIMS}
+    grade = upsert_grade_dimension(existing.dim_grade, ok_rows, now)
+    fact_in = fact_rows(ok_rows.withColumn("load_month", load_month(F.col("date_key"))), now)
+    old_fact = existing.fact
+    if "load_month" not in old_fact.columns:
+        old_fact = old_fact.withColumn("load_month", load_month(F.split("source_file", "/").getItem(0)))
+    fact = merge_facts(old_fact, fact_in.select(*old_fact.columns))
+    run_id = (existing.runs.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+              if existing.runs is not None else F.lit(1))
+    first_file_id = (existing.files.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+                     if existing.files is not None else F.lit(1))
+    log = number_rows(stats.withColumn("run_id", run_id), [], ["file_path"], out="_n")
+    log = log.select((F.col("_n") + first_file_id - 1).cast("bigint").alias("id"),
+                     F.col("run_id").cast("bigint").alias("run_id"), "file_path",
+                     F.coalesce("file_hash", F.lit("")).alias("file_hash"),
+                     *[F.col(c).cast("int").alias(c) for c in ("rows_total", "rows_ok", "rows_error")],
+                     "status", "error", ts.alias("created_at"), ts.alias("updated_at"))
+    run = run_summary(log, ["run_id"], fail_fast).select(
+        F.col("run_id").alias("id"), F.lit(run_type).alias("run_type"), ts.alias("started_at"),
+        ts.alias("finished_at"), "status", "error_message", ts.alias("created_at"), ts.alias("updated_at"))
+    runs = run if existing.runs is None else existing.runs.select(*run.columns).unionByName(run)
+    files_all = (log.drop("error") if existing.files is None
+                 else existing.files.select(*log.drop("error").columns).unionByName(log.drop("error")))
+    new = Star(fact=fact, dim_market=dims["market"], dim_item=dims["item"], dim_origin=dims["origin"],
+               dim_grade=grade, runs=runs, files=files_all)
+    return IngestResult(star=new, file_log=log, run=run, rejects=rejected(parsed), parsed=parsed)
+
+
+def load_month(date_key: Column) -> Column:
+    """Fact partition of a file: the month of its date folder (YYYYMM), so a
+    corrected trade date never moves a row across partitions."""
+    m = F.regexp_extract(date_key, r"(\d{6})\d{2}$", 1)
+    return F.when(m != "", m).otherwise(F.lit("unknown"))
+
+
+def empty_star(spark: SparkSession) -> Star:
+    """A warehouse with no rows, in the stored schemas."""
+    from seika.schemas import FACT_SCHEMA
+    ts = "created_at timestamp, updated_at timestamp"
+
+    def e(ddl):
+        return spark.createDataFrame([], ddl)
+    fact = spark.createDataFrame([], FACT_SCHEMA).withColumn("load_month", F.lit(None).cast("string"))
+    return Star(fact=fact,
+                dim_market=e(f"id bigint, market_code string, market_name string, {ts}"),
+                dim_item=e(f"id bigint, item_code string, item_name string, {ts}"),
+                dim_origin=e(f"id bigint, origin_code string, origin_name string, {ts}"),
+                dim_grade=e(f"id bigint, grade string, class string, product_name string, unit_weight string, {ts}"),
+                runs=None, files=None)

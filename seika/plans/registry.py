@@ -188,3 +188,4 @@ def resolve_codes(spark, sf_dir):
 # the other query groups register themselves on import
 from seika.plans import ingest_queries  # noqa: E402,F401
 from seika.plans import monitor_queries  # noqa: E402,F401
+from seika.plans import file_queries  # noqa: E402,F401

@@ -195,3 +195,45 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _txt(F.col("trend_label")).alias("動向"),
         "source_file", "source_row_no",
     )
+
+
+# Landing-zone defects added to the CSV files written from the raw rows.
+DEFECT_DAY_MISSING_HEADER = 13     # a second file per such date lacks the 動向 column
+DEFECT_DAY_POISON = 7              # a third file per such date holds one over-length market code
+POISON_CODE = "X" * 40
+
+
+def landing_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Write the FIXTURES §4 rows as daily CSV files (one folder per date,
+    header row, columns in reverse order) below the shared checkpoint folder
+    and return the root. Per date folder: the day's file, plus a file without
+    the 動向 header on day 13 and a one-row file with an over-length market
+    code on day 7. Written once per ``sf_dir`` (a ``_LANDED`` marker)."""
+    import hashlib
+    import os
+
+    from seika.session import checkpoint_dir
+    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
+    root = f"{checkpoint_dir(spark).rstrip('/')}/seika-landing/{os.path.basename(sf_dir.rstrip('/'))}-{tag}"
+    fs_root = root[len("file:"):] if root.startswith("file:") else root
+    if os.path.exists(os.path.join(fs_root, "_LANDED")):
+        return root
+    raw = raw_rows(spark, sf_dir).withColumn("d", F.date_format(
+        F.to_date(F.substring("source_file", 1, 8), "yyyyMMdd"), "yyyyMMdd"))
+    headers = [c for c in raw.columns if c not in ("source_file", "source_row_no", "d")]
+    day = F.substring("d", 7, 2).cast("int")
+
+    def write(df, mode):
+        (df.repartition("d").sortWithinPartitions("d", "source_row_no")
+           .drop("source_file", "source_row_no")
+           .write.mode(mode).option("header", "true").option("encoding", "UTF-8")
+           .partitionBy("d").csv(root))
+    write(raw.select(*reversed(headers), "source_file", "source_row_no", "d"), "overwrite")
+    write(raw.where(day == DEFECT_DAY_MISSING_HEADER)
+             .select(*[h for h in headers if h != "動向"], "source_file", "source_row_no", "d"), "append")
+    write(raw.where((day == DEFECT_DAY_POISON) & (F.col("source_row_no") == 2))
+             .withColumn("市場コード", F.lit(POISON_CODE))
+             .select(*headers, "source_file", "source_row_no", "d"), "append")
+    with open(os.path.join(fs_root, "_LANDED"), "w") as f:
+        f.write("ok\n")
+    return root
