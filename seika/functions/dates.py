@@ -54,3 +54,15 @@ def add_date(d: _dt.date, years: int = 0, months: int = 0, days: int = 0) -> _dt
 def recent_from(as_of: _dt.date, window_days: int = 31) -> _dt.date:
     """Default lower bound ``as_of - 31 days``; ``as_of`` replaces the clock."""
     return as_of - _dt.timedelta(days=window_days)
+
+
+def ntz_as_utc_instant(c: str) -> Column:
+    """TIMESTAMP_NTZ wall time read as UTC -> TIMESTAMP (an instant), with no
+    dependence on the session time zone (watermarks need TIMESTAMP)."""
+    return F.timestamp_micros(
+        F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"))
+
+
+def instant_as_utc_ntz(c: str) -> Column:
+    """TIMESTAMP instant -> its UTC wall time as TIMESTAMP_NTZ."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), TIMESTAMP_NTZ'1970-01-01 00:00:00')")

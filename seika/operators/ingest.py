@@ -310,10 +310,12 @@ class IngestResult:
 
 def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type: str = "manual_utf8",
                  now: _dt.datetime | None = None, fail_fast: bool = False, ext: str = ".csv",
-                 width: int = 64) -> IngestResult | None:
+                 width: int = 64, only: list[str] | None = None) -> IngestResult | None:
     """One ingest run over the CSV files below ``root``.
 
-    Returns None when there is no file (I16: skipped, not failed). Files with
+    ``only`` restricts the run to these files (absolute paths, e.g. the new
+    files of a streaming micro-batch). Returns None when there is no file
+    (I16: skipped, not failed). Files with
     a bad or empty header fail (I4); a date group with a load error fails as a
     whole and loads nothing (I11); rows of failed files are never loaded
     (I15). Dimensions and facts are upserted against ``existing`` (I9-I13);
@@ -322,6 +324,8 @@ def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type
     from seika.sources import csv_files as C
     now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     listing = C.list_files(spark, root, ext)
+    if only is not None:
+        listing = listing.where(F.col("abs_path").isin([C.strip_scheme_text(p) for p in only]))
     # the batch's file list: metadata only, one entry per file
     paths = [r.abs_path for r in listing.select("abs_path").collect()]
     if not paths:

@@ -105,41 +105,52 @@ def db_calls_from_requests(requests: DataFrame) -> DataFrame:
                            (F.col("status") == 500).alias("error"))
 
 
-def monitor_snapshots(requests: DataFrame, runs: DataFrame | None = None,
-                      tick: str = TICK) -> DataFrame:
-    """M5: one snapshot per tick holding requests: readiness (0 when the tick
-    has a failed ``/ready``), running totals of requests, 5xx and DB errors,
-    the p95 bound of all latencies so far, and the latest run status
-    (``unknown`` when there is none).
-
-    Per-tick partial counts are aggregated first; the running totals then run
-    over the tick table with the bucketed running sum.
-    """
+def tick_counts(requests: DataFrame, tick: str = TICK) -> DataFrame:
+    """Per-tick partial counts of M5 (one row per tick holding requests):
+    requests, 5xx, DB errors, whether a ``/ready`` failed, and the latency
+    bucket counts. Works on a batch or a streaming request log."""
     r = classify(requests)
-    t = (r.groupBy(F.window("ts", tick).alias("w"))
-          .agg(F.count(F.lit(1)).alias("n"),
-               F.count_if(F.col("status_class") == "5xx").alias("n5xx"),
-               F.count_if(F.col("status") == 500).alias("ndb"),
-               F.max((F.col("path") == "/ready") & (F.col("status") >= 500)).alias("ready_failed"),
-               *[F.count_if(F.col("seconds") <= F.lit(b)).alias(f"_le{i}") for i, b in enumerate(BUCKETS)])
-          .select(F.col("w.end").alias("tick_end"), "*").drop("w"))
+    return (r.groupBy(F.window("ts", tick).alias("w"))
+             .agg(F.count(F.lit(1)).alias("n"),
+                  F.count_if(F.col("status_class") == "5xx").alias("n5xx"),
+                  F.count_if(F.col("status") == 500).alias("ndb"),
+                  F.max((F.col("path") == "/ready") & (F.col("status") >= 500)).alias("ready_failed"),
+                  *[F.count_if(F.col("seconds") <= F.lit(b)).alias(f"_le{i}") for i, b in enumerate(BUCKETS)])
+             .select(F.col("w.end").alias("tick_end"), "*").drop("w"))
+
+
+def snapshots_from_ticks(t: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """M5 from the tick table: running totals over ticks (bucketed running
+    sum), the p95 bound of all latencies so far, readiness and run status."""
     sums = {"http_total": "n", "http_5xx": "n5xx", "db_errors_total": "ndb",
             **{f"_cum{i}": f"_le{i}" for i in range(len(BUCKETS))}}
     t = running_sum(t, ["tick_end"], sums)
     cum = [F.col(f"_cum{i}") for i in range(len(BUCKETS))] + [F.col("http_total")]
     idx = _p95_from_cumulative(cum, F.col("http_total"))
     out = t.select(
-        F.date_format("tick_end", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "tick_end",
+        F.date_format("tick_end", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         F.when(F.col("ready_failed"), 0).otherwise(1).alias("ready_ok"),
         F.col("http_total").cast("bigint").alias("http_total"),
         F.col("http_5xx").cast("bigint").alias("http_5xx"),
         F.col("db_errors_total").cast("bigint").alias("db_errors_total"),
         _p95_ms(idx).cast("int").alias("http_p95_ms"))
     if runs is None:
-        return out.withColumn("ingestion_latest_status", F.lit("unknown")).drop("tick_end")
+        return out.withColumn("ingestion_latest_status", F.lit("unknown"))
     last = runs.agg(F.max_by("status", "id").alias("s"))
-    return out.withColumn("ingestion_latest_status",
-                          F.coalesce(last.scalar(), F.lit("unknown"))).drop("tick_end")
+    return out.withColumn("ingestion_latest_status", F.coalesce(last.scalar(), F.lit("unknown")))
+
+
+def monitor_snapshots(requests: DataFrame, runs: DataFrame | None = None,
+                      tick: str = TICK) -> DataFrame:
+    """M5: one snapshot per tick holding requests: readiness (0 when the tick
+    has a failed ``/ready``), running totals of requests, 5xx and DB errors,
+    the p95 bound of all latencies so far, and the latest run status
+    (``unknown`` when there is none).
+
+    Per-tick partial counts are aggregated first; the running totals then run
+    over the tick table with the bucketed running sum.
+    """
+    return snapshots_from_ticks(tick_counts(requests, tick), runs)
 
 
 def snapshot_deltas(snapshots: DataFrame, recent: int = RECENT_ROWS) -> DataFrame:

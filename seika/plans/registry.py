@@ -190,3 +190,4 @@ from seika.plans import ingest_queries  # noqa: E402,F401
 from seika.plans import monitor_queries  # noqa: E402,F401
 from seika.plans import file_queries  # noqa: E402,F401
 from seika.plans import misc_queries  # noqa: E402,F401
+from seika.plans import stream_queries  # noqa: E402,F401

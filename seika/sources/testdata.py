@@ -129,7 +129,11 @@ def star(spark: SparkSession, sf_dir: str, with_row_no: bool = True) -> Star:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIXTURES §5: the request log re-labelled from ``events``."""
-    ev = read_table(spark, sf_dir, "events")
+    return requests_from_events(read_table(spark, sf_dir, "events"))
+
+
+def requests_from_events(ev: DataFrame) -> DataFrame:
+    """The FIXTURES §5 mapping on any events frame (batch or streaming)."""
     k = F.get_json_object("props", "$.k").cast("int")
     path = (F.when(F.col("event_type") == "view", "/v1/prices/latest")
              .when(F.col("event_type") == "click", "/v1/prices/daily")
