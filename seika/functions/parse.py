@@ -47,10 +47,10 @@ def parse_nullable_float(c, prepared: bool = False):
     """
     s = _c(c) if prepared else nullable_number_text(c)
     good = s.rlike(FLOAT_SYNTAX)
-    v = F.when(good, s.try_cast("double"))
+    raw = F.when(good, s.try_cast("double"))
     # an out-of-range literal like 1e400 is an error in Go (ErrRange)
-    finite = v.isNotNull() & (F.abs(v) <= F.lit(1.7976931348623157e308))
-    return v, s.isNull() | (good & finite)
+    finite = raw.isNotNull() & (F.abs(raw) <= F.lit(1.7976931348623157e308))
+    return F.when(finite, raw), s.isNull() | (good & finite)
 
 
 def parse_nullable_int(c, prepared: bool = False):
