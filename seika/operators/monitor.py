@@ -96,7 +96,9 @@ def p95_from_buckets(histogram: DataFrame) -> DataFrame:
     cum = [F.coalesce(F.col(f"_c{i}"), F.lit(0)) for i in range(len(BUCKET_LABELS))]
     idx = _p95_from_cumulative(cum, cum[-1])
     labels = F.array(*[F.lit(x) for x in BUCKET_LABELS])
-    return wide.select(F.element_at(labels, idx + 1).alias("p95_le"), _p95_ms(idx).alias("p95_ms"))
+    # explicit NULL guard: element_at on a literal array does not give NULL for a NULL index
+    return wide.select(F.when(idx.isNotNull(), F.element_at(labels, idx + 1)).alias("p95_le"),
+                       _p95_ms(idx).alias("p95_ms"))
 
 
 def db_calls_from_requests(requests: DataFrame) -> DataFrame:
