@@ -36,7 +36,7 @@ def parse_required_int(c, trim: bool = True):
 def nullable_number_text(c, trim: bool = True) -> Column:
     """Trim; '' and '-' mean NULL; thousands commas dropped."""
     s = trim_unicode(c) if trim else _c(c)
-    return F.when(~s.isin("", "-"), F.regexp_replace(s, ",", ""))
+    return F.when(~s.isin("", "-"), F.replace(s, F.lit(","), F.lit("")))
 
 
 def parse_nullable_float(c, prepared: bool = False):

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space as Go's unicode.IsSpace sees it equals the
-# Java regex class \s under UNICODE_CHARACTER_CLASS ((?U)), which includes
-# U+0085, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
-_EDGE_SPACE = r"(?U)\A\s+|\s+\z"
+# Unicode white space as Go's unicode.IsSpace sees it: TAB, LF,
+# VT, FF, CR, space, U+0085, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029,
+# U+202F, U+205F, U+3000. The Java regex class \s under (?U) is the same set.
+UNICODE_SPACES = ("\t\n\x0b\x0c\r \x85\xa0\u1680"
+                  + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
 _ANY_SPACE_RUN = r"(?U)\s+"
 # Characters removed inside codes and names: ASCII space and ideographic space.
 _INNER_SPACES = " 　"
@@ -24,8 +26,9 @@ def _c(c) -> Column:
 
 
 def trim_unicode(c) -> Column:
-    """Strip leading/trailing Unicode white space (Spark ``trim`` strips ASCII only)."""
-    return F.regexp_replace(_c(c), _EDGE_SPACE, "")
+    """Strip leading/trailing Unicode white space (plain ``trim`` strips
+    only the ASCII space); ``btrim`` over the fixed set, no regex."""
+    return F.btrim(_c(c), F.lit(UNICODE_SPACES))
 
 
 def normalize_code(c) -> Column:

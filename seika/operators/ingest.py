@@ -251,19 +251,31 @@ def fact_rows(rows: DataFrame, now: _dt.datetime) -> DataFrame:
                        ts.alias("updated_at"))
 
 
-def merge_facts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def merge_facts(existing: DataFrame, incoming: DataFrame, partition_col: str | None = None,
+                touched: list[str] | None = None) -> DataFrame:
     """Upsert on (source_file, source_row_no). Incoming rows replace
     measures, keys, ``ingested_at`` and ``updated_at``; ``created_at`` of an
     existing row is kept; existing rows absent from the batch are kept (a
     shorter re-send deletes nothing). Incoming keys must be unique.
+
+    With ``partition_col``/``touched`` (the partitions the batch's files map
+    to; a file's key fixes its partition) the joins read only those
+    partitions of the existing table; the other partitions pass through
+    untouched (and a partition-scoped publish never reads them).
     """
     key = ["source_file", "source_row_no"]
     cols = [c for c in existing.columns]
+    rest = None
+    if partition_col and touched is not None:
+        in_batch = F.col(partition_col).isin(touched)
+        rest = existing.where(~in_batch)
+        existing = existing.where(in_batch)
     old_created = existing.select(*key, F.col("created_at").alias("_old_created"))
     upd = incoming.join(old_created, key, "left").withColumn(
         "created_at", F.coalesce(F.col("_old_created"), F.col("created_at"))).drop("_old_created")
     untouched = existing.join(incoming.select(*key), key, "left_anti")
-    return untouched.select(*cols).unionByName(upd.select(*cols))
+    out = untouched.select(*cols).unionByName(upd.select(*cols))
+    return out if rest is None else rest.select(*cols).unionByName(out)
 
 
 # ------------------------------------------------------------ audit
@@ -306,6 +318,7 @@ class IngestResult:
     run: DataFrame
     rejects: DataFrame
     parsed: DataFrame
+    touched: list = None       # fact partitions (load_month) the run may change
 
 
 def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type: str = "manual_utf8",
@@ -327,7 +340,9 @@ def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type
     if only is not None:
         listing = listing.where(F.col("abs_path").isin([C.strip_scheme_text(p) for p in only]))
     # the batch's file list: metadata only, one entry per file
-    paths = [r.abs_path for r in listing.select("abs_path").collect()]
+    listed = listing.select("abs_path", "date_key").collect()
+    paths = [r.abs_path for r in listed]
+    date_keys = {r.date_key for r in listed}
     if not paths:
         return None
     # Stage the batch once (the reference's temporary stage table): every
@@ -373,7 +388,9 @@ def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type
     old_fact = existing.fact
     if "load_month" not in old_fact.columns:
         old_fact = old_fact.withColumn("load_month", load_month(F.split("source_file", "/").getItem(0)))
-    fact = merge_facts(old_fact, fact_in.select(*old_fact.columns))
+    # months of this batch's files (from the listing): the fact partitions it can touch
+    touched = sorted({_month_of(dk) for dk in date_keys})
+    fact = merge_facts(old_fact, fact_in.select(*old_fact.columns), "load_month", touched)
     run_id = (existing.runs.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
               if existing.runs is not None else F.lit(1))
     first_file_id = (existing.files.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
@@ -392,7 +409,15 @@ def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type
                  else existing.files.select(*log.drop("error").columns).unionByName(log.drop("error")))
     new = Star(fact=fact, dim_market=dims["market"], dim_item=dims["item"], dim_origin=dims["origin"],
                dim_grade=grade, runs=runs, files=files_all)
-    return IngestResult(star=new, file_log=log, run=run, rejects=rejected(parsed), parsed=parsed)
+    return IngestResult(star=new, file_log=log, run=run, rejects=rejected(parsed), parsed=parsed,
+                        touched=touched)
+
+
+def _month_of(date_key: str) -> str:
+    """``load_month`` of a date folder name, on the driver (same rule as below)."""
+    import re
+    m = re.search(r"(\d{6})\d{2}$", date_key or "")
+    return m.group(1) if m else "unknown"
 
 
 def load_month(date_key: Column) -> Column:

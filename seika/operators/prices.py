@@ -64,10 +64,15 @@ def _where(df: DataFrame, pred: Column | None) -> DataFrame:
     return df if pred is None else df.where(pred)
 
 
-def _with_names(df: DataFrame, star: Star, kinds=("market", "item", "origin")) -> DataFrame:
+def _with_names(df: DataFrame, star: Star, kinds=("market", "item", "origin"),
+                bounded: bool = False) -> DataFrame:
     """Attach dimension names to a small result by code (inner join, as the
-    reference's join to its dimensions). The result side is small; the planner
-    broadcasts whichever side its size statistics allow."""
+    reference's join to its dimensions). ``bounded`` states that ``df`` is a
+    page or top-k (at most ``limit`` rows, limit <= 2000): it is then broadcast
+    and the dimension streamed, so a large dimension is never shuffled for a
+    page. Otherwise the planner picks the side from its size statistics."""
+    if bounded:
+        df = F.broadcast(df)
     for kind in kinds:
         code, name = CODE_DIMS[kind]
         df = df.join(star.dim(kind).select(code, name), on=code, how="inner")
@@ -123,7 +128,7 @@ def prices_daily(star: Star, item_code, market_code=None, origin_code=None, date
     df_ = P.date_filter(date, from_, to, as_of, include_single_date=True)
     fact = _where(_code_filters(star.fact, item_code, market_code, origin_code), df_.predicate)
     page = fact.orderBy(*keys).offset(off).limit(lim)
-    out = _daily_select(_with_names(page, star).orderBy(*keys))
+    out = _daily_select(_with_names(page, star, bounded=True).orderBy(*keys))
     return out, P.result_meta(limit=lim, offset=off, default_from=df_.default_from)
 
 
@@ -148,7 +153,7 @@ def prices_latest(star: Star, item_code, market_code=None, origin_code=None, sor
     on_latest = fact.where(F.col("trade_date") == latest)
     total = on_latest.agg(F.count(F.lit(1))).scalar()
     page = on_latest.orderBy(*keys).offset(off).limit(lim).withColumn("total_count", total)
-    out = _daily_select(_with_names(page, star).orderBy(*keys))
+    out = _daily_select(_with_names(page, star, bounded=True).orderBy(*keys))
     meta = P.result_meta(limit=lim, offset=off)
     meta["latest_trade_date"] = lambda: _first(fact.agg(date_text(F.max("trade_date"))))
     meta["total"] = lambda: (_first(out.select("total_count").limit(1)) or 0)
@@ -307,7 +312,7 @@ def rank_items(star: Star, date=None, metric=None, order=None, limit=None, marke
         top = agg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= lim).drop("_r")
     else:
         top = agg.orderBy(*rank_keys).limit(lim)
-    out = _with_names(top, star, ("item",))
+    out = _with_names(top, star, ("item",), bounded=not all_dates)
     lead = [date_text("trade_date").alias("trade_date")] if all_dates else []
     out = out.select(*lead, "item_code", "item_name", "rows_count",
                      round2("metric_value").alias("metric_value"))
