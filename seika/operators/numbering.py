@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 
 MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 20
+# Inputs up to this many rows are numbered in one bucket (one bounded task per
+# group); larger inputs get sampled bucket bounds.
+ONE_BUCKET_ROWS = 50_000
 
 
 def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
@@ -53,7 +56,7 @@ def bucket_bounds(df: DataFrame, keys: list[str], buckets: int, seed: int = 7) -
     from a sample of ~20 keys per bucket (a bounded list on the driver)."""
     kdf = df.select(*keys)
     total = kdf.count()
-    if total == 0 or buckets <= 1:
+    if total <= ONE_BUCKET_ROWS or buckets <= 1:
         return []
     frac = min(1.0, SAMPLE_PER_BUCKET * buckets / total)
     sample = [tuple(r) for r in kdf.sample(False, frac, seed).orderBy(*keys).collect()]

@@ -191,3 +191,24 @@ from seika.plans import monitor_queries  # noqa: E402,F401
 from seika.plans import file_queries  # noqa: E402,F401
 from seika.plans import misc_queries  # noqa: E402,F401
 from seika.plans import stream_queries  # noqa: E402,F401
+
+
+@register("date_filter", O.with_fact(
+    "SELECT item_code, count(*) AS rows FROM fact WHERE trade_date >= DATE '1998-11-30' GROUP BY 1"))
+def date_filter_default_window(spark, sf_dir):
+    """With no date, from or to, the default window starts 31 days before
+    as_of (S13); rows per item inside it."""
+    from pyspark.sql import functions as F
+
+    from seika.plans import params as P
+    f = P.date_filter(as_of=AS_OF)
+    st = _star(spark, sf_dir)
+    return st.fact.where(f.predicate).groupBy("item_code").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("param_clamp", O.dim_sql("market", None, "market_code", "DESC", 500, 0))
+def param_clamp(spark, sf_dir):
+    """Out-of-range paging parameters are clamped (limit 99999 -> 500,
+    offset -5 -> 0) and an unknown order word means DESC."""
+    return R.dimension_list(_star(spark, sf_dir), "market", sort="code", order="sideways",
+                            limit="99999", offset="-5")[0]
