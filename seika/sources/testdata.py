@@ -217,10 +217,10 @@ def landing_csv(spark: SparkSession, sf_dir: str) -> str:
     import os
 
     from seika.session import checkpoint_dir
+    from seika.sources import fs
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
     root = f"{checkpoint_dir(spark).rstrip('/')}/seika-landing/{os.path.basename(sf_dir.rstrip('/'))}-{tag}"
-    fs_root = root[len("file:"):] if root.startswith("file:") else root
-    if os.path.exists(os.path.join(fs_root, "_LANDED")):
+    if fs.exists(spark, f"{root}/_LANDED"):
         return root
     raw = raw_rows(spark, sf_dir).withColumn("d", F.date_format(
         F.to_date(F.substring("source_file", 1, 8), "yyyyMMdd"), "yyyyMMdd"))
@@ -238,6 +238,5 @@ def landing_csv(spark: SparkSession, sf_dir: str) -> str:
     write(raw.where((day == DEFECT_DAY_POISON) & (F.col("source_row_no") == 2))
              .withColumn("市場コード", F.lit(POISON_CODE))
              .select(*headers, "source_file", "source_row_no", "d"), "append")
-    with open(os.path.join(fs_root, "_LANDED"), "w") as f:
-        f.write("ok\n")
+    fs.write_marker(spark, f"{root}/_LANDED")
     return root

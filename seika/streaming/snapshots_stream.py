@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from seika.functions.dates import instant_as_utc_ntz, ntz_as_utc_instant
 from seika.operators import monitor as M
-from seika.sources.warehouse import Warehouse, _exists
+from seika.sources import fs
+from seika.sources.warehouse import Warehouse
 
 TICKS = "monitor_ticks"
 
@@ -37,7 +38,7 @@ def start_snapshot_stream(spark: SparkSession, requests: DataFrame, table_root:
         days = [r[0] for r in b.select("day").distinct().collect()]
         if not days:
             return
-        if _exists(wh.path(TICKS)):
+        if fs.exists(spark, wh.path(TICKS)):
             old = spark.read.parquet(wh.path(TICKS)).where(F.col("day").isin(days))
             b = old.join(b.select("tick_end"), "tick_end", "left_anti").unionByName(b)
         wh.replace_partitions(TICKS, b, "day", days, ["tick_end"])
