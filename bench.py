@@ -25,7 +25,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from seika.operators import ingest as I  # noqa: E402
 from seika.operators import monitor as M  # noqa: E402
 from seika.operators import prices as R  # noqa: E402
-from seika.session import build_session, checkpoint_dir  # noqa: E402
+from seika.session import build_session, checkpoint_dir, stage  # noqa: E402
 from seika.sources import testdata as TD  # noqa: E402
 from seika.sources.warehouse import Warehouse  # noqa: E402
 
@@ -55,7 +55,7 @@ def main() -> None:
     wh = Warehouse(spark, f"{checkpoint_dir(spark).rstrip('/')}/seika-bench/{uuid.uuid4().hex[:10]}")
 
     t0 = time.perf_counter()
-    wh.write_star(TD.star(spark, SF_DIR, with_row_no=True))
+    wh.write_star(TD.star(spark, SF_DIR, with_row_no=True, materialize=True))
     times["load_warehouse"] = round(time.perf_counter() - t0, 3)
     st = wh.read()
 
@@ -76,9 +76,9 @@ def main() -> None:
     for name, build in q.items():
         times[name] = timed(lambda b=build: run(b()))
 
-    raw = TD.raw_rows(spark, SF_DIR).checkpoint(eager=True)
+    raw = stage(TD.raw_rows(spark, SF_DIR), "bench-raw")
     times["parse_rows_quarantine"] = timed(lambda: run(I.parse_rows(raw)))
-    req = TD.requests(spark, SF_DIR).checkpoint(eager=True)
+    req = stage(TD.requests(spark, SF_DIR), "bench-requests")
     times["monitor_snapshots"] = timed(lambda: run(M.monitor_snapshots(req)))
     times["latency_histogram"] = timed(lambda: run(M.latency_histogram(req)))
 

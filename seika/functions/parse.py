@@ -46,11 +46,19 @@ def parse_nullable_float(c, prepared: bool = False):
     when ``c`` already went through ``nullable_number_text``.
     """
     s = _c(c) if prepared else nullable_number_text(c)
-    good = s.rlike(FLOAT_SYNTAX)
-    raw = F.when(good, s.try_cast("double"))
-    # an out-of-range literal like 1e400 is an error in Go (ErrRange)
-    finite = raw.isNotNull() & (F.abs(raw) <= F.lit(1.7976931348623157e308))
-    return F.when(finite, raw), s.isNull() | (good & finite)
+    raw = float_candidate(s)
+    return checked_float(raw), s.isNull() | checked_float(raw).isNotNull()
+
+
+def float_candidate(s: Column) -> Column:
+    """The double of a number text that has the accepted syntax, else NULL
+    (may be infinite: checked by ``checked_float``)."""
+    return F.when(s.rlike(FLOAT_SYNTAX), s.try_cast("double"))
+
+
+def checked_float(raw: Column) -> Column:
+    """An out-of-range literal like 1e400 is an error in Go (ErrRange)."""
+    return F.when(F.abs(raw) <= F.lit(1.7976931348623157e308), raw)
 
 
 def parse_nullable_int(c, prepared: bool = False):
@@ -60,20 +68,36 @@ def parse_nullable_int(c, prepared: bool = False):
     the stored INT is a load concern (I11), not a parse error.
     """
     s = _c(c) if prepared else nullable_number_text(c)
+    v = int_candidate(s)
+    return v, s.isNull() | v.isNotNull()
+
+
+def int_candidate(s: Column) -> Column:
+    """S5 value of a number text: base-10 integer, else a float truncated
+    toward zero; NULL when neither parses."""
     as_int = F.when(s.rlike(INT_SYNTAX), s.try_cast("bigint"))
-    f = F.when(s.rlike(FLOAT_SYNTAX), s.try_cast("double"))
-    truncated = F.when(f.isNotNull() & (F.abs(f) < F.lit(9.2e18)),
+    f = F.when(~s.rlike(INT_SYNTAX) & s.rlike(FLOAT_SYNTAX), s.try_cast("double"))
+    truncated = F.when(F.abs(f) < F.lit(9.2e18),
                        F.when(f >= 0, F.floor(f)).otherwise(F.ceil(f)).cast("bigint"))
-    v = F.coalesce(as_int, truncated)
-    return v, s.isNull() | v.isNotNull()
+    return F.coalesce(as_int, truncated)
+
+
+def days_in_month(y: Column, m: Column) -> Column:
+    """Gregorian month length (February 29 in leap years)."""
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    return (F.when(m == 2, F.when(leap, 29).otherwise(28))
+             .when(m.isin(4, 6, 9, 11), 30).otherwise(31))
 
 
 def parse_trade_date(year, month, day) -> Column:
-    """Year with exactly four digits, month 1-12, valid day of that month; else NULL."""
+    """Year with exactly four digits, month 1-12, valid day of that month; else NULL.
+
+    The calendar check is arithmetic, so ``make_date`` (which raises under
+    ANSI mode) only ever sees a valid date; no text round trip."""
     y, m, d = _c(year), _c(month), _c(day)
-    in_range = y.between(1000, 9999) & m.between(1, 12) & d.between(1, 31)
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when(in_range, F.try_to_date(text, "yyyy-MM-dd"))
+    valid = y.between(1000, 9999) & m.between(1, 12) & d.between(1, 31)
+    valid = valid & (d <= days_in_month(y, m))
+    return F.when(valid, F.make_date(y.cast("int"), m.cast("int"), d.cast("int")))
 
 
 def to_decimal_14_3(v) -> Column:

@@ -20,8 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seika.functions.parse import (int32_overflow, nullable_number_text, parse_nullable_float,
-                                   parse_nullable_int, parse_required_int, parse_trade_date,
+from seika.functions.parse import (checked_float, float_candidate, int32_overflow, int_candidate,
+                                   nullable_number_text, parse_required_int, parse_trade_date,
                                    to_decimal_14_3)
 from seika.functions.text import blank_to_default, normalize_code, trim_unicode
 from seika.operators.numbering import number_rows
@@ -72,11 +72,17 @@ def parse_rows(raw: DataFrame) -> DataFrame:
     for h, k in (("年", "y"), ("月", "m"), ("日", "d")):
         v, ok = parse_required_int(F.col(f"_t_{h}"), trim=False)
         ymd[k], ymd[f"{k}_ok"] = v, ok
+    # 2a. number candidates once per field (each feeds value and flag below)
+    cand = {}
+    for i, (h, kind) in enumerate(_NUMERIC_FIELDS):
+        n = F.col(f"_n_{h}")
+        cand[f"_c{i}"] = float_candidate(n) if kind == "float" else int_candidate(n)
+    t = t.select("*", *[c.alias(k) for k, c in cand.items()])
     nums = {}
     for i, (h, kind) in enumerate(_NUMERIC_FIELDS):
-        fn = parse_nullable_float if kind == "float" else parse_nullable_int
-        v, ok = fn(F.col(f"_n_{h}"), prepared=True)
-        nums[f"_v{i}"], nums[f"_ok{i}"] = v, ok
+        n, c = F.col(f"_n_{h}"), F.col(f"_c{i}")
+        v = checked_float(c) if kind == "float" else c
+        nums[f"_v{i}"], nums[f"_ok{i}"] = v, n.isNull() | v.isNotNull()
     p = t.select(*keep, *_CODES, *_TEXTS,
                  *[c.alias(f"_{k}") for k, c in ymd.items()],
                  *[c.alias(k) for k, c in nums.items()])
@@ -346,11 +352,12 @@ def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type
     if not paths:
         return None
     # Stage the batch once (the reference's temporary stage table): every
-    # later step reads the checkpointed records / parsed rows instead of
-    # re-reading and re-parsing the files. Reliable checkpoints live in the
-    # cluster's shared checkpoint folder, so a lost executor costs a re-read.
-    records = C.read_records(spark, root, paths, width).checkpoint(eager=True)
-    maps = C.header_maps(records, width).checkpoint(eager=True)
+    # later step reads the staged records / parsed rows instead of re-reading
+    # and re-parsing the files. Stages are Parquet tables in the cluster's
+    # shared checkpoint folder, so a lost executor costs a re-read.
+    from seika.session import stage
+    records = stage(C.read_records(spark, root, paths, width), "records")
+    maps = stage(C.header_maps(records, width), "header-maps")
     files = listing.select("file_path", "date_key").join(C.file_hashes(spark, root, ext), "file_path", "left")
     header_err = (files.join(maps.select("file_path", "missing"), "file_path", "inner")
                   .select("file_path", "date_key",
@@ -361,7 +368,7 @@ def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type
         "file_path", "date_key", F.lit("read header: EOF").alias("error"))
     header_failed = header_err.where(F.col("error").isNotNull()).unionByName(no_header)
     raw = C.labelled_rows(records, maps, width)
-    parsed = parse_rows(raw).checkpoint(eager=True)
+    parsed = stage(parse_rows(raw), "parsed")
     poison = group_poison(parsed, "date_key", "source_file")
     group_failed = files.join(poison, "date_key").select(
         "file_path", "date_key", F.col("group_error").alias("error"))

@@ -24,11 +24,12 @@ RUN_TYPE = "fixture_backfill"
 
 
 def parsed_batch(spark, sf_dir) -> DataFrame:
-    """The dirty text rows, landed (checkpointed to the shared checkpoint
+    """The dirty text rows, landed (staged as a table in the shared checkpoint
     folder, as a file drop would be) and then parsed. Landing keeps the
     rendering of the fixture out of the parse job's generated code."""
+    from seika.session import stage
     raw = TD.raw_rows(spark, sf_dir).withColumn("date_key", F.split("source_file", "/").getItem(0))
-    return I.parse_rows(raw.checkpoint(eager=True))
+    return I.parse_rows(stage(raw, "raw-rows"))
 
 
 def _as_double(df: DataFrame) -> DataFrame:

@@ -37,11 +37,14 @@ def weekday_ja(d: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in WEEKDAYS_JA]), F.dayofweek(d))
 
 
-def price_rows(spark: SparkSession, sf_dir: str, with_row_no: bool = True) -> DataFrame:
+def price_rows(spark: SparkSession, sf_dir: str, with_row_no: bool = True,
+               materialize: bool = False) -> DataFrame:
     """Daily price rows with codes *and* names (the shape a parsed CSV row has).
 
     ``with_row_no=False`` leaves out ``source_row_no`` (and its numbering pass)
-    for consumers that do not read it.
+    for consumers that do not read it. ``materialize=True`` stages the joined
+    rows (before numbering) and the result as tables, for callers that read
+    them several times (a warehouse load).
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -85,12 +88,16 @@ def price_rows(spark: SparkSession, sf_dir: str, with_row_no: bool = True) -> Da
         F.concat(day_text, F.lit("/all_"), day_text, F.lit(".csv")).alias("source_file"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
+    from seika.session import stage
+    if materialize:
+        out = stage(out, "price-rows-joined")
     if with_row_no:
         # first data record of a file is number 2 (the header is record 1)
         out = number_rows(out, ["trade_date"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
                           out="source_row_no", start=2)
         out = out.withColumn("source_row_no", F.col("source_row_no").cast("int"))
-    return out.drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out = out.drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return stage(out, "price-rows") if materialize else out
 
 
 def _code_dim(rows: DataFrame, code: str, name: str) -> DataFrame:
@@ -106,13 +113,13 @@ def _grade_dim(rows: DataFrame) -> DataFrame:
                         F.lit(FIXED_LOADED_AT).alias("updated_at"))
 
 
-def star(spark: SparkSession, sf_dir: str, with_row_no: bool = True) -> Star:
+def star(spark: SparkSession, sf_dir: str, with_row_no: bool = True, materialize: bool = False) -> Star:
     """The warehouse as the ingest would leave it, built from the test tables.
 
     Dimension ids are assigned in code order. The audit tables are attached by
     ``seika.operators.ingest.fixture_audit`` when needed.
     """
-    rows = price_rows(spark, sf_dir, with_row_no)
+    rows = price_rows(spark, sf_dir, with_row_no, materialize)
     fact = rows.drop("market_name", "item_name", "origin_name")
     fact = fact.withColumns({"ingested_at": F.lit(FIXED_LOADED_AT),
                              "created_at": F.lit(FIXED_LOADED_AT),
