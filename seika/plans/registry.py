@@ -6,7 +6,6 @@ SQL that recomputes a key; keys without an entry get a rows-only check.
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
