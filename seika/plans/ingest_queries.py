@@ -144,20 +144,19 @@ def _jan_1995_star(spark, sf_dir) -> Star:
                 dim_grade=TD._grade_dim(rows))
 
 
-def batch_1998(spark, sf_dir) -> DataFrame:
-    """Loadable rows of the re-sent 1998 files."""
-    p = parsed_batch(spark, sf_dir).where(F.year("trade_date") == 1998)
-    return I.loadable(p, None, None)
+def resent_batch(spark, sf_dir) -> DataFrame:
+    """Loadable rows of every file, re-sent as dirty text (the whole table)."""
+    return I.loadable(parsed_batch(spark, sf_dir), None, None)
 
 
 for _kind in ("market", "item", "origin"):
     def _mk(kind):
         @register(f"dim_upsert_{kind}", O.dim_upsert_sql(kind))
         def _q(spark, sf_dir):
-            """Upsert the 1998 batch's codes/names into a dimension holding
-            January 1995's codes; newest row wins a name."""
+            """Upsert the re-sent batch's codes/names (all files) into a
+            dimension holding January 1995's codes; newest row wins a name."""
             st = _jan_1995_star(spark, sf_dir)
-            out = I.upsert_code_dimension(st.dim(kind), batch_1998(spark, sf_dir), kind, NOW)
+            out = I.upsert_code_dimension(st.dim(kind), resent_batch(spark, sf_dir), kind, NOW)
             return out.withColumn("updated", F.col("updated_at") == F.lit(NOW)).drop("created_at", "updated_at")
         return _q
     _mk(_kind)
@@ -167,17 +166,17 @@ for _kind in ("market", "item", "origin"):
 def dim_upsert_grade(spark, sf_dir):
     """Upsert of the four-column grade key."""
     st = _jan_1995_star(spark, sf_dir)
-    out = I.upsert_grade_dimension(st.dim_grade, batch_1998(spark, sf_dir), NOW)
+    out = I.upsert_grade_dimension(st.dim_grade, resent_batch(spark, sf_dir), NOW)
     return out.withColumn("updated", F.col("updated_at") == F.lit(NOW)).drop("created_at", "updated_at")
 
 
 @register("fact_upsert", O.fact_upsert_sql())
 def fact_upsert(spark, sf_dir):
-    """Merge the re-sent 1998 files into the full fact table on
+    """Merge every re-sent file into the full fact table on
     (source_file, source_row_no); rejected rows of the re-send keep their old
     version, nothing is deleted."""
     st = TD.star(spark, sf_dir, with_row_no=True)
-    incoming = I.fact_rows(batch_1998(spark, sf_dir), NOW)
+    incoming = I.fact_rows(resent_batch(spark, sf_dir), NOW)
     merged = I.merge_facts(st.fact, incoming)
     return _as_double(merged.withColumn("updated", F.col("updated_at") == F.lit(NOW))
                       .drop("ingested_at", "created_at", "updated_at"))

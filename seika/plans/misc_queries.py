@@ -166,14 +166,14 @@ def orphan_check(spark, sf_dir):
 @register("duplicate_key_check", O.with_parsed("""
 SELECT source_file, source_row_no, count(*) AS copies
 FROM (SELECT source_file, source_row_no FROM fact
-      UNION ALL SELECT source_file, source_row_no FROM acc WHERE year(trade_date) = 1998)
+      UNION ALL SELECT source_file, source_row_no FROM acc)
 GROUP BY 1, 2 HAVING count(*) > 1"""))
 def duplicate_key_check(spark, sf_dir):
     """Q2: duplicated (source_file, source_row_no) after appending the re-sent
-    1998 rows without the upsert."""
-    from seika.plans.ingest_queries import batch_1998
+    rows without the upsert."""
+    from seika.plans.ingest_queries import resent_batch
     fact = TD.star(spark, sf_dir, with_row_no=True).fact.select("source_file", "source_row_no")
-    return Q.duplicate_keys(fact.unionByName(batch_1998(spark, sf_dir).select("source_file", "source_row_no")),
+    return Q.duplicate_keys(fact.unionByName(resent_batch(spark, sf_dir).select("source_file", "source_row_no")),
                             ["source_file", "source_row_no"])
 
 

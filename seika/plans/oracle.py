@@ -280,7 +280,7 @@ FROM b WHERE b.code NOT IN (SELECT code FROM old)""", f"""
 old AS (SELECT row_number() OVER (ORDER BY code) AS id, code, name
         FROM (SELECT {code} AS code, max({name}) AS name FROM rows_
               WHERE trade_date < DATE '1995-02-01' GROUP BY 1)),
-b AS (SELECT {code} AS code, max({name}) AS name FROM acc WHERE year(trade_date) = 1998 GROUP BY 1)""")
+b AS (SELECT {code} AS code, max({name}) AS name FROM acc GROUP BY 1)""")
 
 
 def grade_upsert_sql() -> str:
@@ -293,7 +293,7 @@ SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY {k}), {k}, true
 FROM (SELECT * FROM b EXCEPT SELECT {k} FROM old)""", f"""
 old AS (SELECT row_number() OVER (ORDER BY {k}) AS id, {k}
         FROM (SELECT DISTINCT {k} FROM rows_ WHERE trade_date < DATE '1995-02-01')),
-b AS (SELECT DISTINCT {k} FROM acc WHERE year(trade_date) = 1998)""")
+b AS (SELECT DISTINCT {k} FROM acc)""")
 
 
 FACT_OUT = """trade_date, weekday_ja, market_code, item_code, origin_code, grade, class, product_name,
@@ -307,7 +307,7 @@ SELECT {FACT_OUT}, false AS updated FROM fact f
 WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.source_file = f.source_file AND i.source_row_no = f.source_row_no)
 UNION ALL
 SELECT {FACT_OUT}, true AS updated FROM inc""", """
-inc AS (SELECT * FROM acc WHERE year(trade_date) = 1998)""")
+inc AS (SELECT * FROM acc)""")
 
 
 def surrogate_sql() -> str:
