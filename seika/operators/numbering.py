@@ -51,12 +51,13 @@ def _bound_literals(df: DataFrame, keys: list[str], bounds: list[tuple]) -> list
     return [F.struct(*[_lit_as(v, types[k]).alias(k) for k, v in zip(keys, b)]) for b in bounds]
 
 
-def bucket_bounds(df: DataFrame, keys: list[str], buckets: int, seed: int = 7) -> list[tuple]:
+def bucket_bounds(df: DataFrame, keys: list[str], buckets: int, seed: int = 7,
+                  small_rows: int = ONE_BUCKET_ROWS) -> list[tuple]:
     """About ``buckets - 1`` key tuples splitting ``df`` into equal ranges,
     from a sample of ~20 keys per bucket (a bounded list on the driver)."""
     kdf = df.select(*keys)
     total = kdf.count()
-    if total <= ONE_BUCKET_ROWS or buckets <= 1:
+    if total <= small_rows or buckets <= 1:
         return []
     frac = min(1.0, SAMPLE_PER_BUCKET * buckets / total)
     sample = [tuple(r) for r in kdf.sample(False, frac, seed).orderBy(*keys).collect()]
@@ -71,7 +72,8 @@ def bucket_bounds(df: DataFrame, keys: list[str], buckets: int, seed: int = 7) -
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                out: str = "rn", start: int = 1, buckets: int | None = None) -> DataFrame:
+                out: str = "rn", start: int = 1, buckets: int | None = None,
+                small_rows: int = ONE_BUCKET_ROWS) -> DataFrame:
     """Add ``out`` = start + 0-based position of the row inside its group in
     ``order_cols`` order. ``group_cols`` + ``order_cols`` must be unique and
     non-null per row.
@@ -82,10 +84,14 @@ def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str],
     spark = df.sparkSession
     n = min(MAX_BUCKETS, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [*group_cols, *order_cols]
-    bounds = bucket_bounds(df, keys, n)
+    bounds = bucket_bounds(df, keys, n, small_rows=small_rows)
+    if not bounds:
+        # small input (<= ONE_BUCKET_ROWS rows): a plain window, nothing to shift
+        w1 = Window.partitionBy(*group_cols).orderBy(*order_cols) if group_cols else Window.orderBy(*order_cols)
+        return df.withColumn(out, (F.row_number().over(w1) + F.lit(start - 1)).cast("bigint"))
     key = F.struct(*[F.col(k) for k in keys])
     lits = _bound_literals(df, keys, bounds)
-    b = df.withColumn("_b", _bucket_expr(key, lits, 0, len(lits)) if lits else F.lit(0))
+    b = df.withColumn("_b", _bucket_expr(key, lits, 0, len(lits)))
     w = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
     local = b.withColumn("_r", F.row_number().over(w))
     counts = b.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -98,7 +104,7 @@ def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str],
 
 
 def running_sum(df: DataFrame, order_cols: list[str], values: dict[str, str],
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, small_rows: int = ONE_BUCKET_ROWS) -> DataFrame:
     """``SUM(v) OVER (ORDER BY order_cols ROWS UNBOUNDED PRECEDING)`` for each
     ``out: v`` in ``values``, over the whole frame without a single-partition
     window: rows are bucketed by sampled key bounds, summed inside their
@@ -106,10 +112,14 @@ def running_sum(df: DataFrame, order_cols: list[str], values: dict[str, str],
     ``buckets`` rows). ``order_cols`` must be unique and non-null per row."""
     spark = df.sparkSession
     n = min(MAX_BUCKETS, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = bucket_bounds(df, order_cols, n)
+    bounds = bucket_bounds(df, order_cols, n, small_rows=small_rows)
+    if not bounds:
+        # small input (<= ONE_BUCKET_ROWS rows): a plain running window
+        w1 = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({o: F.sum(v).over(w1) for o, v in values.items()})
     key = F.struct(*[F.col(k) for k in order_cols])
     lits = _bound_literals(df, order_cols, bounds)
-    b = df.withColumn("_b", _bucket_expr(key, lits, 0, len(lits)) if lits else F.lit(0))
+    b = df.withColumn("_b", _bucket_expr(key, lits, 0, len(lits)))
     w = (Window.partitionBy("_b").orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = b.withColumns({f"_s_{o}": F.sum(v).over(w) for o, v in values.items()})

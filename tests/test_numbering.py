@@ -5,14 +5,19 @@ from pyspark.sql import functions as F
 from seika.operators.numbering import number_rows, running_sum
 
 
-def test_number_rows_matches_row_number_with_hot_group(spark):
+import pytest
+
+
+@pytest.mark.parametrize("small_rows", [0, 50_000])
+def test_number_rows_matches_row_number_with_hot_group(spark, small_rows):
     rnd = random.Random(3)
     rows = []
     for i in range(3000):
         g = "hot" if i % 3 else f"g{rnd.randint(0, 20)}"      # one group holds 2/3 of the rows
         rows.append((g, rnd.randint(0, 10_000), i))
     df = spark.createDataFrame(rows, "g string, k int, i int")
-    got = {(r.g, r.i): r.rn for r in number_rows(df, ["g"], ["k", "i"], out="rn", start=2, buckets=16).collect()}
+    got = {(r.g, r.i): r.rn for r in number_rows(df, ["g"], ["k", "i"], out="rn", start=2, buckets=16,
+                                                 small_rows=small_rows).collect()}
     exp = {}
     by = {}
     for g, k, i in rows:
@@ -23,17 +28,20 @@ def test_number_rows_matches_row_number_with_hot_group(spark):
     assert got == exp
 
 
-def test_number_rows_without_group(spark):
+@pytest.mark.parametrize("small_rows", [0, 50_000])
+def test_number_rows_without_group(spark, small_rows):
     df = spark.createDataFrame([(c,) for c in "qwertyuiopasdfg"], "c string")
-    got = [r.c for r in number_rows(df, [], ["c"], out="rn").orderBy("rn").collect()]
+    got = [r.c for r in number_rows(df, [], ["c"], out="rn", buckets=4, small_rows=small_rows)
+           .orderBy("rn").collect()]
     assert got == sorted("qwertyuiopasdfg")
 
 
-def test_running_sum_matches_cumsum(spark):
+@pytest.mark.parametrize("small_rows", [0, 50_000])
+def test_running_sum_matches_cumsum(spark, small_rows):
     rnd = random.Random(5)
     rows = [(i, rnd.randint(-3, 5)) for i in range(2000)]
     df = spark.createDataFrame(rows, "t int, v int")
-    got = {r.t: r.s for r in running_sum(df, ["t"], {"s": "v"}, buckets=12).collect()}
+    got = {r.t: r.s for r in running_sum(df, ["t"], {"s": "v"}, buckets=12, small_rows=small_rows).collect()}
     acc, exp = 0, {}
     for t, v in rows:
         acc += v
