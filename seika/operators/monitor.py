@@ -98,7 +98,7 @@ def p95_from_buckets(histogram: DataFrame) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in BUCKET_LABELS])
     # explicit NULL guard: element_at on a literal array does not give NULL for a NULL index
     return wide.select(F.when(idx.isNotNull(), F.element_at(labels, idx + 1)).alias("p95_le"),
-                       _p95_ms(idx).alias("p95_ms"))
+                       _p95_ms(idx).cast("int").alias("p95_ms"))
 
 
 def db_calls_from_requests(requests: DataFrame) -> DataFrame:

@@ -46,7 +46,8 @@ SELECT page_id, true AS has_match, CAST(row_number() OVER (PARTITION BY page_id
        value FROM f
 UNION ALL
 SELECT page_id, false, NULL, NULL FROM pages WHERE len({_MATCHES}) = 0""",
-    "portal_market_rows": f"WITH {_BLOCKS.strip()}\nSELECT page_id, row_no, market, len(ids) AS id_count FROM rows_",
+    "portal_market_rows": f"WITH {_BLOCKS.strip()}\n"
+                          f"SELECT page_id, row_no, market, CAST(len(ids) AS INTEGER) AS id_count FROM rows_",
     "market_contains_filter": f"WITH {_BLOCKS.strip()}\n"
                               f"SELECT page_id, row_no, market FROM rows_ "
                               f"WHERE contains(lower(market), '{MARKET_FILTER.lower()}')",

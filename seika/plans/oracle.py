@@ -219,8 +219,10 @@ files AS (SELECT row_number() OVER (ORDER BY y.run_id, fs.file_path) AS id, y.ru
           FROM fs JOIN (SELECT y, row_number() OVER (ORDER BY y) AS run_id
                         FROM (SELECT DISTINCT CAST(substr(file_path, 1, 4) AS INTEGER) AS y FROM fs)) y
             ON y.y = CAST(substr(fs.file_path, 1, 4) AS INTEGER)),
-runs AS (SELECT run_id AS id, count(*) AS files, 0 AS failed_files, sum(rows_total) AS rows_total,
-                sum(rows_ok) AS rows_ok, sum(rows_error) AS rows_error, 'success' AS status,
+runs AS (SELECT run_id AS id, count(*) AS files, CAST(0 AS BIGINT) AS failed_files,
+                CAST(sum(rows_total) AS BIGINT) AS rows_total,
+                CAST(sum(rows_ok) AS BIGINT) AS rows_ok, CAST(sum(rows_error) AS BIGINT) AS rows_error,
+                'success' AS status,
                 CAST(NULL AS VARCHAR) AS error_message
          FROM files GROUP BY run_id)
 """
@@ -242,8 +244,9 @@ FROM runs""", FILE_STATS)
 
 def status_rollup_sql() -> str:
     return with_parsed("""
-SELECT split_part(file_path, '/', 1) AS date_key, count(*) AS files, 0 AS failed_files,
-  sum(rows_total) AS rows_total, sum(rows_ok) AS rows_ok, sum(rows_error) AS rows_error
+SELECT split_part(file_path, '/', 1) AS date_key, count(*) AS files, CAST(0 AS BIGINT) AS failed_files,
+  CAST(sum(rows_total) AS BIGINT) AS rows_total, CAST(sum(rows_ok) AS BIGINT) AS rows_ok,
+  CAST(sum(rows_error) AS BIGINT) AS rows_error
 FROM files GROUP BY 1""", FILE_STATS)
 
 
