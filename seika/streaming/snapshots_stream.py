@@ -39,7 +39,8 @@ def start_snapshot_stream(spark: SparkSession, requests: DataFrame, table_root:
         if not days:
             return
         if fs.exists(spark, wh.path(TICKS)):
-            old = spark.read.parquet(wh.path(TICKS)).where(F.col("day").isin(days))
+            old = (spark.read.parquet(wh.path(TICKS)).withColumn("day", F.col("day").cast("string"))
+                   .where(F.col("day").isin(days)))
             b = old.join(b.select("tick_end"), "tick_end", "left_anti").unionByName(b)
         wh.replace_partitions(TICKS, b, "day", days, ["tick_end"])
 

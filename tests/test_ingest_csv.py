@@ -139,3 +139,21 @@ def test_sjis_decoding(spark):
     bom = df.limit(1).select(sjis_to_utf8("b", add_bom=True)).collect()[0][0]
     assert bom.startswith("﻿")
     assert F is not None
+
+
+def test_publish_rewrites_only_touched_partitions(spark, tmp_dir):
+    wh = Warehouse(spark, f"{tmp_dir}/wh")
+    jan, feb = f"{tmp_dir}/in_jan", f"{tmp_dir}/in_feb"
+    write_csv(f"{jan}/20240105/a.csv", H, [row(), row(中値="110")])
+    wh.publish(ingest(spark, jan, wh.read()))
+    part = f"{tmp_dir}/wh/fact_prices_daily/load_month=202401"
+    before = sorted((n, os.path.getmtime(os.path.join(part, n))) for n in os.listdir(part) if n.endswith(".parquet"))
+    write_csv(f"{feb}/20240203/a.csv", H, [row(月="2", 日="3")])
+    res = ingest(spark, feb, wh.read())
+    assert res.touched == ["202402"]
+    wh.publish(res)
+    after = sorted((n, os.path.getmtime(os.path.join(part, n))) for n in os.listdir(part) if n.endswith(".parquet"))
+    assert before == after                                   # January's files were not rewritten
+    st = wh.read()
+    assert sorted(r.load_month for r in st.fact.select("load_month").distinct().collect()) == ["202401", "202402"]
+    assert st.fact.count() == 3 and st.runs.count() == 2
