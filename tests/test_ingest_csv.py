@@ -157,3 +157,18 @@ def test_publish_rewrites_only_touched_partitions(spark, tmp_dir):
     st = wh.read()
     assert sorted(r.load_month for r in st.fact.select("load_month").distinct().collect()) == ["202401", "202402"]
     assert st.fact.count() == 3 and st.runs.count() == 2
+
+
+def test_merge_daily_by_header_name(spark, tmp_dir):
+    from seika.sources import csv_files as C
+    root = f"{tmp_dir}/utf8"
+    write_csv(f"{root}/20240105/b.csv", list(reversed(H)), [row(中値="2"), row(中値="3")], newline_at_end=False)
+    write_csv(f"{root}/20240105/a.csv", H, [row(中値="1")])
+    write_csv(f"{root}/20240105/all_20240105.csv", H, [row(中値="999")])        # an earlier merge: left out
+    listing = C.list_files(spark, root)
+    recs = C.read_records(spark, root, [r.abs_path for r in listing.collect()])
+    merged = C.merge_daily(recs, C.header_maps(recs))
+    assert [r["中値"] for r in merged.collect()] == ["1", "2", "3"]
+    C.write_merged_daily(merged, f"{tmp_dir}/merged")
+    back = spark.read.option("header", "true").csv(f"{tmp_dir}/merged")
+    assert back.count() == 3 and back.columns[:3] == H[:3]
