@@ -172,3 +172,12 @@ def test_merge_daily_by_header_name(spark, tmp_dir):
     C.write_merged_daily(merged, f"{tmp_dir}/merged")
     back = spark.read.option("header", "true").csv(f"{tmp_dir}/merged")
     assert back.count() == 3 and back.columns[:3] == H[:3]
+
+
+def test_read_sjis_files(spark, tmp_dir):
+    from seika.sources.encoding import read_sjis_files
+    os.makedirs(f"{tmp_dir}/raw", exist_ok=True)
+    with open(f"{tmp_dir}/raw/x.csv", "wb") as f:
+        f.write("年,市場名\n2024,髙①㈱市場\n".encode("cp932"))
+    got = read_sjis_files(spark, f"{tmp_dir}/raw", add_bom=True).collect()
+    assert len(got) == 1 and got[0].text == "﻿年,市場名\n2024,髙①㈱市場\n"
