@@ -137,8 +137,8 @@ def prices_latest(star: Star, item_code, market_code=None, origin_code=None, sor
     """Rows on the latest trade date of an item (optionally market/origin),
     with ``total_count`` = rows on that date before paging.
 
-    The latest date is a scalar subquery over the filtered fact, the total a
-    second one; both run on the filtered rows only.
+    The latest date and its row count come from one scalar subquery over the
+    filtered fact's per-date counts.
     """
     P.require(item_code=item_code)
     if any(P.text(v) for v in (date, from_, to)):
@@ -149,10 +149,13 @@ def prices_latest(star: Star, item_code, market_code=None, origin_code=None, sor
     lim, off = P.parse_limit(limit, 100, 2000), P.parse_offset(offset)
     keys, _, _ = _page_order(sort, order)
     fact = _code_filters(star.fact, item_code, market_code, origin_code)
-    latest = fact.agg(F.max("trade_date")).scalar()
-    on_latest = fact.where(F.col("trade_date") == latest)
-    total = on_latest.agg(F.count(F.lit(1))).scalar()
-    page = on_latest.orderBy(*keys).offset(off).limit(lim).withColumn("total_count", total)
+    # one scalar subquery: rows per date (one row per calendar date), then the
+    # newest date with its row count -> latest date and the total in one job
+    per_day = fact.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
+    last = per_day.agg(F.max_by(F.struct("trade_date", "n"), "trade_date").alias("l")).scalar()
+    on_latest = fact.where(F.col("trade_date") == last.getField("trade_date"))
+    page = (on_latest.orderBy(*keys).offset(off).limit(lim)
+            .withColumn("total_count", last.getField("n")))
     out = _daily_select(_with_names(page, star, bounded=True).orderBy(*keys))
     meta = P.result_meta(limit=lim, offset=off)
     meta["latest_trade_date"] = lambda: _first(fact.agg(date_text(F.max("trade_date"))))
