@@ -17,7 +17,8 @@ KEY = LENGTH - SPREAD + 1 bytes from there lie inside both.
    spread over many buckets.
 3. A suffix whose whole context has an equal neighbour covers its context. A suffix that shares its KEY
    bytes with a neighbour but not its context (a match begins or ends here) sends
-   the hashes of its own windows; windows of equal hash, counted by a partial aggregate, cover their bytes.
+   the hashes of its own windows; windows of equal hash, found within a batch and then
+   among the batches, cover their bytes.
 4. The spans are joined to the documents and merged.
 
 Scale: about 2 / (SPREAD + 1) suffixes a byte are shuffled, 40 bytes each; only
@@ -295,11 +296,10 @@ def windows_of(texts: pa.Array, asked: list[np.ndarray]) -> list[tuple[np.ndarra
     return out
 
 
-_LONGS = pa.list_(pa.int64())
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _RESULT = ("doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, "
            "kept_sha256 string, kept binary")
-_PASS = _RESULT + ", key int, open binary, starts array<long>, h0 array<long>, h1 array<long>"
+_PASS = _RESULT + ", key int, open binary, starts array<long>, h0 array<long>, h1 array<long>, known array<boolean>"
 
 
 def _result(ids: pa.Array, texts: list[bytes], spans: list[list[tuple[int, int]]], keep_text: bool) -> list[pa.Array]:
@@ -310,7 +310,8 @@ def _result(ids: pa.Array, texts: list[bytes], spans: list[list[tuple[int, int]]
 
 
 def _first_pass(keep_text: bool):
-    """Documents none of whose suffixes ask are done; the others keep their text (``open``) and bring window hashes."""
+    """Documents none of whose windows wait for an answer are done; the others keep
+    their text (``open``). All bring the hashes of the windows asked for; ``known`` ones have an equal in their batch."""
     names = [x.split()[0] for x in _PASS.replace("start:long,end:long", "").split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,11 +325,24 @@ def _first_pass(keep_text: bool):
                 asked.append(np.unique(pos[asks.astype(bool)]).astype(np.int64))
             todo = [i for i, a in enumerate(asked) if len(a)]
             found = windows_of(texts.take(pa.array(todo, pa.int64())), [asked[i] for i in todo]) if todo else []
-            by = dict(zip(todo, found, strict=True))
+            # Windows that stand twice in this batch need no answer; one of each is sent on for the other batches.
+            at = np.concatenate([np.full(len(f[0]), i) for i, f in zip(todo, found, strict=True)] or [np.zeros(0, np.int64)])
+            start, h0, h1 = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+            order = np.lexsort((h1, h0))
+            same = (np.diff(h0[order]) == 0) & (np.diff(h1[order]) == 0)
+            after_equal, twice = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            after_equal[order[1:]] = same
+            twice[order[1:]] |= same
+            twice[order[:-1]] |= same
+            for i, x in zip(at[twice].tolist(), start[twice].tolist(), strict=True):
+                spans[i].append((x, x + LENGTH))
+            spans = [merge(x) for x in spans]
+            send, waits = ~after_equal, set(at[~twice].tolist())
+            cut_at = np.searchsorted(at[send], np.arange(b.num_rows + 1))
+            lists = [pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), pa.array(x[send])) for x in (start, h0, h1, twice)]
             raw = [(t.as_py() or "").encode() for t in texts]
             columns = _result(b.column("doc_id"), raw, spans, keep_text)
-            more = [pa.array([by[i][k].tolist() if i in by else None for i in range(len(raw))], _LONGS) for k in range(3)]
-            yield pa.record_batch([*columns, b.column("key"), pa.array([t if i in by else None for i, t in enumerate(raw)], pa.binary()), *more], names)
+            yield pa.record_batch([*columns, b.column("key"), pa.array([t if i in waits else None for i, t in enumerate(raw)], pa.binary()), *lists], names)
     return run
 
 
@@ -354,10 +368,11 @@ def suffix_dedup(docs: DataFrame, keep_text: bool = True, buckets: int | None =
     joined = own.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     done = stage(joined.select("doc_id", "key", "text", "marks").mapInArrow(_first_pass(keep_text), _PASS), "suffix-pass")
     still = done.where("open IS NOT NULL")
-    windows = still.select("doc_id", "key", F.explode(F.arrays_zip("starts", "h0", "h1")).alias("w")).select(
-        "doc_id", "key", F.col("w.starts").alias("start"), F.col("w.h0").alias("h0"), F.col("w.h1").alias("h1"))
-    twice = windows.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h0", "h1")
-    hits = (windows.join(twice, ["h0", "h1"]).groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    windows = done.select("doc_id", "key", F.explode(F.arrays_zip("starts", "h0", "h1", "known")).alias("w")).select(
+        "doc_id", "key", F.col("w.starts").alias("start"), F.col("w.h0").alias("h0"), F.col("w.h1").alias("h1"), F.col("w.known").alias("known"))
+    # Equal windows meet once, each batch sending one of its equals.
+    counted = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h0", "h1")))
+    hits = (counted.where("n > 1 AND NOT known").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k"))
             .agg(F.collect_set("start").alias("hits")))
     late = (still.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
             .select("doc_id", "open", "spans", "hits").mapInArrow(_second_pass(keep_text), _RESULT))
