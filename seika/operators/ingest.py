@@ -130,7 +130,7 @@ def parse_rows(raw: DataFrame) -> DataFrame:
                    .when(int32_overflow(high_v) | int32_overflow(mid_v) | int32_overflow(low_v),
                          F.lit("integer out of range")))
     for col, n in MAX_LEN.items():
-        if col in values:
+        if col in values or col in keep:  # source_file is passed through
             load_error = load_error.when(F.char_length(F.col(col)) > n, F.lit(f"value too long for {col}"))
     return p.select(*keep, *[v.alias(k) for k, v in values.items()],
                     r.alias("reject_reason"), cls.alias("reject_class"),
@@ -276,11 +276,15 @@ def merge_facts(existing: DataFrame, incoming: DataFrame, partition_col: str | N
         in_batch = F.col(partition_col).isin(touched)
         rest = existing.where(~in_batch)
         existing = existing.where(in_batch)
-    old_created = existing.select(*key, F.col("created_at").alias("_old_created"))
-    upd = incoming.join(old_created, key, "left").withColumn(
-        "created_at", F.coalesce(F.col("_old_created"), F.col("created_at"))).drop("_old_created")
-    untouched = existing.join(incoming.select(*key), key, "left_anti")
-    out = untouched.select(*cols).unionByName(upd.select(*cols))
+    # one full outer join: an incoming row replaces everything but created_at
+    values = [c for c in cols if c not in key]
+    old = existing.select(*key, F.struct(*values).alias("_old"))
+    new = incoming.select(*key, F.struct(*values).alias("_new"))
+    j = old.join(new, key, "full_outer")
+    out = j.select(*key, *[
+        (F.coalesce(F.col("_old.created_at"), F.col("_new.created_at")) if c == "created_at" else
+         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}"))).alias(c)
+        for c in values]).select(*cols)
     return out if rest is None else rest.select(*cols).unionByName(out)
 
 
@@ -329,7 +333,7 @@ class IngestResult:
 
 def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type: str = "manual_utf8",
                  now: _dt.datetime | None = None, fail_fast: bool = False, ext: str = ".csv",
-                 width: int = 64, only: list[str] | None = None) -> IngestResult | None:
+                 only: list[str] | None = None) -> IngestResult | None:
     """One ingest run over the CSV files below ``root``.
 
     ``only`` restricts the run to these files (absolute paths, e.g. the new
@@ -344,30 +348,33 @@ def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type
     now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     listing = C.list_files(spark, root, ext)
     if only is not None:
-        listing = listing.where(F.col("abs_path").isin([C.strip_scheme_text(p) for p in only]))
-    # the batch's file list: metadata only, one entry per file
-    listed = listing.select("abs_path", "date_key").collect()
-    paths = [r.abs_path for r in listed]
-    date_keys = {r.date_key for r in listed}
-    if not paths:
-        return None
+        wanted = spark.createDataFrame([(C.strip_scheme_text(p),) for p in only], "abs_path string").distinct()
+        listing = listing.join(wanted, "abs_path", "left_semi")
     # Stage the batch once (the reference's temporary stage table): every
     # later step reads the staged records / parsed rows instead of re-reading
     # and re-parsing the files. Stages are Parquet tables in the cluster's
     # shared checkpoint folder, so a lost executor costs a re-read.
     from seika.session import stage
-    records = stage(C.read_records(spark, root, paths, width), "records")
-    maps = stage(C.header_maps(records, width), "header-maps")
-    files = listing.select("file_path", "date_key").join(C.file_hashes(spark, root, ext), "file_path", "left")
+    listing = stage(listing, "listing")
+    files = stage(listing.select("file_path", "date_key", "abs_path")
+                  .join(C.file_hashes(listing), "file_path"), "files")
+    # Spark's reader takes the batch's readable files by name: one entry per file
+    listed = files.select("abs_path", "date_key", "read_error").collect()
+    paths = [r.abs_path for r in listed if r.read_error is None]
+    date_keys = {r.date_key for r in listed}
+    if not listed:
+        return None
+    records = C.read_records(spark, root, paths)
+    maps = stage(C.header_maps(records), "header-maps")
     header_err = (files.join(maps.select("file_path", "missing"), "file_path", "inner")
                   .select("file_path", "date_key",
                           F.when(F.col("missing").isNotNull(),
                                  F.concat(F.lit("missing required column: "), F.col("missing")))
                            .alias("error")))
     no_header = files.join(maps.select("file_path"), "file_path", "left_anti").select(
-        "file_path", "date_key", F.lit("read header: EOF").alias("error"))
+        "file_path", "date_key", F.coalesce("read_error", F.lit("read header: EOF")).alias("error"))
     header_failed = header_err.where(F.col("error").isNotNull()).unionByName(no_header)
-    raw = C.labelled_rows(records, maps, width)
+    raw = C.labelled_rows(records, maps)
     parsed = stage(parse_rows(raw), "parsed")
     poison = group_poison(parsed, "date_key", "source_file")
     group_failed = files.join(poison, "date_key").select(

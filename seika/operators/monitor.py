@@ -121,38 +121,76 @@ def tick_counts(requests: DataFrame, tick: str = TICK) -> DataFrame:
              .select(F.col("w.end").alias("tick_end"), "*").drop("w"))
 
 
-def snapshots_from_ticks(t: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """M5 from the tick table: running totals over ticks (bucketed running
+def db_errors_per_tick(db_calls: DataFrame, tick: str = TICK) -> DataFrame:
+    """(tick_end, ndb): failed calls of a DB call log (ts, error) per tick."""
+    return (db_calls.where(F.col("error")).groupBy(F.window("ts", tick).alias("w"))
+            .agg(F.count(F.lit(1)).alias("ndb")).select(F.col("w.end").alias("tick_end"), "ndb"))
+
+
+def every_tick(t: DataFrame, tick: str = TICK) -> DataFrame:
+    """The tick table with a row for every tick between the first and the last:
+    ticks without a request have zero counts and a ready service."""
+    bounds = t.agg(F.min("tick_end").alias("lo"), F.max("tick_end").alias("hi")).where("lo IS NOT NULL")
+    grid = bounds.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {tick}"))).alias("tick_end"))
+    counts = [c for c in t.columns if c not in ("tick_end", "ready_failed")]
+    return (grid.join(t, "tick_end", "left").na.fill(0, counts)
+            .withColumn("ready_failed", F.coalesce("ready_failed", F.lit(False))))
+
+
+def status_at_ticks(t: DataFrame, runs: DataFrame) -> DataFrame:
+    """Adds ``run_status``: the status, at the tick's end, of the newest run
+    started by then: its final one if it has finished, else ``running``;
+    ``unknown`` before the first run.
+
+    Runs and finishes are put between the ticks as events and carried forward.
+    One row per tick and per run: sizes that follow the time span and the
+    schedule, not the request volume."""
+    started = runs.select(F.col("started_at").alias("at"), "id", F.lit("running").alias("s"), F.lit(0).alias("o"))
+    ended = runs.where("finished_at IS NOT NULL").select(F.col("finished_at").alias("at"), "id", F.col("status").alias("s"), F.lit(1).alias("o"))
+    ticks = t.select(F.col("tick_end").alias("at"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("s"), F.lit(2).alias("o"))
+    w = Window.orderBy("at", "o", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = started.unionByName(ended).unionByName(ticks).withColumn(
+        "newest", F.max(F.when(F.col("id").isNotNull(), F.struct("id", "o", "s"))).over(w))
+    known = known.where("o = 2").select(F.col("at").alias("tick_end"), F.col("newest.s").alias("run_status"))
+    return t.join(known, "tick_end").withColumn("run_status", F.coalesce("run_status", F.lit("unknown")))
+
+
+def snapshots_from_ticks(t: DataFrame, runs: DataFrame | None = None, tick: str = TICK) -> DataFrame:
+    """M5 from the tick table: running totals over all ticks (bucketed running
     sum), the p95 bound of all latencies so far, readiness and run status."""
     sums = {"http_total": "n", "http_5xx": "n5xx", "db_errors_total": "ndb",
             **{f"_cum{i}": f"_le{i}" for i in range(len(BUCKETS))}}
-    t = running_sum(t, ["tick_end"], sums)
+    t = running_sum(every_tick(t, tick), ["tick_end"], sums)
     cum = [F.col(f"_cum{i}") for i in range(len(BUCKETS))] + [F.col("http_total")]
     idx = _p95_from_cumulative(cum, F.col("http_total"))
-    out = t.select(
+    t = t.withColumn("run_status", F.lit("unknown")) if runs is None else status_at_ticks(t, runs)
+    return t.select(
         F.date_format("tick_end", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         F.when(F.col("ready_failed"), 0).otherwise(1).alias("ready_ok"),
         F.col("http_total").cast("bigint").alias("http_total"),
         F.col("http_5xx").cast("bigint").alias("http_5xx"),
         F.col("db_errors_total").cast("bigint").alias("db_errors_total"),
-        _p95_ms(idx).cast("int").alias("http_p95_ms"))
-    if runs is None:
-        return out.withColumn("ingestion_latest_status", F.lit("unknown"))
-    last = runs.agg(F.max_by("status", "id").alias("s"))
-    return out.withColumn("ingestion_latest_status", F.coalesce(last.scalar(), F.lit("unknown")))
+        _p95_ms(idx).cast("int").alias("http_p95_ms"),
+        F.col("run_status").alias("ingestion_latest_status"))
 
 
 def monitor_snapshots(requests: DataFrame, runs: DataFrame | None = None,
-                      tick: str = TICK) -> DataFrame:
-    """M5: one snapshot per tick holding requests: readiness (0 when the tick
-    has a failed ``/ready``), running totals of requests, 5xx and DB errors,
-    the p95 bound of all latencies so far, and the latest run status
+                      tick: str = TICK, db_calls: DataFrame | None = None) -> DataFrame:
+    """M5: one snapshot per tick from the first to the last one holding
+    requests, empty ticks included: readiness (0 when the tick has a failed
+    ``/ready``), running totals of requests, 5xx and DB errors, the p95 bound of
+    all latencies so far, and the status of the newest run at that time
     (``unknown`` when there is none).
 
-    Per-tick partial counts are aggregated first; the running totals then run
-    over the tick table with the bucketed running sum.
+    DB errors are the failed calls of ``db_calls`` (ts, error); without such a
+    log a status of 500 counts as one. Per-tick partial counts are aggregated
+    first; the running totals then run over the tick table.
     """
-    return snapshots_from_ticks(tick_counts(requests, tick), runs)
+    t = tick_counts(requests, tick)
+    if db_calls is not None:
+        t = t.drop("ndb").join(db_errors_per_tick(db_calls, tick), "tick_end", "full")
+        t = t.na.fill(0, [c for c in t.columns if c not in ("tick_end", "ready_failed")])
+    return snapshots_from_ticks(t, runs, tick)
 
 
 def snapshot_deltas(snapshots: DataFrame, recent: int = RECENT_ROWS) -> DataFrame:
@@ -203,12 +241,18 @@ def alert_rules(snapshots: DataFrame) -> DataFrame:
 
 
 def inflight_requests(requests: DataFrame) -> DataFrame:
-    """M8: concurrent requests after every start (+1) and end (-1) event,
-    floored at 0. At equal times ends come before starts. A bucketed running
-    sum, so no single task orders the whole log."""
+    """M8: concurrent requests after every start (+1) and end (-1) event. At
+    equal times ends come before starts. The gauge is reset to 0 whenever it
+    would fall below and goes on from there, as the reference's is: the running
+    sum minus its least value so far (0 at most)."""
     starts = requests.select("event_id", F.col("ts").alias("t"), F.lit(1).alias("delta"))
     ends = requests.select("event_id", (F.col("ts") + F.make_dt_interval(
         secs=F.col("seconds").cast("decimal(18,6)"))).alias("t"), F.lit(-1).alias("delta"))
-    ev = starts.unionByName(ends)
-    out = running_sum(ev, ["t", "delta", "event_id"], {"inflight": "delta"})
-    return out.withColumn("inflight", F.greatest(F.lit(0), F.col("inflight")).cast("bigint"))
+    return gauge(starts.unionByName(ends))
+
+
+def gauge(events: DataFrame) -> DataFrame:
+    """The resetting gauge over (event_id, t, delta) events. A bucketed running
+    sum and running minimum, so no single task orders the whole log."""
+    out = running_sum(events, ["t", "delta", "event_id"], {"inflight": "delta"}, minima={"_least": "inflight"})
+    return out.withColumn("inflight", (F.col("inflight") - F.least(F.lit(0), F.col("_least"))).cast("bigint")).drop("_least")

@@ -104,19 +104,25 @@ def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str],
 
 
 def running_sum(df: DataFrame, order_cols: list[str], values: dict[str, str],
-                buckets: int | None = None, small_rows: int = ONE_BUCKET_ROWS) -> DataFrame:
+                buckets: int | None = None, small_rows: int = ONE_BUCKET_ROWS,
+                minima: dict[str, str] | None = None) -> DataFrame:
     """``SUM(v) OVER (ORDER BY order_cols ROWS UNBOUNDED PRECEDING)`` for each
     ``out: v`` in ``values``, over the whole frame without a single-partition
     window: rows are bucketed by sampled key bounds, summed inside their
     bucket, and shifted by the totals of all earlier buckets (a table of
-    ``buckets`` rows). ``order_cols`` must be unique and non-null per row."""
+    ``buckets`` rows). ``order_cols`` must be unique and non-null per row.
+
+    ``minima`` (``out: o``) adds the running minimum of the running sum ``o``:
+    a bucket's minimum is its local one plus the bucket's offset."""
+    minima = minima or {}
     spark = df.sparkSession
     n = min(MAX_BUCKETS, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = bucket_bounds(df, order_cols, n, small_rows=small_rows)
     if not bounds:
         # small input (<= ONE_BUCKET_ROWS rows): a plain running window
         w1 = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({o: F.sum(v).over(w1) for o, v in values.items()})
+        out = df.withColumns({o: F.sum(v).over(w1) for o, v in values.items()})
+        return out.withColumns({m: F.min(o).over(w1) for m, o in minima.items()}) if minima else out
     key = F.struct(*[F.col(k) for k in order_cols])
     lits = _bound_literals(df, order_cols, bounds)
     b = df.withColumn("_b", _bucket_expr(key, lits, 0, len(lits)))
@@ -129,4 +135,11 @@ def running_sum(df: DataFrame, order_cols: list[str], values: dict[str, str],
                                     for o in values])
     out = local.join(F.broadcast(offsets), "_b")
     out = out.withColumns({o: F.col(f"_o_{o}") + F.col(f"_s_{o}") for o in values})
+    if minima:
+        inner = out.withColumns({f"_m_{m}": F.min(o).over(w) for m, o in minima.items()})
+        lows = inner.groupBy("_b").agg(*[F.min(o).alias(f"_l_{m}") for m, o in minima.items()])
+        lows = lows.select("_b", *[F.min(f"_l_{m}").over(before).alias(f"_p_{m}") for m in minima])
+        out = inner.join(F.broadcast(lows), "_b").withColumns(
+            {m: F.least(F.col(f"_m_{m}"), F.col(f"_p_{m}")) for m in minima})
+        out = out.drop(*[x for m in minima for x in (f"_m_{m}", f"_p_{m}")])
     return out.drop("_b", *[f"_s_{o}" for o in values], *[f"_o_{o}" for o in values])

@@ -64,6 +64,22 @@ def _where(df: DataFrame, pred: Column | None) -> DataFrame:
     return df if pred is None else df.where(pred)
 
 
+def fact_between(star: Star, lo: _dt.date | None = None, hi: _dt.date | None = None) -> DataFrame:
+    """The fact table, of a stored warehouse only the months (partitions) whose
+    trade dates, by the manifest, reach into ``[lo, hi]``. The date predicate
+    itself stays the caller's."""
+    months = star.extra.get("months")
+    if months is None or (lo is None and hi is None):
+        return star.fact
+    need = [m for m, (first, last) in sorted(months.items()) if (lo is None or last >= lo) and (hi is None or first <= hi)]
+    return star.fact.where(F.col("load_month").isin(need) if need else F.lit(False))
+
+
+def _fact_for(star: Star, f) -> DataFrame:
+    """``fact_between`` for the bounds of a ``DateFilter``."""
+    return fact_between(star, f.date or f.from_ or f.default_date, f.date or f.to)
+
+
 def _with_names(df: DataFrame, star: Star, kinds=("market", "item", "origin"),
                 bounded: bool = False) -> DataFrame:
     """Attach dimension names to a small result by code (inner join, as the
@@ -126,7 +142,7 @@ def prices_daily(star: Star, item_code, market_code=None, origin_code=None, date
     lim, off = P.parse_limit(limit, 100, 2000), P.parse_offset(offset)
     keys, _, _ = _page_order(sort, order)
     df_ = P.date_filter(date, from_, to, as_of, include_single_date=True)
-    fact = _where(_code_filters(star.fact, item_code, market_code, origin_code), df_.predicate)
+    fact = _where(_code_filters(_fact_for(star, df_), item_code, market_code, origin_code), df_.predicate)
     page = fact.orderBy(*keys).offset(off).limit(lim)
     out = _daily_select(_with_names(page, star, bounded=True).orderBy(*keys))
     return out, P.result_meta(limit=lim, offset=off, default_from=df_.default_from)
@@ -142,7 +158,7 @@ def prices_latest(star: Star, item_code, market_code=None, origin_code=None, sor
     """
     P.require(item_code=item_code)
     if any(P.text(v) for v in (date, from_, to)):
-        raise ValueError("date, from, and to are not supported for this endpoint")
+        raise ValueError("the latest prices take no date, from or to")
     for field, v in (("market_code", market_code), ("item_code", item_code), ("origin_code", origin_code)):
         if P.text(v):
             P.validate_code(field, P.text(v))
@@ -182,7 +198,7 @@ def prices_trend(star: Star, item_code=None, market_code=None, origin_code=None,
     if not all_items:
         P.require(item_code=item_code)
     df_ = P.date_filter(date, from_, to, as_of, include_single_date=False, full_history=full_history)
-    fact = _where(_code_filters(star.fact, None if all_items else item_code, market_code, origin_code),
+    fact = _where(_code_filters(_fact_for(star, df_), None if all_items else item_code, market_code, origin_code),
                   df_.predicate)
     keys = ["item_code", "trade_date"] if all_items else ["trade_date"]
     agg = (fact.groupBy(*keys)
@@ -225,7 +241,7 @@ def prices_summary(star: Star, item_code=None, group_by=None, market_code=None,
     g = P.text(group_by).lower() or "day"
     period = period_label("trade_date", g)  # raises for a bad group_by
     df_ = P.date_filter(date, from_, to, as_of, include_single_date=False, full_history=full_history)
-    fact = _where(_code_filters(star.fact, None if all_items else item_code, market_code, origin_code),
+    fact = _where(_code_filters(_fact_for(star, df_), None if all_items else item_code, market_code, origin_code),
                   df_.predicate)
     keys = ["item_code", "period"] if all_items else ["period"]
     out = (fact.withColumn("period", period)
@@ -261,7 +277,7 @@ def compare_markets(star: Star, date, item_code=None, metric=None, order=None,
     d = P.parse_date(date, "date")
     m = _metric(metric or "price_mid", ("price_mid", "arrival"))
     o = P.parse_order(order)
-    fact = star.fact.where(F.col("trade_date") == F.lit(d))
+    fact = fact_between(star, d, d).where(F.col("trade_date") == F.lit(d))
     if not all_items:
         fact = _code_filters(fact, item_code)
     value = (F.avg("price_mid_yen") if m == "price_mid" else F.sum("arrival_ton")).cast("double")
@@ -295,12 +311,12 @@ def rank_items(star: Star, date=None, metric=None, order=None, limit=None, marke
     o = P.parse_order(order)
     lim = P.parse_limit(limit, 50, 500)
     if all_dates:
-        fact = _where(star.fact, P.date_filter(None, from_, to, full_history=not (from_ or to),
-                                               include_single_date=False).predicate)
+        df_ = P.date_filter(None, from_, to, full_history=not (from_ or to), include_single_date=False)
+        fact = _where(_fact_for(star, df_), df_.predicate)
     else:
         P.require(date=date)
         d = P.parse_date(date, "date")
-        fact = star.fact.where(F.col("trade_date") == F.lit(d))
+        fact = fact_between(star, d, d).where(F.col("trade_date") == F.lit(d))
     if P.text(market_code):
         P.validate_code("market_code", P.text(market_code))
         fact = _code_filters(fact, market_code=market_code)

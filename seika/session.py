@@ -19,6 +19,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A generated method over 8,000 bytes is never JIT-compiled (parse_rows makes
+    # one of about 15,000): fall back to split projections beyond that.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Shift-JIS / windows-31j decoding of portal CSV bytes (E6) needs both.
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.legacy.codingErrorAction": "true",
@@ -37,7 +40,7 @@ def build_session(master: str | None = None, app_name: str = "seika",
     if master:
         b = b.master(master)
         if master.startswith("local"):
-            b = b.config("spark.driver.memory", driver_memory or os.environ.get("SEIKA_DRIVER_MEMORY", "16g"))
+            b = b.config("spark.driver.memory", driver_memory or os.environ.get("SEIKA_DRIVER_MEMORY", "8g"))
     b = b.config("spark.ui.enabled", "false")
     b = b.config("spark.sql.session.timeZone", "UTC")
     if shuffle_partitions:
@@ -52,23 +55,30 @@ def build_session(master: str | None = None, app_name: str = "seika",
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime-settable confs to an existing session (e.g. the driver's)."""
     for k, v in REQUIRED_CONF.items():
-        try:
+        if spark.conf.isModifiable(k):  # a static conf is fixed by the cluster
             spark.conf.set(k, v)
-        except Exception:  # static conf already fixed by the cluster
-            pass
     checkpoint_dir(spark)
     return spark
 
 
+def refuse_local_folder(master: str) -> None:
+    """Raise unless all tasks of ``master`` run on this machine."""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and with master {master} a folder of this machine "
+                           "is not shared; set it to a folder that driver and executors see")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Taken from ``spark.checkpoint.dir`` as the cluster names it; only when it
-    is unset (local tests) a scratch folder is created and registered.
+    Taken from ``spark.checkpoint.dir`` as the cluster names it. Only a local
+    master may do without: a scratch folder is then created and registered. On
+    a cluster that folder would be each machine's own, so this is an error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        refuse_local_folder(sc.master)
         d = os.environ.get("SEIKA_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="seika-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:

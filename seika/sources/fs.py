@@ -25,3 +25,27 @@ def write_marker(spark: SparkSession, path: str, text: str = "ok\n") -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (empty if there is none); for folders with a known bound."""
+    p, fs = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    p, fs = _fs(spark, path)
+    f = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(f)).decode("utf-8")
+    finally:
+        f.close()
+
+
+def rename_new(spark: SparkSession, src: str, dst: str) -> None:
+    """Rename to a name that must not exist yet."""
+    p, fs = _fs(spark, src)
+    to, _ = _fs(spark, dst)
+    if fs.exists(to) or not fs.rename(p, to):
+        raise FileExistsError(f"{dst} exists: another writer was faster")

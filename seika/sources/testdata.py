@@ -218,7 +218,8 @@ def landing_csv(spark: SparkSession, sf_dir: str) -> str:
     """Write the FIXTURES §4 rows as daily CSV files (one folder per date,
     header row, columns in reverse order) below the shared checkpoint folder
     and return the root. Per date folder: the day's file, plus a file without
-    the 動向 header on day 13 and a one-row file with an over-length market
+    the 動向 header but with a column of its own (備考: quotes, a comma and a
+    backslash at the end) on day 13 and a one-row file with an over-length market
     code on day 7. Written once per ``sf_dir`` (a ``_LANDED`` marker)."""
     import hashlib
     import os
@@ -237,11 +238,11 @@ def landing_csv(spark: SparkSession, sf_dir: str) -> str:
     def write(df, mode):
         (df.repartition("d").sortWithinPartitions("d", "source_row_no")
            .drop("source_file", "source_row_no")
-           .write.mode(mode).option("header", "true").option("encoding", "UTF-8")
+           .write.mode(mode).option("header", "true").option("encoding", "UTF-8").option("escape", '"')
            .partitionBy("d").csv(root))
     write(raw.select(*reversed(headers), "source_file", "source_row_no", "d"), "overwrite")
-    write(raw.where(day == DEFECT_DAY_MISSING_HEADER)
-             .select(*[h for h in headers if h != "動向"], "source_file", "source_row_no", "d"), "append")
+    write(raw.where(day == DEFECT_DAY_MISSING_HEADER).withColumn("備考", F.lit('a "quoted" remark, with \\'))
+             .select(*[h for h in headers if h != "動向"], "備考", "source_file", "source_row_no", "d"), "append")
     write(raw.where((day == DEFECT_DAY_POISON) & (F.col("source_row_no") == 2))
              .withColumn("市場コード", F.lit(POISON_CODE))
              .select(*headers, "source_file", "source_row_no", "d"), "append")

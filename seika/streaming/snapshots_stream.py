@@ -1,56 +1,55 @@
 """Monitoring snapshots (M5) from a live request-event stream.
 
-Events are counted per 5-minute tick with a watermark (late events up to the
-watermark still update their tick). Each micro-batch's updated ticks are
-upserted into a tick table (keyed by the tick, partitioned by day), so a
-replayed batch rewrites the same rows. Snapshots with running totals are then
-a batch read over the tick table (``monitor.snapshots_from_ticks``). The
-reference has no event-time rule at all; the watermark delay is a parameter.
+Every micro-batch counts its own events per 5-minute tick and writes these
+partial counts to a folder of its own, named by the stream and the batch: a
+replayed batch replaces its folder. Partial counts add up, so an event that
+arrives late, however late, still counts in its tick; the stream keeps no
+state and needs no watermark. Snapshots with running totals are a batch read
+over the partial counts (``monitor.snapshots_from_ticks``).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seika.functions.dates import instant_as_utc_ntz, ntz_as_utc_instant
 from seika.operators import monitor as M
-from seika.sources import fs
-from seika.sources.warehouse import Warehouse
 
 TICKS = "monitor_ticks"
 
 
+def _ticks_path(table_root: str) -> str:
+    return f"{table_root.rstrip('/')}/{TICKS}"
+
+
 def start_snapshot_stream(spark: SparkSession, requests: DataFrame, table_root: str, checkpoint: str,
-                          watermark: str = "10 minutes", available_now: bool = True):
+                          available_now: bool = True):
     """``requests`` is a streaming request log (ts, method, path, status,
     seconds). Returns the ``StreamingQuery``."""
-    wh = Warehouse(spark, table_root)
     if dict(requests.dtypes)["ts"] == "timestamp_ntz":
-        # event-time watermarks need instants; NTZ wall times are read as UTC
-        requests = requests.withColumn("ts", ntz_as_utc_instant("ts"))
-    ticks = M.tick_counts(requests.withWatermark("ts", watermark)).withColumn(
-        "tick_end", instant_as_utc_ntz("tick_end"))
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("day", F.date_format("tick_end", "yyyyMMdd"))
-        # days touched by this batch: a handful per micro-batch
-        days = [r[0] for r in b.select("day").distinct().collect()]
-        if not days:
-            return
-        if fs.exists(spark, wh.path(TICKS)):
-            old = (spark.read.parquet(wh.path(TICKS)).withColumn("day", F.col("day").cast("string"))
-                   .where(F.col("day").isin(days)))
-            b = old.join(b.select("tick_end"), "tick_end", "left_anti").unionByName(b)
-        wh.replace_partitions(TICKS, b, "day", days, ["tick_end"])
-
-    w = (ticks.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", checkpoint))
+        requests = requests.withColumn("ts", ntz_as_utc_instant("ts"))  # NTZ wall times are read as UTC
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:10]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        ticks = M.tick_counts(batch).withColumn("tick_end", instant_as_utc_ntz("tick_end"))
+        ticks.write.mode("overwrite").parquet(f"{_ticks_path(table_root)}/batch={stream}-{batch_id}")
+
+    w = requests.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def snapshots(spark: SparkSession, table_root: str) -> DataFrame:
-    """M5 rows from the stored tick table."""
-    ticks = spark.read.parquet(Warehouse(spark, table_root).path(TICKS)).drop("day")
-    return M.snapshots_from_ticks(ticks)
+def ticks(spark: SparkSession, table_root: str) -> DataFrame:
+    """The tick table: partial counts of all batches added up."""
+    parts = spark.read.parquet(_ticks_path(table_root)).drop("batch")
+    sums = [F.sum(c).cast("bigint").alias(c) for c in parts.columns if c not in ("tick_end", "ready_failed")]
+    return parts.groupBy("tick_end").agg(F.max("ready_failed").alias("ready_failed"), *sums)
+
+
+def snapshots(spark: SparkSession, table_root: str, runs: DataFrame | None = None) -> DataFrame:
+    """M5 rows from the stored tick counts."""
+    return M.snapshots_from_ticks(ticks(spark, table_root), runs)
+

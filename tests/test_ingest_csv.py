@@ -1,6 +1,8 @@
 """Hand-made CSV batches for what the table views cannot show (FIXTURES §4)."""
 
+import csv
 import datetime as dt
+import hashlib
 import os
 
 from pyspark.sql import functions as F
@@ -146,14 +148,12 @@ def test_publish_rewrites_only_touched_partitions(spark, tmp_dir):
     jan, feb = f"{tmp_dir}/in_jan", f"{tmp_dir}/in_feb"
     write_csv(f"{jan}/20240105/a.csv", H, [row(), row(中値="110")])
     wh.publish(ingest(spark, jan, wh.read()))
-    part = f"{tmp_dir}/wh/fact_prices_daily/load_month=202401"
-    before = sorted((n, os.path.getmtime(os.path.join(part, n))) for n in os.listdir(part) if n.endswith(".parquet"))
+    january = wh.manifest()["months"]["202401"]
     write_csv(f"{feb}/20240203/a.csv", H, [row(月="2", 日="3")])
     res = ingest(spark, feb, wh.read())
     assert res.touched == ["202402"]
     wh.publish(res)
-    after = sorted((n, os.path.getmtime(os.path.join(part, n))) for n in os.listdir(part) if n.endswith(".parquet"))
-    assert before == after                                   # January's files were not rewritten
+    assert wh.manifest()["months"]["202401"] == january          # January's files were not rewritten
     st = wh.read()
     assert sorted(r.load_month for r in st.fact.select("load_month").distinct().collect()) == ["202401", "202402"]
     assert st.fact.count() == 3 and st.runs.count() == 2
@@ -167,11 +167,90 @@ def test_merge_daily_by_header_name(spark, tmp_dir):
     write_csv(f"{root}/20240105/all_20240105.csv", H, [row(中値="999")])        # an earlier merge: left out
     listing = C.list_files(spark, root)
     recs = C.read_records(spark, root, [r.abs_path for r in listing.collect()])
-    merged = C.merge_daily(recs, C.header_maps(recs))
+    merged = C.merge_daily(recs)
     assert [r["中値"] for r in merged.collect()] == ["1", "2", "3"]
     C.write_merged_daily(merged, f"{tmp_dir}/merged")
-    back = spark.read.option("header", "true").csv(f"{tmp_dir}/merged")
-    assert back.count() == 3 and back.columns[:3] == H[:3]
+    back = spark.read.option("header", "true").csv(f"{tmp_dir}/merged/20240105/all_20240105.csv")
+    assert back.count() == 3 and back.columns == H
+
+
+def test_merge_keeps_every_file_and_column(spark, tmp_dir):
+    """Files without all required headers are merged too, and columns of their own stay."""
+    from seika.sources import csv_files as C
+    root = f"{tmp_dir}/utf8"
+    write_csv(f"{root}/20240105/a.csv", H[:3] + ["備考"], [dict(row(), 備考='says "so", twice\\')])
+    write_csv(f"{root}/20240105/_b.csv", H[3:], [row(), row()])
+    write_csv(f"{root}/20240106/c.csv", H, [row()])
+    paths = [r.abs_path for r in C.list_files(spark, root).collect()]
+    merged = C.merge_daily(C.read_records(spark, root, paths))
+    C.write_merged_daily(merged, f"{tmp_dir}/merged", delete_sources=paths[:1])
+    with open(f"{tmp_dir}/merged/20240105/all_20240105.csv", encoding="utf-8") as f:
+        got = list(csv.DictReader(f))
+    assert len(got) == 3 and set(got[0]) == {*H, "備考"}
+    assert [r["備考"] for r in got] == ["", "", 'says "so", twice\\']            # _b.csv sorts first
+    assert got[0]["市場名"] == "東京" and got[2]["市場名"] == "" and got[2]["年"] == "2024"
+    assert os.path.exists(f"{tmp_dir}/merged/20240106/all_20240106.csv")
+    assert [os.path.exists(p) for p in paths] == [False, True, True]
+
+
+def test_quotes_backslashes_and_stray_quotes(spark, tmp_dir):
+    from seika.sources import csv_files as C
+    root = f"{tmp_dir}/utf8"
+    lines = ["h1,h2,h3", '"a""b, c",x,y', '"back\\",x,y', '"a"b",x,y', 'a"b,x"y,"z"', '"two\nlines",,""', "", "last,1,2"]
+    write_csv(f"{root}/20240105/a.csv", None, None, raw="\n".join(lines) + "\n")
+    recs = C.read_records(spark, root, [r.abs_path for r in C.list_files(spark, root).collect()])
+    got = [(r.record_no, [x or "" for x in r.fields[:3]]) for r in recs.orderBy("record_no").collect()]
+    assert got == [(1, ["h1", "h2", "h3"]), (2, ['a"b, c', "x", "y"]), (3, ["back\\", "x", "y"]), (4, ['a"b', "x", "y"]),
+                   (5, ['a"b', 'x"y', "z"]), (6, ["two\nlines", "", ""]), (7, ["last", "1", "2"])]
+
+
+def test_wide_headers_and_hidden_names(spark, tmp_dir):
+    """A required header may stand in column 140; names may begin with _ or a dot."""
+    from seika.sources import csv_files as C
+    root = f"{tmp_dir}/utf8"
+    extra = [f"extra{i}" for i in range(120)]
+    write_csv(f"{root}/20240105/wide.csv", extra + H, [dict(row(), **{e: "v" for e in extra})])
+    write_csv(f"{root}/20240105/_b.csv", H, [row(中値="7")])
+    write_csv(f"{root}/_20240106/c.CSV", H, [row()])
+    write_csv(f"{root}/20240105/.d e.csv", H, [row(中値="8")])
+    os.symlink(f"{root}/20240105/wide.csv", f"{root}/20240105/link.csv")
+    listing = C.list_files(spark, root).collect()
+    assert [r.file_path for r in listing] == ["20240105/.d e.csv", "20240105/_b.csv", "20240105/wide.csv", "_20240106/c.CSV"]
+    res = ingest(spark, root)
+    assert {(r.file_path, r.status, r.rows_ok) for r in res.file_log.collect()} == {(r.file_path, "success", 1) for r in listing}
+    assert {r.source_file: r.price_mid_yen for r in res.parsed.collect()} == {
+        "20240105/.d e.csv": 8, "20240105/_b.csv": 7, "20240105/wide.csv": 100, "_20240106/c.CSV": 100}
+
+
+def test_row_numbers_do_not_depend_on_parallelism(spark, tmp_dir):
+    from seika.sources import csv_files as C
+    root = f"{tmp_dir}/utf8"
+    for i in range(9):
+        write_csv(f"{root}/20240105/f{i}.csv", H, [row(中値=str(100 * i + j)) for j in range(5 + i)])
+    paths = [r.abs_path for r in C.list_files(spark, root).collect()]
+    got = []
+    for n in ("2", "64"):
+        spark.conf.set("spark.sql.files.minPartitionNum", n)
+        try:
+            recs = C.read_records(spark, root, paths)
+            got.append(sorted((r.file_path, r.record_no, r.fields[13]) for r in recs.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got[0] == got[1] and max(r[1] for r in got[0]) == 14
+
+
+def test_unreadable_file_fails_alone_and_long_names_poison(spark, tmp_dir):
+    root = f"{tmp_dir}/utf8"
+    write_csv(f"{root}/20240105/a.csv", H, [row()])
+    write_csv(f"{root}/20240106/gone.csv", H, [row()])
+    from seika.sources import csv_files as C
+    listing = C.list_files(spark, root).withColumn("abs_path", F.regexp_replace("abs_path", "gone", "none"))
+    hashes = {r.file_path: r for r in C.file_hashes(listing).collect()}
+    with open(f"{root}/20240105/a.csv", "rb") as f:
+        assert hashes["20240105/a.csv"].file_hash == hashlib.sha256(f.read()).hexdigest()
+    assert hashes["20240106/gone.csv"].file_hash is None and hashes["20240106/gone.csv"].read_error
+    raw = spark.createDataFrame([tuple(row().values()) + ("x" * 1025, 2)], [*row(), "source_file", "source_row_no"])
+    assert I.parse_rows(raw).first().load_error == "value too long for source_file"
 
 
 def test_read_sjis_files(spark, tmp_dir):

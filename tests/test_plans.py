@@ -4,6 +4,8 @@ Parquet scan, pages / top-k are cut before dimension joins, joins broadcast."""
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
 from seika.operators import prices as R
 from seika.sources.warehouse import Warehouse
 from tests.test_prices import star as make_star, f, D1, D2
@@ -45,3 +47,40 @@ def test_rank_top_k_before_join(spark, tmp_dir):
     p = plan(R.rank_items(st, "2024-01-11", "arrival", limit=5)[0])
     assert "TakeOrderedAndProject" in p and "BroadcastHashJoin" in p
     assert "EqualTo(trade_date,2024-01-11)" in p
+
+
+def test_months_are_pruned_by_the_manifest(spark, tmp_dir):
+    import datetime as dt
+
+    rows = [f(dt.date(2024, m, 5), "M1", "I1", 100 + m, "1.000", m) for m in range(1, 7)]
+    st = make_star(spark, rows)
+    wh = Warehouse(spark, f"{tmp_dir}/wh")
+    st.fact = st.fact.withColumn("load_month", F.date_format("trade_date", "yyyyMM"))
+    wh.write_star(st)
+    assert set(wh.manifest()["months"]) == {f"20240{m}" for m in range(1, 7)}
+    st = wh.read()
+    for df in (R.prices_daily(st, "I1", from_="2024-03-01", to="2024-03-31")[0], R.prices_trend(st, "I1", from_="2024-03-01", to="2024-03-31")[0],
+               R.prices_summary(st, "I1", "month", from_="2024-03-01", to="2024-03-31")[0], R.compare_markets(st, "2024-03-05", "I1")[0],
+               R.rank_items(st, "2024-03-05")[0]):
+        p = plan(df)
+        assert "PartitionFilters: [(load_month" in p or "PartitionFilters: [isnotnull(load_month" in p
+        assert "202403" in p and "202404" not in p.split("PartitionFilters")[1].split("PushedFilters")[0]
+        assert df.count() == 1
+
+
+def test_hot_month_is_split_over_files(spark, tmp_dir):
+    import os
+
+    wh = Warehouse(spark, f"{tmp_dir}/wh")
+    st = make_star(spark, [f(D1, "M1", "I1", 100, "1.005", 2)])
+    numbers = spark.range(0, 40_000, 1, 8).select(F.col("id").cast("int").alias("n"))
+    many = numbers.crossJoin(F.broadcast(st.fact)).withColumn("source_row_no", F.col("n")).drop("n").withColumn("load_month", F.lit("202401"))
+    st.fact = many.withColumn("source_file", F.sha2(F.col("source_row_no").cast("string"), 256))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        wh.write_star(st)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    version = wh.manifest()["months"]["202401"][0]
+    files = [n for n in os.listdir(f"{tmp_dir}/wh/fact_prices_daily/v={version}/load_month=202401") if n.endswith(".parquet")]
+    assert len(files) > 2 and wh.read().fact.count() == 40_000

@@ -75,6 +75,32 @@ def test_empty_histogram_has_no_p95(spark):
     assert (p.p95_le, p.p95_ms) == (None, None)
 
 
+def test_empty_ticks_db_calls_and_status_as_of_the_tick(spark):
+    t = dt.datetime(2024, 1, 1, 0, 1)
+    req = _req(spark, [(1, t, "GET", "/ready", 503, 0.1), (2, t + dt.timedelta(minutes=21), "GET", "/x", 500, 0.1)])
+    runs = spark.createDataFrame(
+        [(1, t, t + dt.timedelta(minutes=6), "failed"), (2, t + dt.timedelta(minutes=12), None, "running")],
+        "id long, started_at timestamp_ntz, finished_at timestamp_ntz, status string")
+    calls = spark.createDataFrame([(t + dt.timedelta(minutes=7), True), (t + dt.timedelta(minutes=7), False)], "ts timestamp_ntz, error boolean")
+    got = M.monitor_snapshots(req, runs, db_calls=calls).orderBy("timestamp").collect()
+    assert [(r.timestamp[11:16], r.ready_ok, r.http_total, r.http_5xx, r.db_errors_total, r.ingestion_latest_status) for r in got] == [
+        ("00:05", 0, 1, 1, 0, "running"), ("00:10", 1, 1, 1, 1, "failed"), ("00:15", 1, 1, 1, 1, "running"),
+        ("00:20", 1, 1, 1, 1, "running"), ("00:25", 1, 2, 2, 1, "running")]
+    assert [r.db_errors_total for r in M.monitor_snapshots(req).orderBy("timestamp").collect()] == [0, 0, 0, 0, 1]
+
+
+def test_gauge_resets_and_goes_on(spark):
+    t = dt.datetime(2024, 1, 1)
+    ev = [(i, t + dt.timedelta(seconds=i), d) for i, d in enumerate([-1, -1, 1, 1, -1, -1, -1, 1])]
+    frame = spark.createDataFrame(ev, "event_id long, t timestamp_ntz, delta int")
+    for small in (50_000, 0):             # one bucket, and many
+        import seika.operators.numbering as N
+        out = N.running_sum(frame, ["t", "delta", "event_id"], {"x": "delta"}, small_rows=small, buckets=3, minima={"low": "x"})
+        got = [r.x - min(0, r.low) for r in out.orderBy("event_id").collect()]
+        assert got == [0, 0, 1, 2, 1, 0, 0, 1]
+    assert [r.inflight for r in M.gauge(frame).orderBy("event_id").collect()] == [0, 0, 1, 2, 1, 0, 0, 1]
+
+
 def test_inflight(spark):
     t = dt.datetime(2024, 1, 1)
     req = _req(spark, [(1, t, "GET", "/", 200, 2.0), (2, t + dt.timedelta(seconds=1), "GET", "/", 200, 2.0),

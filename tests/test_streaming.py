@@ -31,6 +31,37 @@ def test_ingest_stream_two_arrivals(spark, tmp_dir):
     assert wh.read().runs.count() == 2 and wh.read().fact.count() == 3
 
 
+def test_replayed_batch_keeps_one_run_and_failed_publish_keeps_the_old_state(spark, tmp_dir, monkeypatch):
+    from seika.operators.ingest import ingest_files
+    from seika.sources.warehouse import Warehouse
+
+    landing, wh = f"{tmp_dir}/utf8", Warehouse(spark, f"{tmp_dir}/wh")
+    write_csv(f"{landing}/20240105/a.csv", H, [row(), row(中値="110")])
+    now = dt.datetime(2024, 1, 5, 12)
+    for _ in range(2):                    # the same micro-batch twice
+        wh.publish(ingest_files(spark, landing, wh.read(without_run="s-0"), now=now, only=[f"{landing}/20240105/a.csv"]), run_key="s-0")
+    st = wh.read()
+    assert [(r.id, r.status) for r in st.runs.collect()] == [(1, "success")]
+    assert [(r.id, r.run_id) for r in st.files.collect()] == [(1, 1)] and st.fact.count() == 2
+    assert all(r.finished_at > r.started_at for r in st.runs.collect())
+    # a failure after the new fact was written, before the manifest
+    write_csv(f"{landing}/20240105/a.csv", H, [row(中値="1"), row(中値="2"), row(中値="3")])
+    before = sorted(map(str, wh.read().fact.collect()))
+    monkeypatch.setattr(Warehouse, "_write_dims", lambda *a: 1 / 0)
+    try:
+        wh.publish(ingest_files(spark, landing, wh.read(), now=now), run_key="s-1")
+    except ZeroDivisionError:
+        pass
+    monkeypatch.undo()
+    st = wh.read()
+    assert sorted(map(str, st.fact.collect())) == before and st.dim_item.count() == 1
+    assert sorted((r.id, r.status) for r in st.runs.collect()) == [(1, "success"), (2, "failed")]
+    wh.publish(ingest_files(spark, landing, wh.read(without_run="s-1"), now=now), run_key="s-1")
+    st = wh.read()
+    assert sorted(r.price_mid_yen for r in st.fact.collect()) == [1, 2, 3]
+    assert sorted((r.id, r.status) for r in st.runs.collect()) == [(1, "success"), (2, "success")]
+
+
 def test_snapshot_stream_matches_batch(spark, tmp_dir):
     t = dt.datetime(2024, 1, 1, 0, 0, 30)
     rows = [(i, t + dt.timedelta(minutes=2 * i), "GET", "/ready" if i % 3 == 0 else "/v1/items",
@@ -38,10 +69,10 @@ def test_snapshot_stream_matches_batch(spark, tmp_dir):
     src = f"{tmp_dir}/events"
     schema = "event_id long, ts timestamp_ntz, method string, path string, status int, seconds double"
     df = spark.createDataFrame(rows, schema)
-    # one ordered file per part: arrivals never fall behind the watermark
-    df.where(F.col("event_id") < 20).coalesce(1).write.parquet(f"{src}/part1")
+    # the second file is over half an hour late, for most of its events
+    df.where(F.col("event_id") % 3 == 0).coalesce(1).write.parquet(f"{src}/part1")
     time.sleep(1.1)
-    df.where(F.col("event_id") >= 20).coalesce(1).write.parquet(f"{src}/part2")
+    df.where(F.col("event_id") % 3 != 0).coalesce(1).write.parquet(f"{src}/part2")
     stream = (spark.readStream.schema(df.schema).option("recursiveFileLookup", "true")
               .option("maxFilesPerTrigger", "1").parquet(src))
     q = CS.start_snapshot_stream(spark, stream, f"{tmp_dir}/tables", f"{tmp_dir}/ck")
