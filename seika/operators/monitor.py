@@ -241,18 +241,23 @@ def alert_rules(snapshots: DataFrame) -> DataFrame:
 
 
 def inflight_requests(requests: DataFrame) -> DataFrame:
-    """M8: concurrent requests after every start (+1) and end (-1) event. At
-    equal times ends come before starts. The gauge is reset to 0 whenever it
-    would fall below and goes on from there, as the reference's is: the running
-    sum minus its least value so far (0 at most)."""
+    """M8: concurrent requests after every start (+1) and end (-1) event."""
+    return gauge(request_events(requests))
+
+
+def request_events(requests: DataFrame) -> DataFrame:
+    """(event_id, t, delta): a start and an end event of each request."""
     starts = requests.select("event_id", F.col("ts").alias("t"), F.lit(1).alias("delta"))
     ends = requests.select("event_id", (F.col("ts") + F.make_dt_interval(
         secs=F.col("seconds").cast("decimal(18,6)"))).alias("t"), F.lit(-1).alias("delta"))
-    return gauge(starts.unionByName(ends))
+    return starts.unionByName(ends)
 
 
 def gauge(events: DataFrame) -> DataFrame:
-    """The resetting gauge over (event_id, t, delta) events. A bucketed running
+    """The gauge over (event_id, t, delta) events; at equal times ends come
+    before starts. It is reset to 0 whenever it would fall below (an end whose
+    start is missing) and goes on from there, as the reference's does: the
+    running sum minus its least value so far (0 at most). A bucketed running
     sum and running minimum, so no single task orders the whole log."""
     out = running_sum(events, ["t", "delta", "event_id"], {"inflight": "delta"}, minima={"_least": "inflight"})
     return out.withColumn("inflight", (F.col("inflight") - F.least(F.lit(0), F.col("_least"))).cast("bigint")).drop("_least")

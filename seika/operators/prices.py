@@ -77,7 +77,7 @@ def fact_between(star: Star, lo: _dt.date | None = None, hi: _dt.date | None = N
 
 def _fact_for(star: Star, f) -> DataFrame:
     """``fact_between`` for the bounds of a ``DateFilter``."""
-    return fact_between(star, f.date or f.from_ or f.default_date, f.date or f.to)
+    return fact_between(star, f.date or f.from_ or f.default_from, f.date or f.to)
 
 
 def _with_names(df: DataFrame, star: Star, kinds=("market", "item", "origin"),
@@ -402,7 +402,7 @@ def ingestion_files(star: Star, run_id=None, limit=None, offset=None):
     if P.text(run_id):
         s = P.text(run_id)
         if not s.lstrip("+").isdigit() or int(s) <= 0:
-            raise ValueError("run_id must be positive integer")
+            raise ValueError("run_id: a number above 0 is needed")
         files = files.where(F.col("run_id") == int(s))
     page = files.orderBy(F.col("id").desc()).offset(off).limit(lim)
     meta = P.result_meta(limit=lim, offset=off)

@@ -62,7 +62,7 @@ WITH s AS (SELECT page_id,
              'attachment; filename="' || regexp_extract(url, '[^/]+$') || '"' AS disp,
              CAST(page_id AS VARCHAR) || '_' || regexp_extract(url, '//([^/:?#]+)', 1) || '_vegetable' AS fb
            FROM pages),
-n AS (SELECT page_id, fb, trim(regexp_extract(disp, 'filename\\*?=(?:UTF-8''''|"?)([^";\\r\\n]+)', 1)) AS m FROM s),
+n AS (SELECT page_id, fb, trim(split_part(disp, '"', 2)) AS m FROM s),
 d AS (SELECT page_id, fb, CASE WHEN m <> '' THEN url_decode(regexp_replace(lower(m), '^utf-8''''', ''))
                                ELSE fb || '.csv' END AS name FROM n),
 e AS (SELECT page_id, fb, name, regexp_extract(name, '(\\.[^./]*)$', 1) AS ext FROM d)

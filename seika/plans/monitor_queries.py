@@ -53,22 +53,31 @@ def _p95_ms(idx: str) -> str:
 
 
 SNAPSHOTS = REQ + f""",
-t AS (SELECT time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS tick_end, count(*) AS n,
+t0 AS (SELECT time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS tick_end, count(*) AS n,
         count(*) FILTER (WHERE status_class = '5xx') AS n5xx, count(*) FILTER (WHERE status = 500) AS ndb,
         bool_or(path = '/ready' AND status >= 500) AS ready_failed,
         {", ".join(f"count(*) FILTER (WHERE seconds <= {b}) AS le{i}" for i, b in enumerate(_B))}
       FROM cls GROUP BY 1),
-c AS (SELECT tick_end, ready_failed,
+t AS (SELECT tick_end, coalesce(ready_failed, false) AS ready_failed, coalesce(n, 0) AS n, coalesce(n5xx, 0) AS n5xx,
+        coalesce(ndb, 0) AS ndb, {", ".join(f"coalesce(le{i}, 0) AS le{i}" for i in range(len(_B)))}
+      FROM (SELECT unnest(generate_series(min(tick_end), max(tick_end), INTERVAL 5 MINUTE)) AS tick_end FROM t0)
+      LEFT JOIN t0 USING (tick_end)),
+runs AS (SELECT k, d + INTERVAL 62 MINUTE AS started_at, CASE WHEN k % 7 <> 0 THEN d + INTERVAL 93 MINUTE END AS finished_at,
+           CASE WHEN k % 5 = 0 THEN 'failed' WHEN k % 3 = 0 THEN 'partial_failed' ELSE 'success' END AS status
+         FROM (SELECT DISTINCT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS d, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS k FROM req)),
+seen AS (SELECT tick_end, max(k) AS k FROM t JOIN runs ON started_at <= tick_end AND started_at > tick_end - INTERVAL 400 DAY GROUP BY 1),
+st AS (SELECT tick_end, CASE WHEN finished_at <= tick_end THEN status ELSE 'running' END AS run_status FROM seen JOIN runs USING (k)),
+c AS (SELECT tick_end, ready_failed, run_status,
         sum(n) OVER w AS http_total, sum(n5xx) OVER w AS http_5xx, sum(ndb) OVER w AS db_errors_total,
         {", ".join(f"sum(le{i}) OVER w AS cum{i}" for i in range(len(_B)))}
-      FROM t WINDOW w AS (ORDER BY tick_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+      FROM t LEFT JOIN st USING (tick_end) WINDOW w AS (ORDER BY tick_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 snap AS (SELECT strftime(tick_end, '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
         CASE WHEN ready_failed THEN 0 ELSE 1 END AS ready_ok,
         CAST(http_total AS BIGINT) AS http_total, CAST(http_5xx AS BIGINT) AS http_5xx,
         CAST(db_errors_total AS BIGINT) AS db_errors_total,
         CAST({_p95_ms(_p95_idx([f"cum{i}" for i in range(len(_B))] + ["http_total"], "http_total"))} AS INTEGER)
           AS http_p95_ms,
-        'unknown' AS ingestion_latest_status
+        coalesce(run_status, 'unknown') AS ingestion_latest_status
       FROM c)"""
 
 ORACLE = {
@@ -112,11 +121,12 @@ SELECT * FROM a WHERE len(alerts) > 0""",
     "inflight_requests": REQ + """,
 ev AS (SELECT event_id, ts AS t, 1 AS delta FROM req
        UNION ALL
-       SELECT event_id, ts + to_microseconds(CAST(round(seconds * 1000000) AS BIGINT)) AS t, -1 AS delta FROM req)
+       SELECT event_id, ts + to_microseconds(CAST(round(seconds * 1000000) AS BIGINT)) AS t, -1 AS delta FROM req),
+s AS (SELECT *, sum(delta) OVER (ORDER BY t, delta, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x
+      FROM ev WHERE delta < 0 OR event_id % 50 <> 0)
 SELECT event_id, t, delta,
-  CAST(greatest(0, sum(delta) OVER (ORDER BY t, delta, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-       AS BIGINT) AS inflight
-FROM ev""",
+  CAST(x - least(0, min(x) OVER (ORDER BY t, delta, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS BIGINT) AS inflight
+FROM s""",
     "status_class": REQ + "\nSELECT status_class, count(*) AS requests FROM cls GROUP BY 1",
     "normalize_path": REQ + "\nSELECT path, path_label, count(*) AS requests FROM cls GROUP BY 1, 2",
 }
@@ -126,6 +136,11 @@ def _req(spark, sf_dir):
     return TD.requests(spark, sf_dir)
 
 
+def _snapshots(spark, sf_dir):
+    req = _req(spark, sf_dir)
+    return M.monitor_snapshots(req, TD.daily_runs(req))
+
+
 @register("http_request_counts", ORACLE["http_request_counts"])
 def http_request_counts(spark, sf_dir):
     """M1: request counts by normalised path, method and status class."""
@@ -153,26 +168,28 @@ def p95_from_buckets(spark, sf_dir):
 
 @register("monitor_snapshots", ORACLE["monitor_snapshots"])
 def monitor_snapshots(spark, sf_dir):
-    """M5: one snapshot row per 5-minute tick with running totals."""
-    return M.monitor_snapshots(_req(spark, sf_dir))
+    """M5: one snapshot row per 5-minute tick with running totals and the run status at that time."""
+    return _snapshots(spark, sf_dir)
 
 
 @register("snapshot_deltas", ORACLE["snapshot_deltas"])
 def snapshot_deltas(spark, sf_dir):
     """M6: newest 40 snapshots with neighbour deltas and 5xx rate."""
-    return M.snapshot_deltas(M.monitor_snapshots(_req(spark, sf_dir)))
+    return M.snapshot_deltas(_snapshots(spark, sf_dir))
 
 
 @register("alert_rules", ORACLE["alert_rules"])
 def alert_rules(spark, sf_dir):
     """M7: alerts raised at each snapshot."""
-    return M.alert_rules(M.monitor_snapshots(_req(spark, sf_dir)))
+    return M.alert_rules(_snapshots(spark, sf_dir))
 
 
 @register("inflight_requests", ORACLE["inflight_requests"])
 def inflight_requests(spark, sf_dir):
-    """M8: in-flight request gauge after each start/end event."""
-    return M.inflight_requests(_req(spark, sf_dir))
+    """M8: in-flight request gauge after each start/end event of a log that
+    lacks the start of every 50th request (its end then resets the gauge)."""
+    events = M.request_events(_req(spark, sf_dir))
+    return M.gauge(events.where((F.col("delta") < 0) | (F.col("event_id") % 50 != 0)))
 
 
 @register("status_class", ORACLE["status_class"])

@@ -61,30 +61,30 @@ def parse_date(v, field: str) -> _dt.date:
     if isinstance(v, _dt.date):
         return v
     if not _ISO_DATE.match(s):
-        raise ValueError(f"{field} format must be YYYY-MM-DD")
+        raise ValueError(f"{field}: not a date like 1998-12-31")
     try:
         return _dt.date.fromisoformat(s)
     except ValueError:
-        raise ValueError(f"{field} format must be YYYY-MM-DD") from None
+        raise ValueError(f"{field}: not a date like 1998-12-31") from None
 
 
 def validate_code(field: str, v: str) -> str:
     """Codes are limited to 32 bytes (UTF-8 length, as the reference measures it)."""
     if len(v.encode("utf-8")) > MAX_CODE_LENGTH:
-        raise ValueError(f"{field} too long: max {MAX_CODE_LENGTH} chars")
+        raise ValueError(f"{field}: more than {MAX_CODE_LENGTH} bytes")
     return v
 
 
 def validate_search(q: str) -> str:
     if len(q.encode("utf-8")) > MAX_SEARCH_LENGTH:
-        raise ValueError(f"q too long: max {MAX_SEARCH_LENGTH} chars")
+        raise ValueError(f"q: more than {MAX_SEARCH_LENGTH} bytes")
     return q
 
 
 def require(**named) -> None:
     missing = [k for k, v in named.items() if text(v) == ""]
     if missing:
-        raise ValueError("missing required params: " + ", ".join(missing))
+        raise ValueError("needed but not given: " + ", ".join(missing))
 
 
 @dataclass
@@ -124,9 +124,9 @@ def date_filter(date=None, from_=None, to=None, as_of: _dt.date | None = None,
         preds.append(c <= F.lit(t))
     if f is not None and t is not None:
         if t < f:
-            raise ValueError("to must be greater than or equal to from")
+            raise ValueError("the range ends before it begins")
         if (t - f).days > MAX_DATE_RANGE_DAYS:
-            raise ValueError(f"date range too large: max {MAX_DATE_RANGE_DAYS} days")
+            raise ValueError(f"a range may span {MAX_DATE_RANGE_DAYS} days at most")
     default_from = None
     if d is None and f is None and t is None and not full_history:
         if as_of is None:

@@ -20,7 +20,6 @@ DATE_HEADER = r'(?s)<h3 class="h3_title"[^>]*>\s*([^<]+?)\s*</h3>'
 ROW_BLOCK = (r'(?s)<tr>\s*<td class="kubun_td3_norb_left">\s*([^<]+?)\s*</td>\s*'
              r'<td class="kubun_td3_norb_left">\s*([^<]+?)\s*</td>(.*?)</tr>')
 CSV_ID = r"chohyoSubmit\('form003','([^']+)'\)"
-DISPOSITION_NAME = r'filename\*?=(?:UTF-8' + "''" + r'|"?)([^";\r\n]+)'
 # Category names of a row's CSV ids by position.
 CATEGORIES = ["vegetable", "fruit"]
 
@@ -122,7 +121,7 @@ def resolve_dates(date: str | None = None, from_: str | None = None,
         except ValueError as e:
             raise ValueError(f"invalid -from/-to: {e}") from None
         if f > t:
-            raise ValueError("-from must be <= -to")
+            raise ValueError("the range ends before it begins")
         return ("range", f, t)
     return None
 
@@ -140,7 +139,12 @@ def download_file_name(disposition, fallback_base) -> Column:
     ``utf-8''`` prefix dropped, URL-decoded when valid), else
     ``<fallback>.csv``; result ``sanitize(<fallback>_<base>) + <ext>`` with
     ``.csv`` when the name has no extension."""
-    m = trim_unicode(F.regexp_extract(_c(disposition), DISPOSITION_NAME, 1))
+    # RFC 6266: the extended parameter (charset'language'value) counts before the plain one
+    header = _c(disposition)
+    extended = F.regexp_extract(header, r"(?i)\bfilename\*\s*=\s*[^';]*'[^';]*'([^;\s]+)", 1)
+    quoted = F.regexp_extract(header, r'(?i)\bfilename\s*=\s*"([^"]*)"', 1)
+    token = F.regexp_extract(header, r'(?i)\bfilename\s*=\s*([^\s";]+)', 1)
+    m = trim_unicode(F.coalesce(F.nullif(extended, F.lit("")), F.nullif(quoted, F.lit("")), token))
     low = F.regexp_replace(F.lower(m), r"^utf-8''", "")
     decoded = F.coalesce(F.try_url_decode(low), low)
     name = F.when(m != "", decoded).otherwise(F.concat(_c(fallback_base), F.lit(".csv")))

@@ -208,6 +208,19 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def daily_runs(requests: DataFrame) -> DataFrame:
+    """Stand-in ingestion runs (id, started_at, finished_at, status): one for
+    each day of the request log, from 01:02 to 01:33; every third one fails in
+    part, every fifth one fails, every seventh one never finishes."""
+    day = requests.select(F.to_date("ts").alias("d")).distinct()
+    n = F.datediff("d", F.lit(_dt.date(1970, 1, 1)))
+    at = F.col("d").cast(requests.schema["ts"].dataType)
+    return day.select(
+        n.cast("bigint").alias("id"), (at + F.expr("INTERVAL '01:02' HOUR TO MINUTE")).alias("started_at"),
+        F.when(n % 7 != 0, at + F.expr("INTERVAL '01:33' HOUR TO MINUTE")).alias("finished_at"),
+        F.when(n % 7 == 0, "running").when(n % 5 == 0, "failed").when(n % 3 == 0, "partial_failed").otherwise("success").alias("status"))
+
+
 # Landing-zone defects added to the CSV files written from the raw rows.
 DEFECT_DAY_MISSING_HEADER = 13     # a second file per such date lacks the 動向 column
 DEFECT_DAY_POISON = 7              # a third file per such date holds one over-length market code
