@@ -13,7 +13,7 @@ besides one document. Sequence and step ids are made of the partition
 number and a count, so a task that runs again gives the same rows. A task's rest makes
 windows shorter than the longest tier, at most one of each size.
 
-Tokens: pieces between spaces or line feeds are encoded once per task and
+Tokens: words between spaces or line feeds are encoded once per worker and
 remembered (at most ``CACHE`` of them); the pre-tokenizer never joins across a space, so this equals
 encoding the whole text (tested).
 
@@ -26,7 +26,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,8 @@ from pyspark.sql import functions as F
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 16 * 4096
 POOL_TOKENS = 1 << 20
-CACHE = 200_000
+CACHE = 800_000
+PIECE = 2 << 20
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "tier int, step_id long")
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
@@ -45,36 +45,81 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 class Encoder:
-    """Token ids of texts, by a tokenizer file."""
+    """Token ids of texts, by a tokenizer file.
+
+    The different words of a batch (what stands between spaces or line feeds)
+    that aren't known yet are encoded together, joined by spaces, and told apart by the tokens'
+    offsets. The first ``CACHE`` words stay known; later ones only for their batch.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.end, self.known = Tokenizer.from_file(path), end_id, {}
-        self.split = re.compile("[ \n]+").split
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        words = list(words)
-        for e, w in zip(self.tok.encode_batch_fast(words, add_special_tokens=False), words, strict=True):
-            self.known[w] = e.ids
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        out = []
-        words = self.split(text) if text else []
-        for lo in range(0, len(words), CACHE // 2):
-            part = words[lo:lo + CACHE // 2]
-            try:
-                ids = list(chain.from_iterable(map(self.known.__getitem__, part)))
-            except KeyError:
-                new = set(part)
-                self._learn({w for w in new if w not in self.known} if len(self.known) + len(new) <= CACHE else new)
-                ids = list(chain.from_iterable(map(self.known.__getitem__, part)))
-            out.append(np.array(ids, np.uint32))
-        out.append(np.array([self.end], np.uint32))
-        return np.concatenate(out)
+        self.tok, self.end = Tokenizer.from_file(path), np.array([end_id], np.uint32)
+        self.known: dict[str, bytes] = {"": b""}
+        self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        split, apart = re.compile("[ \n]+").split, re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)").sub
+        # A full stop or comma between a letter and white space is a token of its own anyway.
+        self.split = lambda text: split(apart(r" \1", text))
+
+    def _learn(self, words: list[str]) -> None:
+        # A word of letters is one word of the tokenizer as well (but U+0130, which is lower-cased to a letter and a mark).
+        plain = [w for w in words if w.isalpha() and "\u0130" not in w]
+        other = [w for w in words if not w.isalpha() or "\u0130" in w]
+        groups = [plain[i:i + 1000] for i in range(0, len(plain), 1000)]
+        for own, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            self._know(own, ids, [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()])
+        groups = [other[i:i + 1000] for i in range(0, len(other), 1000)]
+        for own, e in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            word_at = np.cumsum([0, *(len(w) + 1 for w in own)])
+            token_at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+            self._know(own, ids, np.searchsorted(token_at, word_at).tolist())
+
+    def _know(self, words: list[str], ids: np.ndarray, cut: list[int]) -> None:
+        raw = ids.tobytes()
+        self.known.update(zip(words, (raw[4 * x:4 * y] for x, y in zip(cut, cut[1:], strict=False)), strict=True))
+
+    def _encode(self, parts: list[list[str]]) -> list[np.ndarray]:
+        new = sorted(set().union(*parts).difference(self.known))
+        self._learn(new)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in parts]
+        for w in new[max(0, CACHE - (len(self.known) - len(new))):]:
+            del self.known[w]
+        return out
+
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id; works on about ``PIECE`` characters at a time."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= PIECE):
+                size += len(texts[hi] or "")
+                hi += 1
+            if size > PIECE:  # one long text
+                yield np.concatenate([*(self._encode([self.split(x)])[0] for x in _pieces(texts[lo])), self.end])
+            else:
+                for ids in self._encode([self.split(t) if t else [] for t in texts[lo:hi]]):
+                    yield np.concatenate((ids, self.end))
+            lo = hi
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about ``PIECE`` characters, cut at a space or line feed."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            ends = [x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0]
+            end = min(ends) if ends else len(text)
+        yield text[at:end]
+        at = end
 
 
 class Packer:
@@ -173,10 +218,12 @@ def _pack(path: str | None, end_id: int, tiers: tuple[int, ...], step_tokens: in
             import public_tokenizers
 
             file = public_tokenizers.path("word_bpe_49k.json")
-        encode, packer = Encoder(file, end_id), Packer(TaskContext.get().partitionId(), tiers, step_tokens)
+        encode = _ENCODERS.get((file, end_id)) or Encoder(file, end_id)
+        _ENCODERS[file, end_id] = encode  # the worker's next task goes on with the words known
+        packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                packer.add(doc_id.as_py(), encode(text.as_py()))
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                packer.add(doc_id, ids)
                 if packer.tokens > pool_tokens:
                     packer.pack(pool_tokens // 4)
                 yield from packer.batches(2048)
