@@ -4,24 +4,23 @@ A document's set holds the 64-bit hashes of its distinct shingles, sorted. Two
 sets link when 100 * |intersection| >= PERCENT * |union|.
 
 1. Equal sets (128-bit hash of the sorted array) are one class with the smallest doc_id as
-   representative; each class has a parity bitmap (bit = hash mod m) with about one bit a shingle.
+   representative; each class has a parity bitmap (bit = hash mod m) of two to four bits a shingle.
 2. Similar sets share one of their |x| - ceil(0.75 |x|) + 1 first shingles in any
    common order. The order is: shingles common in the corpus last, then by hash, so
    the postings (shingle, class) of common passages stay out.
-3. First round: a posting list is cut into size bands (a factor 4/3); each class is
-   paired with the least class of its list and band. Most copies of a group are linked by
-   these pairs, and components are made of them.
-4. Second round, over the lists that still hold several components: size-banded tiles,
-   each band with itself and with the next, long lists cut into blocks; pairs of the same
-   component are skipped. All others are compared, so no link between components is lost.
+3. First round: each posting list is compared in size-banded tiles (each band of a
+   factor 4/3 with itself and the next, in blocks; a short list is one tile) by its
+   bitmaps, and gives a maximum spanning forest of estimated similarity, so a group of
+   near copies gives as many pairs as it has members. Components are made of the pairs that link.
+4. Second round, over the lists that still hold several components: the same tiles,
+   all pairs of different components, so no link between components is lost.
 5. In both rounds a pair is dropped if its sizes, or the bit count of the XOR of its
    bitmaps (a lower bound of the symmetric difference, so an upper one of the overlap), rule it out; what is left is decided
    by the exact intersection of the sorted arrays.
 
 Scale: postings of 16 bytes, about a quarter of the shingles; only lists of
-two classes or more go on. Common shingles are found by lossy counting over all
-documents; they change the order, never the result. Lists of common shingles are salted in the first round and joined by their
-least classes. Verification sends each array once for each partner group it is
+two classes or more go on, one for each set of members. Common shingles are found by lossy counting over all
+documents; they change the order, never the result. Lists of common shingles are gathered in salted parts. Verification sends each array once for each partner group it is
 compared in; a group's base array goes before its members, and large groups are split by salts. No task holds a group's arrays.
 
 Defined cases: null or wordless text has an empty set, linked with nothing; fewer than five words are one
@@ -32,6 +31,7 @@ not a text are one node, linked with whatever either is similar to.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +49,11 @@ PIECE = 4 << 20
 # Common shingles: counted COMMON_IN_PART times in one buffer of documents, COMMON in all; at most COMMON_MOST are kept.
 COMMON_IN_PART, COMMON, COMMON_MOST = 8, 64, 200_000
 BUFFER = 1 << 21
-# Salts of a common shingle's list in the first round; classes of a block in the second.
-SALTS, BLOCK = 64, 4096
+# Parts of a common shingle's list; classes of a block.
+SALTS, BLOCK = 64, 2048
 GROUP = 2000
+# Lists of so few classes are compared without arrays.
+FEW = 16
 BROADCAST_ROWS = 200_000
 _ROLL = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(WORDS)]
 
@@ -85,35 +87,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def bitmap_of(s: np.ndarray) -> bytes:
-    """Parity bitmap; the number of bits is the power of two from the set's size on, 64 to 8192."""
-    m = 1 << min(13, max(6, int(len(s) - 1).bit_length()))
+    """Parity bitmap; the number of bits is the power of two from twice the set's size on, 64 to 16,384."""
+    m = 1 << min(14, max(6, int(2 * len(s) - 1).bit_length()))
     return np.packbits((np.bincount((s >> np.uint64(11)).astype(np.int64) & (m - 1), minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
-def bitmap_differs(a: bytes, b: bytes) -> int:
-    """Bits that differ; the longer bitmap is folded to the shorter one's size by XOR."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def may_link(na: int, nb: int, differing: int) -> bool:
-    """Whether sets of these sizes with at least ``differing`` foreign shingles can link."""
-    most = (na + nb - differing) // 2
-    return 100 * most >= PERCENT * (na + nb - most)
-
-
 def links(na: int, nb: int, both: int) -> bool:
     return 100 * both >= PERCENT * (na + nb - both)
 
 
-def band_of(n: int) -> int:
-    return int(np.log(n) / np.log(4 / 3) + 1e-9)
-
-
 _SIG = "doc_id long, n long, k0 long, k1 long, bitmap binary, common long, times long"
 
 
@@ -193,12 +175,14 @@ def _postings(common: np.ndarray):
     return run
 
 
-_LIST = "h long, salt int, band int, k0 long, n int, least long"
+_LIST = "g0 long, g1 long, band int, k0 long, n int"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's postings: those whose (h, salt) holds two sets or more, all
-    of salted ones, with the least k0 of their size band."""
+    of salted ones. A list is named by its
+    members (128 bits), as shingles of one passage have equal lists and one of them is
+    enough; a salted list by its shingle."""
     read = [b for b in batches if b.num_rows]
     if not read:
         return
@@ -223,79 +207,183 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once = np.concatenate(([True], (np.diff(h) != 0) | (np.diff(salt) != 0) | (np.diff(k0) != 0) | (np.diff(band) != 0)))
     h, salt, k0, n, band = (x[once] for x in (h, salt, k0, n, band))
     list_new = np.concatenate(([True], (np.diff(h) != 0) | (np.diff(salt) != 0)))
+    begin = np.flatnonzero(list_new)
     group = np.cumsum(list_new) - 1
-    many = (np.bincount(group)[group] > 1) | (salt > 0)
-    new = np.concatenate(([True], list_new[1:] | (np.diff(band) != 0)))
-    least = k0[np.maximum.accumulate(np.where(new, np.arange(len(k0)), 0))]
-    h, salt, band, k0, n, least = (x[many] for x in (h, salt, band, k0, n, least))
-    for lo in range(0, len(h), 50_000):
-        hi = lo + 50_000
-        yield pa.record_batch([pa.array(x[lo:hi]) for x in (h, salt, band, k0, n, least)], [x.split()[0] for x in _LIST.split(", ")])
+    hot = salt[begin] > 0
+    name = np.empty((len(begin), 2), np.int64)
+    for i, seed in enumerate((np.uint64(0x51), np.uint64(0xA7))):
+        name[:, i] = np.add.reduceat(mix64(mix64(k0.view(np.uint64) + seed)), begin).view(np.int64)
+    name[hot, 0], name[hot, 1] = h[begin][hot], -1
+    kept = np.zeros(len(begin), bool)
+    kept[np.unique(name, axis=0, return_index=True)[1]] = True
+    kept &= np.bincount(group) > 1
+    many = (kept | hot)[group]
+    out = [x[many] for x in (name[group, 0], name[group, 1], band, k0, n)]
+    for lo in range(0, len(out[0]), 50_000):
+        yield pa.record_batch([pa.array(x[lo:lo + 50_000]) for x in out], [x.split()[0] for x in _LIST.split(", ")])
+
+
+def _forest(score: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) of a maximum spanning forest of the components in ``left``
+    (rows) and ``right`` (columns), by Boruvka's rounds; -inf is no edge."""
+    names = {c: i for i, c in enumerate(np.unique(np.concatenate((left, right))).tolist())}
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    l0, r0 = (np.array([names[c] for c in y.tolist()]) for y in (left, right))
+    edges = []
+    while True:
+        top = np.array([root(i) for i in range(len(parent))])
+        lc, rc = top[l0], top[r0]
+        open_ = np.where(lc[:, None] == rc[None, :], -np.inf, score)
+        best: dict[int, tuple[float, int, int]] = {}
+        for axis, comp in ((1, lc), (0, rc)):
+            other = open_.argmax(axis=axis)
+            value = open_.max(axis=axis)
+            for i in np.flatnonzero(value > -np.inf).tolist():
+                j = int(other[i])
+                edge = (float(value[i]), i, j) if axis else (float(value[i]), j, i)
+                if edge > best.get(int(comp[i]), (-np.inf, 0, 0)):
+                    best[int(comp[i])] = edge
+        if not best:
+            return edges
+        for _, i, j in sorted(set(best.values()), reverse=True):
+            a, b = root(l0[i]), root(r0[j])
+            if a != b:
+                parent[b] = a
+                edges.append((i, j))
+
+
+def _allowed_pairs(left: list, right: list, forest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of (rep, component, n, bitmap) rows of different components that sizes and bitmaps allow; with ``forest`` a
+    maximum spanning forest of them by estimated similarity."""
+    if left is right and len(left) <= FEW:
+        yield from _few_pairs(left, forest)
+        return
+    pick = lambda rows, k: np.array([x[k] for x in rows], np.int64)
+    reps, comps, sizes = ([pick(rows, k) for rows in (left, right)] for k in range(3))
+    score = np.full((len(left), len(right)), -np.inf, np.float32)
+    widths = [pick([(len(x[3]),) for x in rows], 0) for rows in (left, right)]
+    for m in np.unique(widths[0]):
+        for m2 in np.unique(widths[1]):
+            i, j = np.flatnonzero(widths[0] == m), np.flatnonzero(widths[1] == m2)
+            w = min(m, m2)
+            fold = lambda rows, k: np.bitwise_xor.reduce(np.stack([np.frombuffer(rows[x][3], np.uint8) for x in k]).reshape(len(k), -1, w), axis=1).view(np.uint64)  # noqa: E731, B023
+            a, b = fold(left, i), fold(right, j)
+            step = max(1, (4 << 20) // max(1, w * len(j)))
+            for lo in range(0, len(i), step):
+                k = i[lo:lo + step]
+                differ = np.bitwise_count(a[lo:lo + step, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+                na, nb = sizes[0][k][:, None], sizes[1][j][None, :]
+                total = na + nb
+                most = np.minimum((total - differ) // 2, np.minimum(na, nb))
+                ok = (100 * most >= PERCENT * (total - most)) & (comps[0][k][:, None] != comps[1][j][None, :])
+                guess = -4.0 * w * np.log(np.maximum(1 - differ / (4.0 * w), 1e-3))  # of the symmetric difference
+                score[np.ix_(k, j)] = np.where(ok, (total - guess) / (total + guess), -np.inf)
+    edges = _forest(score, comps[0], comps[1]) if forest else zip(*(x.tolist() for x in np.nonzero(score > -np.inf)), strict=True)
+    for i, j in edges:
+        x, y = int(reps[0][i]), int(reps[1][j])
+        yield min(x, y), max(x, y)
+
+
+def _folded(bitmap: bytes, width: int) -> int:
+    n, x = len(bitmap), int.from_bytes(bitmap)
+    while n > width:
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    return x
+
+
+def _few_pairs(rows: list, forest: bool) -> Iterator[tuple[int, int]]:
+    """``_allowed_pairs`` of a short list with itself, without arrays."""
+    edges = []
+    for i, (rep, comp, n, bitmap) in enumerate(rows):
+        for rep2, comp2, n2, bitmap2 in rows[:i]:
+            total = n + n2
+            if comp == comp2 or 100 * min(n, n2) < PERCENT * max(n, n2):
+                continue
+            w = min(len(bitmap), len(bitmap2))
+            differ = (_folded(bitmap, w) ^ _folded(bitmap2, w)).bit_count()
+            most = min((total - differ) // 2, n, n2)
+            if 100 * most >= PERCENT * (total - most):
+                guess = -4.0 * w * math.log(max(1 - differ / (4.0 * w), 1e-3))
+                edges.append(((total - guess) / (total + guess), rep, rep2, comp, comp2))
+    edges.sort(reverse=True)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    for _, rep, rep2, comp, comp2 in edges:
+        if forest:
+            a, b = root(comp), root(comp2)
+            if a == b:
+                continue
+            parent[a] = b
+        yield min(rep, rep2), max(rep, rep2)
 
 
-def _bitmaps_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        na, nb = b.column("na").to_pylist(), b.column("nb").to_pylist()
-        ok = [may_link(x, y, bitmap_differs(p, q)) for x, y, p, q in zip(na, nb, b.column("ba").to_pylist(), b.column("bb").to_pylist(), strict=True)]
-        out = b.filter(pa.array(ok, pa.bool_()))
-        yield pa.record_batch([out.column("a"), out.column("b")], ["a", "b"])
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile's two sides that sizes and bitmaps allow. Rows come sorted by tile; ``side`` 0: both
-    sides (a block with itself), 1: left, 2: right."""
-    found: set[tuple[int, int]] = set()
-
-    def compare(left: list, right: list | None) -> None:
-        other = left if right is None else right
-        for m in {len(x[3]) for x in left}:
-            rows = [x for x in left if len(x[3]) == m]
-            a = np.stack([np.frombuffer(x[3], np.uint8) for x in rows])
-            for m2 in {len(x[3]) for x in other}:
-                cols = [x for x in other if len(x[3]) == m2]
-                b = np.stack([np.frombuffer(x[3], np.uint8) for x in cols])
-                w = min(m, m2)
-                fa = np.bitwise_xor.reduce(a.reshape(len(a), -1, w), axis=1).view(np.uint64)
-                fb = np.bitwise_xor.reduce(b.reshape(len(b), -1, w), axis=1).view(np.uint64)
-                na, nb = (np.array([x[2] for x in y], np.int64) for y in (rows, cols))
-                ca, cb = (np.array([x[1] for x in y], np.int64) for y in (rows, cols))
-                ia, ib = (np.array([x[0] for x in y], np.int64) for y in (rows, cols))
-                step = max(1, (4 << 20) // max(1, w * len(cols)))
-                for lo in range(0, len(rows), step):
-                    s = slice(lo, lo + step)
-                    differ = np.bitwise_count(fa[s, None, :] ^ fb[None, :, :]).sum(axis=2, dtype=np.int64)
-                    total = na[s, None] + nb[None, :]
-                    most = np.minimum((total - differ) // 2, np.minimum(na[s, None], nb[None, :]))
-                    ok = (100 * most >= PERCENT * (total - most)) & (ca[s, None] != cb[None, :])
-                    for i, j in zip(*np.nonzero(ok), strict=True):
-                        x, y = int(ia[lo + i]), int(ib[j])
-                        found.add((min(x, y), max(x, y)))
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        pairs = list(found)
-        found.clear()
-        for lo in range(0, len(pairs), 50_000):
-            part = pairs[lo:lo + 50_000]
-            yield pa.record_batch([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["a", "b"])
-
-    tile, sides = None, ([], [], [])
-    for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("h", "tile", "side", "rep", "component", "n", "bitmap")]
-        for h, t, side, rep, comp, n, bits in zip(*cols, strict=True):
-            if (h, t) != tile:
-                if sides[0]:
-                    compare(sides[0], None)
-                elif sides[1] and sides[2]:
-                    compare(sides[1], sides[2])
-                tile, sides = (h, t), ([], [], [])
-                if len(found) > 500_000:
-                    yield from flush()
-            sides[side].append((rep, comp, n, bits))
-    if sides[0]:
-        compare(sides[0], None)
-    elif sides[1] and sides[2]:
-        compare(sides[1], sides[2])
-    yield from flush()
+def _tiles(forest: bool):
+    """Pairs of each tile. Rows come sorted by tile; ``side`` 0: a block with itself, 1 and 2: the two sides."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+
+        def close(sides: tuple[list, list, list]) -> None:
+            if sides[0]:
+                found.update(_allowed_pairs(sides[0], sides[0], forest))
+            elif sides[1] and sides[2]:
+                found.update(_allowed_pairs(sides[1], sides[2], forest))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = list(found)
+            found.clear()
+            for lo in range(0, len(pairs), 50_000):
+                part = pairs[lo:lo + 50_000]
+                yield pa.record_batch([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["a", "b"])
+
+        tile, sides = None, ([], [], [])
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("g0", "g1", "tile", "side", "rep", "component", "n", "bitmap")]
+            for g0, g1, t, side, rep, comp, n, bits in zip(*cols, strict=True):
+                if (g0, g1, t) != tile:
+                    close(sides)
+                    tile, sides = (g0, g1, t), ([], [], [])
+                    if len(found) > 500_000:
+                        yield from flush()
+                sides[side].append((rep, comp, n, bits))
+        close(sides)
+        yield from flush()
+    return run
+
+
+def _tile_pairs(labelled: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of representatives from the lists that hold several components.
+    ``labelled``: g0, g1, band, rep, n, component."""
+    key = ["g0", "g1"]
+    mixed = (labelled.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
+             .where("lo <> hi").select(*key, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+    rest = labelled.join(mixed, key).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    # A list of one block is one tile. A longer one has tiles (band, block) x (band or the next, block);
+    # each row goes to the tiles of its band and of the one below.
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    b = lambda x, y, bx, by: F.concat_ws(":", x, bx, y, by)
+    same = F.transform(others, lambda o: F.struct(
+        b(F.col("band"), F.col("band"), F.least(F.col("block"), o), F.greatest(F.col("block"), o)).alias("tile"),
+        F.when(o == F.col("block"), 0).when(o > F.col("block"), 1).otherwise(2).alias("side")))
+    up = F.transform(others, lambda o: F.struct(b(F.col("band"), F.col("band") + 1, F.col("block"), o).alias("tile"), F.lit(1).alias("side")))
+    down = F.transform(others, lambda o: F.struct(b(F.col("band") - 1, F.col("band"), o, F.col("block")).alias("tile"), F.lit(2).alias("side")))
+    whole = F.array(F.struct(F.lit("").alias("tile"), F.lit(0).alias("side")))
+    tiles = rest.withColumn("t", F.explode(F.when(F.col("blocks") == 1, whole).otherwise(F.concat(same, up, down)))).select(
+        *key, "t.tile", "t.side", "rep", "component", F.col("n").cast("long").alias("n"))
+    tiles = tiles.join(reps.select("rep", "bitmap"), "rep")
+    return tiles.repartition(*key, "tile").sortWithinPartitions(*key, "tile", "side").mapInArrow(_tiles(forest), "a long, b long").distinct()
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,43 +462,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     reps = stage(members.groupBy("k0", "k1").agg(F.min("doc_id").alias("rep"), F.first("n").cast("long").alias("n"), F.first("bitmap").alias("bitmap")), "jaccard-classes")
 
     posted = own.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(common), "h long, salt int, k0 long, n int")
-    lists = stage(posted.repartition("h", "salt").mapInArrow(_lists, _LIST), "jaccard-lists")
-    # Salted parts of a list are joined through the least class of each part.
-    top = lists.where("salt > 0").groupBy("h", "band").agg(F.min("least").alias("top"))
-    over = lists.where("salt > 0").select("h", "band", "least").distinct().join(top, ["h", "band"])
-    star = (lists.select(F.col("least").alias("x"), F.col("k0").alias("y")).unionByName(over.select(F.col("top").alias("x"), F.col("least").alias("y")))
-            .where("x <> y").distinct())
-    side = lambda s: reps.select(F.col("k0").alias(f"k{s}"), F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("bitmap").alias(f"b{s}"))
-    close = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    allowed = (star.join(side("a"), F.col("x") == F.col("ka")).join(side("b"), F.col("y") == F.col("kb")).where(close & (F.col("a") != F.col("b")))
-               .select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bitmaps_allow, "a long, b long"))
+    lists = stage(stage(posted.repartition("h", "salt").mapInArrow(_lists, _LIST), "jaccard-lists").distinct(), "jaccard-lists")
+    listed = stage(lists.join(reps.select("k0", "rep"), "k0").drop("k0"), "jaccard-listed")
+    pairs = _tile_pairs(listed.withColumn("component", F.col("rep")), reps, True)
     # Rows that share a doc_id but not a set: their classes belong together.
     shared = (members.select("doc_id", "k0", "k1").distinct().join(reps.select("k0", "k1", "rep"), ["k0", "k1"])
               .where("doc_id <> rep").groupBy("doc_id").agg(F.collect_set("rep").alias("r")).where(F.size("r") > 1)
               .select(F.array_min("r").alias("a"), F.explode("r").alias("b")).where("a <> b"))
-    first = stage(_verified(own, reps, allowed).distinct().unionByName(shared), "jaccard-links")
+    first = stage(_verified(own, reps, pairs).distinct().unionByName(shared), "jaccard-links")
     grouped = components(first)
 
-    # Second round: lists that hold several components.
-    labelled = (lists.select("h", "band", "k0", "n").distinct()
-                .join(reps.select("k0", "rep", "bitmap"), "k0")
-                .join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    # Second round: lists that still hold several components.
+    labelled = (listed.join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left")
                 .withColumn("component", F.coalesce("component", "rep")))
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    rest = labelled.join(mixed, "h")
-    counts = rest.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(counts, "h").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
-    # A tile is (band, block) x (band or the next, block); each row goes to the tiles of its band and of the one below.
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    b = lambda x, y, bx, by: F.concat_ws(":", x, bx, y, by)
-    same = F.transform(others, lambda o: F.struct(
-        b(F.col("band"), F.col("band"), F.least(F.col("block"), o), F.greatest(F.col("block"), o)).alias("tile"),
-        F.when(o == F.col("block"), 0).when(o > F.col("block"), 1).otherwise(2).alias("side")))
-    up = F.transform(others, lambda o: F.struct(b(F.col("band"), F.col("band") + 1, F.col("block"), o).alias("tile"), F.lit(1).alias("side")))
-    down = F.transform(others, lambda o: F.struct(b(F.col("band") - 1, F.col("band"), o, F.col("block")).alias("tile"), F.lit(2).alias("side")))
-    tiles = rest.withColumn("t", F.explode(F.concat(same, up, down))).select(
-        "h", "t.tile", "t.side", "rep", "component", F.col("n").cast("long").alias("n"), "bitmap")
-    pairs = (tiles.repartition("h", "tile").sortWithinPartitions("h", "tile", "side").mapInArrow(_tiles, "a long, b long").distinct())
+    pairs = _tile_pairs(stage(labelled, "jaccard-listed"), reps, False)
     second = stage(_verified(own, reps, pairs), "jaccard-links")
     final = components(first.unionByName(second.where("a <> b"))) if second.limit(1).count() else grouped
     classes = (reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
