@@ -177,6 +177,35 @@ def test_url_templates_by_labels(spark):
     assert out[0]["template"] == "spam/offer-#/buy" and out[200]["template"] == "user/*/page"
 
 
+def judged_urls(spark, groups):
+    """(url, pages, label or None) each, as verdict and rounded purity by url."""
+    rows = [(url.format(i), label) for url, n, label in groups for i in range(n)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows) if x is not None], "page_id long, bad int")
+    return {r["host"] + "/" + r["template"]: (r["verdict"], round(r["purity"], 3)) for r in url_filter.url_filter(pages, [], labels).collect()}
+
+
+def test_url_branches_are_not_bridged(spark):
+    good, bad = ("http://h/fr/{}", 1000, 0), ("http://h/de/{}", 1000, 1)
+    apart = judged_urls(spark, [good, bad])
+    assert apart["h/de/#"][0] == "block" and apart["h/fr/#"][0] == "allow"
+    # One page without a label, or with too few of them, joins nothing and bridges nothing.
+    assert judged_urls(spark, [good, bad, ("http://h/en/{}", 1, None)]) == {**apart, "h/en/#": ("allow", 0.5)}
+    few = judged_urls(spark, [good, bad, ("http://h/en/{}", 1, 0), ("http://h/en/{}", 1, 1)])
+    assert {k: v[0] for k, v in few.items()} == {"h/de/#": "block", "h/fr/#": "allow", "h/en/#": "allow"}
+    # Rates that rise in small steps: the branch is tested as a whole.
+    steps = [(f"http://h/{'abcdefgh'[i]}/{{}}", 40, x) for i in range(8) for x in ([0] * (7 - i) + [1] * i)]
+    out = judged_urls(spark, steps)
+    assert out["h/h/#"][0] == "block" and out["h/a/#"][0] == "allow"
+
+
+def test_url_templates_without_labels(spark):
+    out = judged_urls(spark, [("http://h/de/{}", 100, 1), ("http://h/en/{}", 5, None), ("http://h/de/x/{}", 5, None),
+                              ("http://g/fr/{}", 300, 0), ("http://i/en/{}", 5, None)])
+    assert out["h/de/#"][0] == "block" and out["h/de/x/#"][0] == "block"  # the prefix de/ has labels
+    assert out["h/en/#"][0] == "allow" and out["i/en/#"] == ("allow", round(100.5 / 401, 3))
+
+
 def test_tool_calls(spark):
     calls = [(1, "a", 1, "search", '{"query": "x", "limit": 3}'), (1, "b", 2, "search", '{"limit":1,"query":{"$ref":"a"}}'),
              (1, "c", 3, "search", '{"query":{"$ref": "b"},"z":{"b":1,"a":[1,2]}}'), (1, "d", 4, "search", '{"query":{"$ref":"e"}}'),
