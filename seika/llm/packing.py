@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +66,18 @@ class Encoder:
         self.split = lambda text: split(apart(r" \1", text))
 
     def _learn(self, words: list[str]) -> None:
-        # A word of letters is one word of the tokenizer as well (but U+0130, which is lower-cased to a letter and a mark).
-        plain = [w for w in words if w.isalpha() and "\u0130" not in w]
-        other = [w for w in words if not w.isalpha() or "\u0130" in w]
+        # A word of letters is one word of the tokenizer as well, but U+0130, which is lower-cased to a letter
+        # and a mark, and what NFC changes: some letters (U+0958, U+FB1D, ...) become a letter and a mark too.
+        whole = {w: w.isalpha() and "\u0130" not in w and is_normalized("NFC", w) for w in words}
+        plain, other = [w for w in words if whole[w]], [w for w in words if not whole[w]]
         groups = [plain[i:i + 1000] for i in range(0, len(plain), 1000)]
         for own, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            self._know(own, ids, [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()])
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(own):
+                self._know(own, ids, [0, *ends.tolist()])
+            else:  # the tokenizer parts or joins some of these words
+                other += own
         groups = [other[i:i + 1000] for i in range(0, len(other), 1000)]
         for own, e in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")

@@ -96,6 +96,23 @@ def test_empty_tables(spark):
     assert warc.read_warc(spark, folder).count() == 0
 
 
+# Letters of every block that NFC parts into a letter and a mark, or swaps for others.
+PARTED = ("\u0958\u095c\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59\u0a5b\u0a5e\u0b5c\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69"
+          "\ufb1d\ufb1f\ufb2a\ufb2c\ufb36\ufb3e\ufb40\ufb43\ufb46\ufb4e\u2126\u212a\u212b\uf900\u0130\u1112\u1161\u11ab")
+
+
+def test_packing_of_words_that_the_normaliser_parts():
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    texts = ["hello \u0938\u095c\u0915 there", *PARTED, *(f"one a{c}b two {c}{c}\n{c}" for c in PARTED), " ".join(PARTED)]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == [*encode.tok.encode(text, add_special_tokens=False).ids, 2], ascii(text)
+    fresh = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    fresh.ends_word[:] = False  # no count of ends fits: by offsets
+    assert [x.tolist() for x in fresh(["some words of text"])] == [x.tolist() for x in encode(["some words of text"])]
+
+
 def test_hosts_are_rejected_together(spark):
     bad = [(i, "too short", "en", "spam", 1) for i in range(40)] + [(100, BODY, "en", "spam", 1)]
     good = [(200 + i, BODY + f" {i}", "en", f"s{i % 4}", 1) for i in range(40)]
