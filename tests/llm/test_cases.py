@@ -1,9 +1,12 @@
 """Defined cases: nulls, empty tables, extra and clashing columns, repeated rows, and the guard of the entry."""
 
 import os
+import random
+import re
 import shutil
 import subprocess
 import sys
+import textwrap
 
 import duckdb
 import pytest
@@ -142,6 +145,48 @@ def test_license_scan_against_sql(spark):
     assert [r[cols.index("license")] for r in sorted(got)[:len(license_scan.TEMPLATES)]] == list(license_scan.TEMPLATES)
 
 
+def test_license_texts_wrapped_and_embedded(spark):
+    full, short = license_scan.full_texts(), license_scan.TEMPLATES
+    wrapped = "\n".join(textwrap.wrap(short["Apache-2.0-header"], 78))
+    other = "\n".join(" ".join(f"w{i}x{j}" for j in range(10)) for i in range(30))
+    texts = {name: (f"Copyright (c) 2020 Some One\n\n{text}", name, 1) for name, text in full.items()}
+    texts |= {f"in {name}": (f"{other}\n{text}\n{other}", name, 1) for name, text in full.items()}
+    texts["header"] = (f"{other}\n{wrapped}\n{other}", "Apache-2.0-header", 1)
+    texts["comment"] = ("#!/bin/sh\n" + "\n".join(f"# {x}" for x in wrapped.split("\n")) + f"\n{other}", "Apache-2.0-header", 1)
+    texts["both"] = (f"{full['MIT-full']}\n{other}\n{full['ISC-full']}\n{other}\n{full['MIT-full']}", None, 3)
+    texts["none"] = (other, None, 0)
+    rows = [(i, t, "en", "s", 1) for i, (t, _, _) in enumerate(texts.values())]
+    out = {r["doc_id"]: r for r in license_scan.license_scan(doc_table(spark, rows)).collect()}
+    for i, (name, (_, want, n)) in enumerate(texts.items()):
+        if want in ("Apache-2.0-full", "GPL-3.0-full", "MPL-2.0-full", "Unlicense-full"):  # these hold their own notice
+            assert out[i]["license"].startswith(want.removesuffix("-full")) and out[i]["dice"] > 0.9, (name, out[i])
+        elif want:
+            assert out[i]["license"] == want and out[i]["dice"] > 0.9, (name, out[i])
+        if name not in full and name[3:] not in full:
+            assert out[i]["n_matches"] == n, (name, out[i])
+
+
+def test_license_runs_against_plain_python(spark):
+    rng = random.Random(5)
+    notice = license_scan.TEMPLATES["MPL-2.0-header"].split()
+    rows = []
+    for i in range(30):
+        words = [w for w in notice if rng.random() > 0.06] + rng.choices(notice, k=rng.randrange(12))
+        words = rng.choices("abc", k=rng.randrange(9)) + words + rng.choices("the of mpl".split(), k=rng.randrange(9))
+        rows.append((i, "".join(w + rng.choice([" ", " ", " ", "\n", "\n\n"]) for w in words), "en", "s", 1))
+    grams = lambda w: set(zip(w, w[1:]))
+    norm = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).split()
+    t, want = norm(" ".join(notice)), {}
+    for i, text, *_ in rows:
+        lines = [norm(x) for x in text.split("\n")]
+        runs = [[w for x in lines[a:b] for w in x] for a in range(len(lines)) for b in range(a + 1, len(lines) + 1)]
+        dice = max(2 * len(grams(r) & grams(t)) / (len(grams(r)) + len(grams(t))) for r in runs if 2 <= len(r) <= len(t) * 5 / 3)
+        want[i] = round(dice, 9) if dice >= 0.75 else None
+    out = license_scan.license_scan(doc_table(spark, rows), templates={"MPL": " ".join(notice)}).collect()
+    assert {r["doc_id"]: r["dice"] and round(r["dice"], 9) for r in out} == want
+    assert len(set(want.values())) > 5
+
+
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (3, None, None), (4, "http://b\r\nX: y", ""), (5, "http://c", "ä" * 2000),
          (6, "http://c", "ä" * 2000), (7, "http://d", "one"), (7, "http://d", "one"), (8, "http://e", "p\r\n\r\nWARC/1.1\r\n")]
 
