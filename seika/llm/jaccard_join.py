@@ -467,7 +467,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     pairs = _tile_pairs(listed.withColumn("component", F.col("rep")), reps, True)
     # Rows that share a doc_id but not a set: their classes belong together.
     shared = (members.select("doc_id", "k0", "k1").distinct().join(reps.select("k0", "k1", "rep"), ["k0", "k1"])
-              .where("doc_id <> rep").groupBy("doc_id").agg(F.collect_set("rep").alias("r")).where(F.size("r") > 1)
+              .groupBy("doc_id").agg(F.collect_set("rep").alias("r")).where(F.size("r") > 1)
               .select(F.array_min("r").alias("a"), F.explode("r").alias("b")).where("a <> b"))
     first = stage(_verified(own, reps, pairs).distinct().unionByName(shared), "jaccard-links")
     grouped = components(first)

@@ -84,6 +84,14 @@ def test_nulls_and_repeats(spark):
     assert len(scan) == len(ROWS)
 
 
+def test_rows_of_one_doc_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i} goes on" for i in range(40)) for x in "abc")
+    # Doc 5 is the first of its own text and stands in doc 3's class with the other one.
+    rows = [(5, a), (5, b), (3, b), (8, a + " near"), (9, c)]
+    out = jaccard_join.jaccard_join(doc_table(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(3, 3), (5, 3), (5, 3), (8, 3), (9, 9)]
+
+
 def test_empty_tables(spark):
     docs = doc_table(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
