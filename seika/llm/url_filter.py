@@ -7,7 +7,7 @@ A-Z lower-cased; the path goes on up to ``?`` or ``#``. Of the rules that fit
 Pages without a rule are judged by the tree. Every path becomes a leaf: its
 segments with digit runs replaced by ``#``. Level by level, where a host's branch
 has more than ``max_children`` different segments, that segment becomes the
-wildcard ``*``. Templates of a host with at least ``min_labelled`` labels that differ in literal
+wildcard ``*``; it ends where no branch has more leaves than that, at whatever depth. Templates of a host with at least ``min_labelled`` labels that differ in literal
 segments only are merged, in order of their rates, while a template's rate doesn't differ
 significantly from the pooled rate of the branch so far. A branch's purity is
 (bad + k * prior) / (labelled + k), with the share of bad
@@ -22,7 +22,7 @@ Scale: pages are first reduced to leaf counts by a partial aggregate, so a host
 with a third of all pages sends one row per leaf and task; the tree works on leaves.
 Each level is written to the shared folder. Branches are made in one pass over sorted
 rows; one host's templates of one shape, at most ``max_children`` to the power of the literal
-segments, are in one task, which holds one batch of them. Deeper segments than ``max_depth`` become one ``**``. Rules are a parameter, a literal expression.
+segments, are in one task, which holds one batch of them. Rules are a parameter, a literal expression.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and
 is judged by its (host-less) template, as any other; ties between rules of one length can't disagree unless equal, then the
@@ -31,6 +31,7 @@ first listed wins; repeated pages count as often as they stand; an empty table g
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,29 +74,32 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return fits
 
 
-def leaf_of(path: Column, max_depth: int) -> Column:
-    """Segments of the path with digit runs as ``#``, cut to ``max_depth`` and ``**``."""
+def leaf_of(path: Column) -> Column:
+    """Segments of the path with digit runs as ``#``."""
     segs = F.split(F.regexp_replace(path, "[0-9]+", "#"), "/")
-    segs = F.when(path.startswith("/"), F.slice(segs, 2, 1_000_000)).otherwise(segs)
-    return F.when(F.size(segs) > max_depth, F.concat(F.slice(segs, 1, max_depth), F.array(F.lit("**")))).otherwise(segs)
+    return F.when(path.startswith("/"), F.slice(segs, 2, 1_000_000)).otherwise(segs)
 
 
 def _generalise(leaves: DataFrame, max_children: int) -> DataFrame:
-    """(host, leaf, template, n, good, bad): wildcards level by level."""
+    """(host, leaf, template, n, good, bad): wildcards level by level, while a branch has more than ``max_children`` leaves."""
     tree = stage(leaves.withColumn("template", F.col("leaf")), "url-tree")
-    depth = tree.agg(F.max(F.size("leaf"))).first()[0] or 0  # at most max_depth + 1
-    for d in range(depth):
+    for d in itertools.count():
         at = tree.where(F.size("template") > d).select(
             "host", F.slice("template", 1, d).alias("prefix"), F.get("template", F.lit(d)).alias("seg"))
-        wide = (at.distinct().groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("fan"))
-                .where(F.col("fan") > max_children).select(F.col("host").alias("h"), "prefix"))
+        open_ = stage(at.groupBy("host", "prefix", "seg").agg(F.count(F.lit(1)).alias("n"))
+                      .groupBy("host", "prefix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("fan"))
+                      .where(F.col("n") > max_children), "url-branches")
+        if not open_.limit(1).count():
+            return tree
+        wide = open_.where(F.col("fan") > max_children).select(F.col("host").alias("h"), "prefix")
+        if not wide.limit(1).count():
+            continue
         hit = F.col("h").isNotNull() & (F.size("template") > d)
         tree = stage(
             tree.withColumn("pre", F.slice("template", 1, d))
             .join(wide, (F.col("host") == F.col("h")) & (F.col("pre") == F.col("prefix")), "left")
             .withColumn("template", F.when(hit, F.transform("template", lambda x, i: F.when(i == d, F.lit("*")).otherwise(x)))
                         .otherwise(F.col("template"))).drop("h", "prefix", "pre"), "url-tree")
-    return tree
 
 
 def _fold(z: float):
@@ -126,7 +130,7 @@ def _merge(templates: DataFrame, z: float) -> DataFrame:
     """(host, template, shape, good, bad, branch): templates of one shape whose smoothed rate is within
     ``z`` standard errors of their branch's pooled rate share it."""
     t = templates.withColumn("shape", F.concat_ws("/", F.transform("template", lambda s: F.when(
-        s.contains("#") | s.isin("*", "**", ""), s).otherwise(F.lit("@")))))
+        s.contains("#") | s.isin("*", ""), s).otherwise(F.lit("@")))))
     t = t.select("host", "template", "shape", "good", "bad", ((F.col("bad") + 1) / (F.col("good") + F.col("bad") + 2)).alias("rate"))
     return t.repartition("host", "shape").sortWithinPartitions("host", "shape", "rate", "template").mapInArrow(
         _fold(z), "host string, template array<string>, shape string, good long, bad long, branch long")
@@ -146,12 +150,12 @@ def _parents(few: DataFrame, templates: DataFrame, min_labelled: int) -> DataFra
 
 
 def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, max_children: int = 8,
-               max_depth: int = 6, z: float = 2.0, k: float = 10.0, max_purity: float = 0.8,
+               z: float = 2.0, k: float = 10.0, max_purity: float = 0.8,
                min_labelled: int = 5) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) per page."""
     host, path = url_parts(F.col("url"))
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
-    p = p.withColumn("fits", rule_of(F.col("host"), F.col("path"), rules)).withColumn("leaf", leaf_of(F.col("path"), max_depth))
+    p = p.withColumn("fits", rule_of(F.col("host"), F.col("path"), rules)).withColumn("leaf", leaf_of(F.col("path")))
     if labels is None:
         labelled = p.withColumn("is_bad", F.col("fits.verdict") == "block")
     else:

@@ -269,6 +269,15 @@ def test_url_branches_are_not_bridged(spark):
     assert out["h/h/#"][0] == "block" and out["h/a/#"][0] == "allow"
 
 
+def test_url_branches_below_the_sixth_segment(spark):
+    deep = "http://h/a/b/c/d/e/f/"
+    out = judged_urls(spark, [(deep + "news/{}", 40, 0), (deep + "offer/{}", 40, 1), ("http://g/" + "x/" * 60 + "{}", 3, None)])
+    assert out["h/a/b/c/d/e/f/offer/#"][0] == "block" and out["h/a/b/c/d/e/f/news/#"][0] == "allow"
+    assert out["g/" + "x/" * 60 + "#"][0] == "allow"
+    wide = judged_urls(spark, [(f"{deep}user/{x}y/page", 4, 1) for x in "abcdefghijkl"] + [(deep + "news/{}", 40, 0)])
+    assert wide["h/a/b/c/d/e/f/user/*/page"][0] == "block"
+
+
 def test_url_templates_without_labels(spark):
     out = judged_urls(spark, [("http://h/de/{}", 100, 1), ("http://h/en/{}", 5, None), ("http://h/de/x/{}", 5, None),
                               ("http://g/fr/{}", 300, 0), ("http://i/en/{}", 5, None)])
