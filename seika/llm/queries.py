@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seika.llm import chat_tools, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_rules, suffix_dedup, url_filter, warc
+from seika.llm import (
+    chat_tools,
+    decontaminate,
+    divergence,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    packing,
+    pii,
+    quality_rules,
+    suffix_dedup,
+    token_align,
+    url_filter,
+    warc,
+)
 from seika.llm.common import documents, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +172,31 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """The best licence template of every document."""
     return license_scan.license_scan(documents(spark, sf_dir))
+
+
+def tokenizer_paths() -> token_align.Paths:
+    import public_tokenizers
+    return token_align.Paths(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_token_align")
+def op11(spark, sf_dir):
+    """All documents' tokens of two tokenizers aligned, links scored by corpus-wide counts."""
+    paths = tokenizer_paths()
+    out = token_align.score_documents(token_align.align_documents(documents(spark, sf_dir), paths, carry=["doc_id"]), paths)
+    sha = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    return out.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", sha.alias("groups_sha256"))
+
+
+@query("op12_pii")
+def op12(spark, sf_dir):
+    """Personal data in all documents."""
+    out = pii.find_personal_data(documents(spark, sf_dir), carry=["doc_id"])
+    counts = [pii.count_of(F.col("base"), k.name).alias(f"n_{k.name}") for k in pii.KINDS if k.base]
+    return out.select("row.doc_id", *counts, F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.col("spans")).alias("spans"))
+
+
+@query("op13_divergence", divergence.ORACLE)
+def op13(spark, sf_dir):
+    """Divergences of the sources of each language, and the terms that stand out in each source."""
+    return divergence.divergence(documents(spark, sf_dir))
