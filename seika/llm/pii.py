@@ -67,7 +67,7 @@ def mod97(code: Column) -> Column:
 
 
 def _ip(value: Column) -> Column:
-    small = lambda part: F.length(F.ltrim(F.lit("0"), part)) <= 3
+    small = lambda part: F.length(F.ltrim(part, F.lit("0"))) <= 3
     number = lambda part: F.right(part, F.lit(3)).cast("int") <= 255
     return F.forall(F.split(value, r"\."), lambda part: small(part) & number(part))
 
@@ -159,8 +159,11 @@ def _relative(chunk: Column) -> Column:
     return F.aggregate(chunk, start, step)
 
 
-def _add(acc: Column, x: Column) -> Column:
-    return F.concat(acc, F.array(F.element_at(acc, -1) + x["pos"]))
+def _moved(chunks: Column) -> Column:
+    """The chunks' matches with their starts in the text."""
+    offsets = F.aggregate(chunks, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["pos"])))
+    return F.flatten(F.zip_with(chunks, F.slice(offsets, 1, F.size(chunks)), lambda c, o: F.transform(c["out"], lambda x: F.struct(
+        (x["start"] + o).alias("start"), x["value"].alias("value"), x["near"].alias("near")))))
 
 
 def _spans(found: Column, kind: Kind, rank: int) -> Column:
@@ -182,19 +185,15 @@ def find_personal_data(docs: DataFrame, carry: list[str] | None = None, kinds: l
     (start, rank, end, kind, score) by start and kind, in code points; ``base`` are those of the base kinds."""
     names = [c for c in docs.columns if c != "text"] if carry is None else carry
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kept: list[str] = []
-    for rank, kind in enumerate(kinds):
-        need = F.contains("text", F.lit(_NEEDS[kind.name])) if kind.name in _NEEDS else F.lit(True)
-        own = own.withColumn("m", F.when(need, F.regexp_extract_all("text", F.lit(kind.pattern), F.lit(0))))
-        any_ = F.size("m") > 0
-        own = own.withColumn("gaps", F.when(any_, F.split("text", kind.pattern, -1)))
-        own = own.withColumn("items", F.when(any_, _items(F.col("m"), F.col("gaps"))))
-        own = own.withColumn("chunks", F.when(any_, F.transform(_chunks(F.col("items")), _relative)))
-        own = own.withColumn("offsets", F.when(any_, F.aggregate("chunks", F.array(F.lit(0).cast("long")), _add)))
-        found = F.flatten(F.transform("chunks", lambda c, i: F.transform(c["out"], lambda x: F.struct(
-            (x["start"] + F.get(F.col("offsets"), i)).alias("start"), x["value"].alias("value"), x["near"].alias("near")))))
-        own = own.withColumn(f"s{rank}", F.when(any_, _spans(found, kind, rank))).drop("m", "gaps", "items", "chunks", "offsets")
-        kept.append(f"s{rank}")
+    at = range(len(kinds))
+    some = lambda k, value: F.when(F.size(f"m{k}") > 0, value)
+    own = own.withColumns({f"m{k}": F.when(F.contains("text", F.lit(_NEEDS[x.name])) if x.name in _NEEDS else F.lit(True),
+                                           F.regexp_extract_all("text", F.lit(x.pattern), F.lit(0))) for k, x in enumerate(kinds)})
+    own = own.withColumns({f"gaps{k}": some(k, F.split("text", kinds[k].pattern, -1)) for k in at})
+    own = own.withColumns({f"items{k}": some(k, _items(F.col(f"m{k}"), F.col(f"gaps{k}"))) for k in at})
+    own = own.withColumns({f"chunks{k}": some(k, F.transform(_chunks(F.col(f"items{k}")), _relative)) for k in at})
+    own = own.withColumns({f"s{k}": some(k, _spans(_moved(F.col(f"chunks{k}")), kinds[k], k)) for k in at})
+    kept = [f"s{k}" for k in at]
     none = F.array().cast(_SPAN)
     joined = lambda which: F.sort_array(F.concat(*[F.coalesce(F.col(c), none).cast(_SPAN) for c in which])) if which else none
     base = [c for c, k in zip(kept, kinds, strict=True) if k.base]
