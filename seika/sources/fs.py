@@ -3,8 +3,31 @@ through the Hadoop client Spark already uses; never the driver's local disk."""
 
 from __future__ import annotations
 
+import re
+
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
+# Hadoop's names of stores that pyarrow opens under another one.
+_SAME_STORE = {"s3a": "s3", "s3n": "s3"}
+
+
+def scheme_of(path: str) -> str:
+    m = re.match(r"^([A-Za-z][A-Za-z0-9+.-]*):", path)
+    return m.group(1) if m else ""
+
+
+def open_in_task(path: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system of a URI or plain path, and the path inside it: for Python code in tasks.
+    ``OSError`` if there is no such file system."""
+    scheme = scheme_of(path)
+    if scheme in ("", "file"):
+        return pafs.LocalFileSystem(), re.sub(r"^file:(//)?", "", path)
+    try:
+        return pafs.FileSystem.from_uri(_SAME_STORE.get(scheme, scheme) + path[len(scheme):])
+    except ValueError as e:  # pyarrow knows no such scheme
+        raise OSError(f"no file system for {path}: {e}") from e
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
