@@ -34,9 +34,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_key(col) -> "F.Column":
-    """32-bit hash that tells rows of one doc_id with different texts apart."""
-    return F.hash(F.coalesce(col, F.lit("")))
+def row_keys(doc_id, text) -> list["F.Column"]:
+    """t0 and t1: 128 bits that name a row by its doc_id and text; equal rows have equal keys. A null text is an empty one, a null doc_id is none other."""
+    parts = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0).cast("long")), F.coalesce(text, F.lit("").cast("string")))
+    return [F.xxhash64(*parts).alias("t0"), F.xxhash64(F.lit("second"), *parts).alias("t1")]
 
 
 def texts_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,33 +10,40 @@ A word outside the windows' vocabulary can't be part of an occurrence, so only r
 as the shortest window are indexed. Windows of full length and shorter ones have an
 index each, so that one short item doesn't bring all its benchmark's words into the index.
 
-Scale: the documents are not shuffled. The benchmark goes to the tasks in blocks of
-at most ``block_bytes`` of text (all its windows, no sample); with more than one block the documents are read once for
-each and the spans are merged by document. A shard has at most ``shard_words`` words, or one document.
+Scale: the documents are read once and not shuffled. The benchmark is dealt into blocks of about
+``block_bytes`` of text (all its windows, no sample), or one item; tasks build each block's windows and write them
+to the shared folder, and the tasks that search read block after block from there for each shard, the
+last few staying in memory (``HELD_BYTES``). Only the block numbers pass through the driver. A shard has at most ``shard_words`` words, or one document.
 
 Defined cases: null or empty text has no words and is not contaminated; benchmark rows with null
 or wordless text have no windows; rows that share an item_id are one item; windows of a null item_id mark words but are
-not listed; repeated documents are judged row by row; an empty benchmark leaves every document clean.
+not listed; repeated documents are judged row by row, in the task that reads them; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seika.llm.common import text_key
 from seika.llm.fm_index import FMIndex
+from seika.session import checkpoint_dir
+from seika.sources.fs import open_in_task
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+HELD_BYTES = 64 << 20
 _WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD_TEXT = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -54,7 +61,7 @@ class Windows:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
         self.lengths = np.array([len(w) for w in windows], np.int64)
-        self.patterns = np.zeros((len(windows), int(self.lengths.max(initial=0))), np.int64)
+        self.patterns = np.zeros((len(windows), int(self.lengths.max(initial=0))), np.int32)
         for i, w in enumerate(windows):
             self.patterns[i, self.patterns.shape[1] - len(w):] = [self.vocabulary[x] for x in w]
         self.items = list(windows.values())
@@ -136,7 +143,71 @@ _FOUND = [T.StructField("n_words", T.LongType()),
           T.StructField("items", T.ArrayType(T.LongType()))]
 
 
-def _search(classes: list[Windows], shard_words: int):
+def _build(window: int):
+    def run(table: pa.Table) -> pa.Table:
+        classes = window_classes(list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True)), window)
+        rows = [pickle.dumps(classes)] if classes else []
+        return pa.table({"block": pa.array(table.column("block").to_pylist()[:len(rows)], pa.int32()), "windows": pa.array(rows, pa.large_binary()).cast(pa.binary())})
+    return run
+
+
+def stage_windows(benchmark: DataFrame, window: int, block_bytes: int) -> list[str]:
+    """Folders below the shared one with a block's windows each."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // block_bytes))
+    folder = f"{checkpoint_dir(benchmark.sparkSession).rstrip('/')}/seika-stage/windows-{uuid.uuid4().hex[:12]}"
+    dealt = bench.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    dealt.groupBy("block").applyInArrow(_build(window), "block int, windows binary").write.partitionBy("block").parquet(folder)
+    there = benchmark.sparkSession.read.schema("windows binary, block int").parquet(folder).select("block").distinct().collect()
+    return [f"{folder}/block={b}" for b in sorted(r["block"] for r in there)]
+
+
+_HELD: OrderedDict[str, tuple[int, list[Windows]]] = OrderedDict()
+
+
+def _windows_in(folder: str) -> list[Windows]:
+    """A block's windows; blocks used last stay in the worker up to HELD_BYTES."""
+    if folder not in _HELD:
+        fs, path = open_in_task(folder)
+        raw = [x for x in pq.read_table(path, filesystem=fs, columns=["windows"], partitioning=None).column("windows").to_pylist()]
+        size = sum(map(len, raw))
+        while _HELD and size + sum(n for n, _ in _HELD.values()) > HELD_BYTES:
+            _HELD.popitem(last=False)
+        _HELD[folder] = (size, [c for x in raw for c in pickle.loads(x)])
+    _HELD.move_to_end(folder)
+    return _HELD[folder][1]
+
+
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching spans as one, in order."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def find_in_blocks(texts: list[list[bytes]], folders: list[str]) -> tuple[list[list[tuple[int, int]]], list[list[int]]]:
+    """``find_in_shard`` over all blocks."""
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[int]] = [set() for _ in texts]
+    for folder in folders:
+        for i, (own, found) in enumerate(zip(*find_in_shard(texts, _windows_in(folder)), strict=True)):
+            spans[i] += own
+            items[i].update(found)
+    return [merge_spans(x) for x in spans], [sorted(x) for x in items]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = [T.StructField("n_words", T.LongType()),
+          T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+          T.StructField("items", T.ArrayType(T.LongType()))]
+
+
+def _search(folders: list[str], shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, lo, total = [], 0, 0
@@ -145,7 +216,7 @@ def _search(classes: list[Windows], shard_words: int):
                 texts.append(words_of(column[i].as_py() or b""))
                 total += len(texts[-1])
                 if total >= shard_words or i + 1 == b.num_rows:
-                    spans, items = find_in_shard(texts, classes)
+                    spans, items = find_in_blocks(texts, folders)
                     yield pa.record_batch([
                         b.column(0).slice(lo, len(texts)), pa.array([len(t) for t in texts], pa.int64()),
                         pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPANS),
@@ -154,47 +225,13 @@ def _search(classes: list[Windows], shard_words: int):
     return run
 
 
-def merge_spans(spans: Column) -> Column:
-    """Overlapping or touching spans as one, in order."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (x["start"] <= last["end"]),
-                      F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
-    return F.aggregate(F.sort_array(spans), empty, add)
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = WINDOW,
                        shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row, n_words, n_hit, spans, items, contaminated); ``row``: struct of the
     ``carry`` columns (all if not given), spans in words, items sorted as numbers."""
     names = docs.columns if carry is None else carry
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("binary").alias("text"),
-                       F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"))
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // block_bytes))
-
-    def scan(frame: DataFrame, block: int) -> DataFrame:
-        own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        classes = window_classes([(r["item_id"], bytes(r["text"])) for r in own.collect()], window)
-        return frame.mapInArrow(_search(classes, shard_words), T.StructType([frame.schema["row"], *_FOUND]))
-
-    if blocks == 1:
-        found = scan(rows.select("row", "text"), 0)
-    else:
-        keyed = rows.select(F.struct("id", "key").alias("row"), "text")
-        parts = scan(keyed, 0)
-        for i in range(1, blocks):
-            parts = parts.unionByName(scan(keyed, i))
-        merged = parts.groupBy("row.id", "row.key").agg(
-            F.max("n_words").alias("n_words"), merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = (rows.select("row", F.col("id").alias("i"), F.col("key").alias("k"))
-                 .join(merged, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")))
-                 .select("row", "n_words", "spans", "items"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("binary").alias("text"))
+    found = rows.mapInArrow(_search(stage_windows(benchmark, window, block_bytes), shard_words), T.StructType([rows.schema["row"], *_FOUND]))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return found.withColumn("n_hit", n_hit).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -69,7 +69,9 @@ def op1(spark, sf_dir):
 @query("op2_suffix_dedup")
 def op2(spark, sf_dir):
     """Suffix-array dedup of all documents' bytes."""
-    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+    left = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut inside a character leaves a replacement character here, not in the hash
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", left.alias("kept_text"))
 
 
 @query("op3_warc", warc.ORACLE)

@@ -21,13 +21,16 @@ KEY = LENGTH - SPREAD + 1 bytes from there lie inside both.
    among the batches, cover their bytes.
 4. The spans are joined to the documents and merged.
 
-Scale: about 2 / (SPREAD + 1) suffixes a byte are shuffled, 40 bytes each; only
-documents at whose edges a match ends are read a second time. The boundary rows are two a bucket.
-A bucket is held by one task; splitters are sampled in proportion to the partitions.
-
-Defined cases: null text is empty; texts under ``LENGTH`` bytes stay whole; a text is known by doc_id and a hash of
-itself, so rows that share a doc_id are kept apart and equal rows are copies
-of each other; null doc_ids take part. A very long text is cut into overlapping pieces.
+Scale: about 2 / (SPREAD + 1) suffixes a byte are shuffled, 40 bytes each. Texts without a mark never
+travel as long as at most ``BROADCAST_KEYS`` rows are marked (their 128-bit keys are broadcast then; beyond
+that all texts are joined); the same rule holds for the windows found twice and for the texts they stand in. A
+passage common to all documents is counted by partial sums. The boundary rows are two a bucket.
+A bucket is held by one task: there are as many as keep it at about ``BUCKET_ROWS`` rows, by the
+measured size of the texts; splitters are sampled in proportion.
+
+Defined cases: null text is empty; texts under ``LENGTH`` bytes stay whole; a row is known by 128 bits of doc_id and
+text, so rows that share a doc_id are kept apart and equal rows are copies
+of each other; null doc_ids take part. A very long text is cut into overlapping pieces. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,10 +41,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seika.llm.common import RollingHash, mix64, row_slices, text_key, texts_of
+from seika.llm.common import RollingHash, mix64, row_keys, row_slices, texts_of
 from seika.session import stage
 
 LENGTH, SPREAD, GRAM = 400, 128, 16
@@ -49,6 +52,10 @@ KEY = LENGTH - SPREAD + 1
 PIECE = 2 << 20
 # Rows of the splitter sample for each bucket.
 SAMPLE_A_BUCKET = 40
+# Suffixes of a bucket, at about 100 bytes each in the task that sorts it.
+BUCKET_ROWS = 2_000_000
+# Keys of 16 bytes that may be broadcast: about 40 MB in an executor.
+BROADCAST_KEYS = 500_000
 
 _A, _B = RollingHash(21), RollingHash(22)
 _POS_BITS = np.uint64(23)  # positions in a piece: PIECE + 2 * LENGTH < 2 ** 23
@@ -123,17 +130,15 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
 
 
 
-_TAIL = np.uint64(0x9E3779B97F4A7C15)
 _ORDER = ("k0", "k1", "context", "tail")
 
 
 def _anchor_rows(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, dict[str, np.ndarray]]]:
-    """(rows of the batch, columns) of the anchors of a batch (doc_id, key, text)."""
+    """(rows of the batch, columns) of the anchors of a batch (t0, t1, text)."""
     data, offsets = texts_of(b.column(2))
-    ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    keys = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    name = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     for row, pos, k0, k1, context, before, after in anchors_of(data, offsets):
-        tail = mix64(mix64(ids[row] ^ (keys[row] * _TAIL)) + pos.astype(np.uint64))
+        tail = mix64(mix64(name[row]) + pos.astype(np.uint64))
         yield pa.array(row), {"pos": pos, "k0": k0.view(np.int64), "k1": k1.view(np.int64), "context": context.view(np.int64),
                               "tail": tail.view(np.int64), "before": before.astype(np.int32), "after": after.astype(np.int32)}
 
@@ -157,7 +162,7 @@ def buckets_of(cols: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarra
     return out.astype(np.int32)
 
 
-_ANCHOR = "doc_id long, key int, pos long, k0 long, k1 long, context long, before int, after int, bucket int"
+_ANCHOR = "t0 long, t1 long, pos long, k0 long, k1 long, context long, before int, after int, bucket int"
 _ANCHOR_NAMES = [x.split()[0] for x in _ANCHOR.split(", ")]
 
 
@@ -170,11 +175,16 @@ def _emit(splitters: list[np.ndarray]):
     return run
 
 
-def splitters_of(own: DataFrame, buckets: int) -> list[np.ndarray]:
+def anchors_in(own: DataFrame) -> float:
+    """About how many anchors the texts have."""
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return max(1.0, 2.0 * size / (SPREAD + 1))
+
+
+def splitters_of(own: DataFrame, buckets: int, there: float) -> list[np.ndarray]:
     """Keys that cut the order into about equal buckets, from the anchors of
     sampled documents: about SAMPLE_A_BUCKET rows a bucket reach the driver."""
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    want, there = SAMPLE_A_BUCKET * buckets, max(1.0, 2.0 * size / (SPREAD + 1))
+    want = SAMPLE_A_BUCKET * buckets
     some = own.sample(fraction=min(1.0, 4 * want / there), seed=7)
     rows = some.mapInArrow(_sampled, ", ".join(f"{c} long" for c in _ORDER)).sample(fraction=min(1.0, max(0.25, want / there)), seed=8)
     got = rows.toPandas()
@@ -203,7 +213,7 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-_MARK = ("doc_id long, key int, pos long, before int, after int, covered boolean, asks boolean, bucket int, edge int, "
+_MARK = ("t0 long, t1 long, pos long, before int, after int, covered boolean, asks boolean, bucket int, edge int, "
          "k0 long, k1 long, context long")
 _MARK_NAMES = [x.split()[0] for x in _MARK.split(", ")]
 
@@ -234,15 +244,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = lambda name: rows.column(name).combine_chunks()
         inner = pa.array(edge[k] == 0)
         named = lambda name: pa.compute.if_else(inner, pa.scalar(None, pa.int64()), get(name))
-        yield pa.record_batch([get("doc_id"), get("key"), get("pos"), get("before"), get("after"), pa.array(covered[k]), pa.array(asks[k]),
+        yield pa.record_batch([get("t0"), get("t1"), get("pos"), get("before"), get("after"), pa.array(covered[k]), pa.array(asks[k]),
                                get("bucket"), pa.array(edge[k]), named("k0"), named("k1"), named("context")], _MARK_NAMES)
 
 
 def suffix_marks(own: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, key, pos, before, after, covered, asks) of the anchors that have
-    an equal; ``own``: doc_id, key, text."""
-    long = own.where(F.octet_length("text") >= LENGTH)
-    anchors = long.mapInArrow(_emit(splitters_of(long, buckets)), _ANCHOR)
+    """(t0, t1, pos, before, after, covered, asks) of the anchors that have
+    an equal; ``own``: t0, t1, text. ``buckets`` is the least number of buckets."""
+    long = own.where(F.octet_length("text") >= LENGTH).select("t0", "t1", "text")
+    there = anchors_in(long)
+    buckets = max(buckets, -int(-there // BUCKET_ROWS))
+    anchors = long.mapInArrow(_emit(splitters_of(long, buckets, there)), _ANCHOR)
     compared = stage(anchors.repartitionById(buckets, "bucket").mapInArrow(_compare, _MARK), "suffix-marks")
     # Two rows a bucket, however many suffixes there are: neighbours across the boundaries.
     w = Window.orderBy("bucket", F.col("edge") == 2)
@@ -253,7 +265,7 @@ def suffix_marks(own: DataFrame, buckets: int) -> DataFrame:
         ends = ends.withColumn(f"key_{there}", key).withColumn(f"con_{there}", key & (side("context").over(w) == F.col("context")))
     ends = ends.withColumn("covered", F.col("covered") | F.col("con_before") | F.col("con_after")).withColumn(
         "asks", F.col("asks") | (F.col("key_before") & ~F.col("con_before")) | (F.col("key_after") & ~F.col("con_after")))
-    names = ["doc_id", "key", "pos", "before", "after", "covered", "asks"]
+    names = ["t0", "t1", "pos", "before", "after", "covered", "asks"]
     return compared.where("edge = 0").select(*names).unionByName(ends.select(*names)).where("covered OR asks")
 
 
@@ -299,7 +311,8 @@ def windows_of(texts: pa.Array, asked: list[np.ndarray]) -> list[tuple[np.ndarra
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _RESULT = ("doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, "
            "kept_sha256 string, kept binary")
-_PASS = _RESULT + ", key int, open binary, starts array<long>, h0 array<long>, h1 array<long>, known array<boolean>"
+_RESULT_NAMES = [x.split()[0] for x in _RESULT.replace("start:long,end:long", "").split(", ")]
+_PASS = _RESULT + ", t0 long, t1 long, open binary, starts array<long>, h0 array<long>, h1 array<long>, known array<boolean>"
 
 
 def _result(ids: pa.Array, texts: list[bytes], spans: list[list[tuple[int, int]]], keep_text: bool) -> list[pa.Array]:
@@ -342,7 +355,7 @@ def _first_pass(keep_text: bool):
             lists = [pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), pa.array(x[send])) for x in (start, h0, h1, twice)]
             raw = [(t.as_py() or "").encode() for t in texts]
             columns = _result(b.column("doc_id"), raw, spans, keep_text)
-            yield pa.record_batch([*columns, b.column("key"), pa.array([t if i in waits else None for i, t in enumerate(raw)], pa.binary()), *lists], names)
+            yield pa.record_batch([*columns, b.column("t0"), b.column("t1"), pa.array([t if i in waits else None for i, t in enumerate(raw)], pa.binary()), *lists], names)
     return run
 
 
@@ -352,28 +365,51 @@ def _second_pass(keep_text: bool):
             texts = b.column("open").to_pylist()
             spans = [merge([(s["start"], s["end"]) for s in old] + [(x, x + LENGTH) for x in new or ()])
                      for old, new in zip(b.column("spans").to_pylist(), b.column("hits").to_pylist(), strict=True)]
-            yield pa.record_batch(_result(b.column("doc_id"), texts, spans, keep_text), [x.split()[0] for x in _RESULT.replace("start:long,end:long", "").split(", ")])
+            yield pa.record_batch(_result(b.column("doc_id"), texts, spans, keep_text), _RESULT_NAMES)
     return run
 
 
+def _unmarked(keep_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(t.as_py() or "").encode() for t in b.column("text")]
+            yield pa.record_batch(_result(b.column("doc_id"), texts, [[] for _ in texts], keep_text), _RESULT_NAMES)
+    return run
+
+
+def _meet(rows: DataFrame, found: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """(rows whose key ``found`` hasn't, the others with its ``columns``). Rows travel only if their key is found, or
+    if there are too many keys to broadcast: then all rows come with null columns for those without."""
+    found = found.select(*[F.col(k).alias(f"found_{k}") for k in keys], *columns)
+    on: Column = F.col(keys[0]) == F.col(f"found_{keys[0]}")
+    for k in keys[1:]:
+        on &= F.col(k) == F.col(f"found_{k}")
+    drop = [f"found_{k}" for k in keys]
+    if found.count() > BROADCAST_KEYS:
+        return None, rows.join(found, on, "left").drop(*drop)
+    few = F.broadcast(found.select(*drop))
+    return rows.join(few, on, "left_anti"), rows.join(few, on, "left_semi").join(found, on).drop(*drop)
+
+
 def suffix_dedup(docs: DataFrame, keep_text: bool = True, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept): spans in
     bytes; ``kept`` are the remaining bytes (null without ``keep_text``)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"),
-                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(doc_id.alias("doc_id"), *row_keys(doc_id, text), text.alias("text"))
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = (suffix_marks(own, buckets).groupBy("doc_id", "key")
-             .agg(F.collect_list(F.struct("pos", "before", "after", "covered", "asks")).alias("marks"))
-             .select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "marks"))
-    joined = own.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    done = stage(joined.select("doc_id", "key", "text", "marks").mapInArrow(_first_pass(keep_text), _PASS), "suffix-pass")
-    still = done.where("open IS NOT NULL")
-    windows = done.select("doc_id", "key", F.explode(F.arrays_zip("starts", "h0", "h1", "known")).alias("w")).select(
-        "doc_id", "key", F.col("w.starts").alias("start"), F.col("w.h0").alias("h0"), F.col("w.h1").alias("h1"), F.col("w.known").alias("known"))
-    # Equal windows meet once, each batch sending one of its equals.
-    counted = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h0", "h1")))
-    hits = (counted.where("n > 1 AND NOT known").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k"))
-            .agg(F.collect_set("start").alias("hits")))
-    late = (still.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-            .select("doc_id", "open", "spans", "hits").mapInArrow(_second_pass(keep_text), _RESULT))
-    return done.where("open IS NULL").select(*late.columns).unionByName(late)
+    marks = stage(suffix_marks(own, buckets).groupBy("t0", "t1")
+                  .agg(F.collect_list(F.struct("pos", "before", "after", "covered", "asks")).alias("marks")), "suffix-marked")
+    plain, marked = _meet(own, marks, ["t0", "t1"], ["marks"])
+    done = stage(marked.select("doc_id", "t0", "t1", "text", "marks").mapInArrow(_first_pass(keep_text), _PASS), "suffix-pass")
+    windows = done.select("t0", "t1", F.explode(F.arrays_zip("starts", "h0", "h1", "known")).alias("w")).select(
+        "t0", "t1", F.col("w.starts").alias("start"), F.col("w.h0").alias("h0"), F.col("w.h1").alias("h1"), F.col("w.known").alias("known"))
+    # Equal windows meet as counts, each batch sending one of its equals.
+    twice = stage(windows.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "suffix-twice")
+    _, equal = _meet(windows.where("NOT known"), twice.withColumn("twice", F.lit(True)), ["h0", "h1"], ["twice"])
+    hits = stage(equal.where("twice").groupBy("t0", "t1").agg(F.collect_set("start").alias("hits")), "suffix-hits")
+    rest, late = _meet(done.where("open IS NOT NULL"), hits, ["t0", "t1"], ["hits"])
+    late = late.select("doc_id", "open", "spans", "hits").mapInArrow(_second_pass(keep_text), _RESULT)
+    out = late.unionByName(done.where("open IS NULL").select(*late.columns))
+    for part in (rest, plain.select("doc_id", "text").mapInArrow(_unmarked(keep_text), _RESULT) if plain is not None else None):
+        out = out if part is None else out.unionByName(part.select(*late.columns))
+    return out

@@ -35,12 +35,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seika.session import checkpoint_dir
+from seika.sources.fs import open_in_task
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
@@ -49,10 +49,6 @@ MANIFEST = "file string, n_records long, n_bytes long, sha256 string"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -85,7 +81,7 @@ class _Roller:
     """Files of one task: temporary name, then rename."""
 
     def __init__(self, folder: str, task: int, attempt: str, roll_bytes: int):
-        self.fs, self.base = _fs(folder)
+        self.fs, self.base = open_in_task(folder)
         self.task, self.attempt, self.roll_bytes = task, attempt, roll_bytes
         self.number, self.out, self.done = 0, None, []
 
@@ -151,7 +147,7 @@ def write_warc(pages: DataFrame, folder: str, min_dedup_bytes: int = 0, roll_byt
                partitions: int | None = None) -> DataFrame:
     """Writes the archives and the manifest below ``folder``; returns the manifest."""
     spark = pages.sparkSession
-    fs, base = _fs(folder)
+    fs, base = open_in_task(folder)
     fs.create_dir(base, recursive=True)
     text = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(F.encode(text, "UTF-8")).alias("digest"),
@@ -208,7 +204,7 @@ def _reader(folder: str, payloads: bool):
                 number(head.get("x-refers-to-page-id")), payload if payloads and head["warc-type"] == "response" else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _fs(folder)
+        fs, base = open_in_task(folder)
         for b in batches:
             for name in b.column(0).to_pylist():
                 rows, size = [], 0
