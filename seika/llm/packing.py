@@ -24,7 +24,7 @@ often as they stand; null doc_ids are kept; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
+from array import array
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -61,15 +61,43 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-        split, apart = re.compile("[ \n]+").split, re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)").sub
-        # A full stop or comma between a letter and white space is a token of its own anyway.
-        self.split = lambda text: split(apart(r" \1", text))
-
-    def _learn(self, words: list[str]) -> None:
+        self._encode_words([".", ","])
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, words: list[str]) -> list[str]:
+        """Makes the words known; returns what else became known for it."""
+        # The tokenizer lower-cases, and a full stop or comma between a letter and white space is a token of its own.
+        made, stems = [], {}
+        for w in words:
+            stem = w[:-1] if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha() else w
+            low = stem.lower() if stem.isascii() else stem
+            if low != w:
+                made.append((w, low, w[len(stem):]))
+            if low not in self.known:
+                stems[low] = None
+        self._encode_words(list(stems))
+        known = self.known
+        for w, low, tail in made:
+            known[w] = known[low] + known[tail]
+        for w in words:
+            stems.pop(w, None)
+        return list(stems)
+
+    def _encode_words(self, words: list[str]) -> None:
         # A word of letters is one word of the tokenizer as well, but U+0130, which is lower-cased to a letter
         # and a mark, and what NFC changes: some letters (U+0958, U+FB1D, ...) become a letter and a mark too.
-        whole = {w: w.isalpha() and "\u0130" not in w and is_normalized("NFC", w) for w in words}
-        plain, other = [w for w in words if whole[w]], [w for w in words if not whole[w]]
+        plain, other = [], []
+        tokenize, known = self.tok.model.tokenize, self.known
+        for w in words:
+            if not w.isalpha():
+                other.append(w)
+            elif w.isascii() and w.islower():  # nothing to normalise or split
+                known[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
+            else:
+                (plain if "\u0130" not in w and is_normalized("NFC", w) else other).append(w)
         groups = [plain[i:i + 1000] for i in range(0, len(plain), 1000)]
         for own, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -90,8 +118,8 @@ class Encoder:
         self.known.update(zip(words, (raw[4 * x:4 * y] for x, y in zip(cut, cut[1:], strict=False)), strict=True))
 
     def _encode(self, parts: list[list[str]]) -> list[np.ndarray]:
-        new = sorted(set().union(*parts).difference(self.known))
-        self._learn(new)
+        new = list(set().union(*parts).difference(self.known))
+        new += self._learn(new)
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in parts]
         for w in new[max(0, CACHE - (len(self.known) - len(new))):]:
             del self.known[w]
