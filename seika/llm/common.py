@@ -40,6 +40,17 @@ def row_keys(doc_id, text) -> list["F.Column"]:
     return [F.xxhash64(*parts).alias("t0"), F.xxhash64(F.lit("second"), *parts).alias("t1")]
 
 
+# Rows of a small key table that may be broadcast, at up to BROADCAST_BYTES in all.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+
+
+def small_enough(rows: DataFrame, *texts: str) -> bool:
+    """Whether a (staged) table of keys may be broadcast: few rows, and few bytes in its string columns ``texts``."""
+    size = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts), F.lit(0))
+    n, there = rows.agg(F.count(F.lit(1)), size).first()
+    return n <= BROADCAST_ROWS and there <= BROADCAST_BYTES
+
+
 def texts_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets): text i is ``bytes[offsets[i]:offsets[i + 1]]``; null is empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -9,7 +9,8 @@ their lines only in the largest doc_id that holds them.
 Scale: a document sends each of its long keys once, as (hash, doc_id); the
 distinct count first spreads a hot key over (hash, doc_id) and then adds up
 partial counts, so no task sees all rows of a key. Only keys over the
-threshold are joined back, and the join's hot keys are split by AQE. Each
+threshold are joined back: by broadcast if they are few (``common.small_enough``), so that a
+hot key's rows stay where they are, else by a join whose hot keys AQE splits. Each
 document gets the hashes it must drop as one array, bounded by its own lines.
 
 Defined cases: a null or empty text is one empty line; documents with a null
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seika.llm.common import WHITE
+from seika.llm.common import WHITE, small_enough
 from seika.session import stage
 
 _STRIP = WHITE.encode()
@@ -80,8 +81,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: l
     document's columns (``carry``; all without the text if not given)."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pairs = stage(ids.mapInArrow(_long_keys(min_chars), "doc_id long, key binary"), "line-keys")
-    shared = (pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-              .where(F.col("n") >= min_docs).select("key", "keeper"))
+    shared = stage(pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+                   .where(F.col("n") >= min_docs).select("key", "keeper"), "line-shared")
+    if small_enough(shared):
+        shared = F.broadcast(shared)
     drops = (pairs.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
              .groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
              .select(F.col("doc_id").alias("drop_id"), "drop"))

@@ -8,7 +8,8 @@ shrunken rate passes ``max_host_rate`` reject all their documents.
 Scale: the measures are computed once, inside the row (array functions, no
 shuffle of words), and written to the shared folder; the host sums are partial
 aggregates, so a hot host costs one row per task; only rejected hosts are joined
-back to the documents. The trigram comparison uses 64-bit hashes within one
+back to the documents: by broadcast if they are few (``common.small_enough``), so that no document travels to its host's
+task, else by a join whose hot hosts Spark splits. The trigram comparison uses 64-bit hashes within one
 document.
 
 Defined cases: null or empty text has no words and fails; a null source is no
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seika.llm.common import WHITE
+from seika.llm.common import WHITE, small_enough
 from seika.session import stage
 
 SYMBOLS = "#*$%&|<>"
@@ -92,7 +93,9 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, max_host_rate
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), source.alias("source"), "text")
     measured = stage(measure(inner).drop("text"), "quality")
-    bad = host_rates(measured, max_host_rate).where("rejected").select(F.col("host").alias("bad_host"))
+    bad = stage(host_rates(measured, max_host_rate).where("rejected").select(F.col("host").alias("bad_host")), "quality-hosts")
+    if small_enough(bad, "bad_host"):
+        bad = F.broadcast(bad)
     judged = measured.join(bad, F.col("source") == F.col("bad_host"), "left")
     return (judged.withColumn("host_rejected", F.col("bad_host").isNotNull())
             .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("source", "bad_host"))
