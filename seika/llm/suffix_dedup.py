@@ -49,7 +49,7 @@ from seika.session import stage
 
 LENGTH, SPREAD, GRAM = 400, 128, 16
 KEY = LENGTH - SPREAD + 1
-PIECE = 2 << 20
+PIECE = 1 << 20
 # Rows of the splitter sample for each bucket.
 SAMPLE_A_BUCKET = 40
 # Suffixes of a bucket, at about 100 bytes each in the task that sorts it.
