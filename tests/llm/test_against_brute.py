@@ -74,7 +74,7 @@ def test_suffix_dedup_of_cut_texts_and_many_buckets(tables, monkeypatch):
     texts = [t for _, t in rows]
     data, offsets = suffix_dedup.texts_of(pa.array(texts))
     cut = sorted(itertools.chain.from_iterable(zip(r.tolist(), p.tolist(), k.tolist(), c.tolist(), strict=True) for r, p, k, _, c, _, _ in suffix_dedup.anchors_of(data, offsets)))
-    monkeypatch.setattr(suffix_dedup, "PIECE", 2 << 20)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 20)
     whole = sorted(itertools.chain.from_iterable(zip(r.tolist(), p.tolist(), k.tolist(), c.tolist(), strict=True) for r, p, k, _, c, _, _ in suffix_dedup.anchors_of(data, offsets)))
     assert cut == whole
 
