@@ -236,14 +236,17 @@ def upsert_grade_dimension(existing: DataFrame, rows: DataFrame, now: _dt.dateti
 
 
 def resolve_surrogate_keys(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Code -> id for the four dimensions (grade on its four columns).
-    Inner joins: a fact row whose key is unknown disappears, which the orphan
-    check (Q1) reports."""
+    """Code -> id for the four dimensions (grade on its four columns). A
+    fact row whose key no dimension holds is an error that names the dimension
+    and the key, when the result is computed; rows are never dropped."""
     out = fact
-    for kind in ("market", "item", "origin"):
-        code, _ = CODE_DIMS[kind]
-        out = out.join(dims[kind].select(F.col("id").alias(f"{kind}_id"), code), code, "inner")
-    out = out.join(dims["grade"].select(F.col("id").alias("grade_id"), *GRADE_KEY), GRADE_KEY, "inner")
+    keys = {kind: [CODE_DIMS[kind][0]] for kind in ("market", "item", "origin")} | {"grade": list(GRADE_KEY)}
+    for kind, key in keys.items():
+        found = F.col(f"_{kind}_id")
+        named = F.concat_ws(" / ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+        out = out.join(dims[kind].select(F.col("id").alias(f"_{kind}_id"), *key), key, "left")
+        out = out.withColumn(f"{kind}_id", F.when(found.isNotNull(), found).otherwise(
+            F.raise_error(F.concat(F.lit(f"no {kind} for key "), named)).cast(out.schema[f"_{kind}_id"].dataType))).drop(f"_{kind}_id")
     return out
 
 

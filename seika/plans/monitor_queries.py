@@ -123,7 +123,7 @@ ev AS (SELECT event_id, ts AS t, 1 AS delta FROM req
        UNION ALL
        SELECT event_id, ts + to_microseconds(CAST(round(seconds * 1000000) AS BIGINT)) AS t, -1 AS delta FROM req),
 s AS (SELECT *, sum(delta) OVER (ORDER BY t, delta, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x
-      FROM ev WHERE delta < 0 OR event_id % 50 <> 0)
+      FROM ev)
 SELECT event_id, t, delta,
   CAST(x - least(0, min(x) OVER (ORDER BY t, delta, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS BIGINT) AS inflight
 FROM s""",
@@ -186,10 +186,8 @@ def alert_rules(spark, sf_dir):
 
 @register("inflight_requests", ORACLE["inflight_requests"])
 def inflight_requests(spark, sf_dir):
-    """M8: in-flight request gauge after each start/end event of a log that
-    lacks the start of every 50th request (its end then resets the gauge)."""
-    events = M.request_events(_req(spark, sf_dir))
-    return M.gauge(events.where((F.col("delta") < 0) | (F.col("event_id") % 50 != 0)))
+    """M8: in-flight request gauge after each start and end event of the log."""
+    return M.inflight_requests(_req(spark, sf_dir))
 
 
 @register("status_class", ORACLE["status_class"])

@@ -1,3 +1,4 @@
+import decimal
 import os
 
 import duckdb
@@ -24,9 +25,10 @@ def test_some_queries_match_oracle(spark):
     for key in ("prices_trend_all", "summary_week", "rank_items_arrival", "http_request_counts", "portal_dates"):
         got = E.queries()[key](spark, SF)
         cols = got.columns
-        mine = sorted(tuple(str(r[c]) for c in sorted(cols)) for r in got.collect())
+        value = lambda x: f"{float(x):.6f}" if isinstance(x, (float, int, decimal.Decimal)) else str(x)
+        mine = sorted(tuple(value(r[c]) for c in sorted(cols)) for r in got.collect())
         cur = con.execute(E.oracle_sql()[key])
         ocols = [d[0] for d in cur.description]
-        theirs = sorted(tuple(str(r[ocols.index(c)]) for c in sorted(cols)) for r in cur.fetchall())
+        theirs = sorted(tuple(value(r[ocols.index(c)]) for c in sorted(cols)) for r in cur.fetchall())
         assert sorted(cols) == sorted(ocols), key
-        assert len(mine) == len(theirs), key
+        assert mine == theirs and mine, key

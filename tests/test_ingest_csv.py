@@ -260,3 +260,48 @@ def test_read_sjis_files(spark, tmp_dir):
         f.write("年,市場名\n2024,髙①㈱市場\n".encode("cp932"))
     got = read_sjis_files(spark, f"{tmp_dir}/raw", add_bom=True).collect()
     assert len(got) == 1 and got[0].text == "﻿年,市場名\n2024,髙①㈱市場\n"
+
+
+def test_headers_of_any_width_with_blank_cells_anywhere(spark, tmp_dir):
+    """63 names and a blank before the required ones; 70 cells with blanks at the end; 3,000 cells; a quoted separator and a line break in a header."""
+    from seika.sources import csv_files as C
+
+    root = f"{tmp_dir}/utf8"
+    wide = [f"x{i}" for i in range(63)] + [""] + H
+    many = [f"y{i}" for i in range(2980)] + H
+    odd = ['one, "two"', "three\nfour", "", *H, "", "", ""]
+    for name, header in (("a", wide), ("b", many), ("c", odd), ("d", H)):
+        lines = [",".join('"' + h.replace('"', '""') + '"' if any(c in h for c in ',"\n') else h for h in header),
+                 ",".join("" if h not in row() else '"' + row()[h] + '"' for h in header), ""]
+        write_csv(f"{root}/20240105/{name}.csv", None, None, raw="\n" + "\n".join(lines))
+    paths = [f"{root}/20240105/{n}.csv" for n in "abcd"]
+    assert C.header_width(spark, paths) >= 3000
+    res = ingest(spark, root)
+    assert [r.status for r in res.star.files.collect()] == ["success"] * 4
+    assert res.star.fact.count() == 4
+    records = C.read_records(spark, root, paths)
+    assert {r["file_path"][-5]: r["n"] for r in records.where("record_no = 1").selectExpr("file_path", "size(filter(fields, x -> trim(x) <> '')) AS n").collect()} == {
+        "a": 83, "b": 3000, "c": 22, "d": 20}
+
+
+def test_header_cells_are_counted_across_chunks():
+    import io
+
+    from seika.sources import csv_files as C
+
+    for text, n in ((b"a,b,c\nd\n", 3), (b"\n\r\n a,\n", 2), (b'"a\nb",c', 2), (b"", 1), (b"x" * 70000 + b"," * 9, 10), (b"a,b\r\nc", 2)):
+        for size in (1, 7, 1 << 16):
+            f = io.BytesIO(text)
+            assert C._header_cells(lambda _, f=f, size=size: f.read(size)) == n, (text[:20], size)
+
+
+def test_an_unresolved_key_is_an_error(spark):
+    import pytest
+
+    fact = spark.createDataFrame([("1", "10", "7", "A", "", "", "")], "market_code string, item_code string, origin_code string, grade string, class string, product_name string, unit_weight string")
+    dims = {k: spark.createDataFrame([(1, c)], f"id long, {k}_code string") for k, c in (("market", "1"), ("item", "10"), ("origin", "8"))}
+    dims["grade"] = spark.createDataFrame([(5, "A", "", "", "")], "id long, grade string, class string, product_name string, unit_weight string")
+    with pytest.raises(Exception, match="no origin for key 7"):
+        I.resolve_surrogate_keys(fact, dims).collect()
+    dims["origin"] = spark.createDataFrame([(3, "7")], "id long, origin_code string")
+    assert I.resolve_surrogate_keys(fact, dims).select("market_id", "item_id", "origin_id", "grade_id").first() == (1, 1, 3, 5)

@@ -31,6 +31,19 @@ def test_ingest_stream_two_arrivals(spark, tmp_dir):
     assert wh.read().runs.count() == 2 and wh.read().fact.count() == 3
 
 
+def test_ingest_stream_takes_files_that_the_file_source_passes_over(spark, tmp_dir):
+    landing, wh_root, ckpt = f"{tmp_dir}/utf8", f"{tmp_dir}/wh", f"{tmp_dir}/ckpt"
+    write_csv(f"{landing}/20240105/a.csv", H, [row()])
+    write_csv(f"{landing}/20240105/_c.csv", H, [row(中値="110")])
+    wh = CI.run_ingest_stream(spark, landing, wh_root, ckpt, now=dt.datetime(2024, 1, 5, 12))
+    # with a.csv in one run, as one date group
+    assert [(f.run_id, f.file_path) for f in wh.read().files.orderBy("file_path").collect()] == [(1, "20240105/_c.csv"), (1, "20240105/a.csv")]
+    write_csv(f"{landing}/_20240106/.d.csv", H, [row(日="6")])  # alone
+    wh = CI.run_ingest_stream(spark, landing, wh_root, ckpt, now=dt.datetime(2024, 1, 6, 12))
+    wh = CI.run_ingest_stream(spark, landing, wh_root, ckpt, now=dt.datetime(2024, 1, 7, 12))
+    assert wh.read().runs.count() == 2 and wh.read().fact.count() + wh.read().files.where("status = 'failed'").count() == 3
+
+
 def test_replayed_batch_keeps_one_run_and_failed_publish_keeps_the_old_state(spark, tmp_dir, monkeypatch):
     from seika.operators.ingest import ingest_files
     from seika.sources.warehouse import Warehouse
