@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seika.functions.http import normalize_path, status_class
-from seika.operators.numbering import running_sum
+from seika.operators.numbering import BLOCK_ROWS, running, with_rows_before
+from seika.session import stage
 
 # Histogram bucket bounds (seconds) and their labels ("%g").
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10]
@@ -148,19 +149,19 @@ def status_at_ticks(t: DataFrame, runs: DataFrame) -> DataFrame:
     started = runs.select(F.col("started_at").alias("at"), "id", F.lit("running").alias("s"), F.lit(0).alias("o"))
     ended = runs.where("finished_at IS NOT NULL").select(F.col("finished_at").alias("at"), "id", F.col("status").alias("s"), F.lit(1).alias("o"))
     ticks = t.select(F.col("tick_end").alias("at"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("s"), F.lit(2).alias("o"))
-    w = Window.orderBy("at", "o", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = started.unionByName(ended).unionByName(ticks).withColumn(
-        "newest", F.max(F.when(F.col("id").isNotNull(), F.struct("id", "o", "s"))).over(w))
+    # a tick's id is null; at equal times starts come first, then ends, then the tick
+    known = running(started.unionByName(ended).unionByName(ticks), ["at", "o", "id"],
+                    maxima={"newest": F.when(F.col("id").isNotNull(), F.struct("id", "o", "s"))})
     known = known.where("o = 2").select(F.col("at").alias("tick_end"), F.col("newest.s").alias("run_status"))
     return t.join(known, "tick_end").withColumn("run_status", F.coalesce("run_status", F.lit("unknown")))
 
 
 def snapshots_from_ticks(t: DataFrame, runs: DataFrame | None = None, tick: str = TICK) -> DataFrame:
-    """M5 from the tick table: running totals over all ticks (bucketed running
-    sum), the p95 bound of all latencies so far, readiness and run status."""
+    """M5 from the tick table: running totals over all ticks, the p95 bound of all latencies so far, readiness and run status."""
     sums = {"http_total": "n", "http_5xx": "n5xx", "db_errors_total": "ndb",
             **{f"_cum{i}": f"_le{i}" for i in range(len(BUCKETS))}}
-    t = running_sum(every_tick(t, tick), ["tick_end"], sums)
+    # the request log is aggregated once: the grid of ticks and the totals read the stored counts
+    t = running(every_tick(stage(t, "ticks"), tick), ["tick_end"], sums)
     cum = [F.col(f"_cum{i}") for i in range(len(BUCKETS))] + [F.col("http_total")]
     idx = _p95_from_cumulative(cum, F.col("http_total"))
     t = t.withColumn("run_status", F.lit("unknown")) if runs is None else status_at_ticks(t, runs)
@@ -207,17 +208,17 @@ def snapshot_deltas(snapshots: DataFrame, recent: int = RECENT_ROWS) -> DataFram
                                              F.col("delta_5xx") / F.col("delta_total")).otherwise(F.lit(0.0)))
 
 
-def alert_rules(snapshots: DataFrame) -> DataFrame:
+def alert_rules(snapshots: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """M7: per snapshot with a predecessor: 5xx rate (of unclamped deltas,
     0 unless requests grew, compared at 6 decimals) > 0.02; p95 > 800 ms; the 3
     newest samples all not ready; DB errors grew; latest run failed. Only
     snapshots with at least one alert are returned.
 
-    The lag and 3-row frames run in time order over the snapshot table: one row
-    per 5-minute tick (about 105k rows a year), whose size follows the time
-    span, not the request volume."""
+    The lag and 3-row frames look two rows back: blocks of consecutive snapshots
+    start with the last two of the block before, so no task orders the whole table."""
     s = snapshots.withColumn("_ts", F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    w = Window.orderBy("_ts")
+    s = with_rows_before(s, ["_ts"], READY_FAIL_CONSEC - 1, block_rows)
+    w = Window.partitionBy("_block").orderBy("_no")
     prev_total, prev_5xx, prev_db = (F.lag(c).over(w) for c in ("http_total", "http_5xx", "db_errors_total"))
     frame = w.rowsBetween(-(READY_FAIL_CONSEC - 1), 0)
     s = s.select("*", (F.col("http_total") - prev_total).alias("delta_total"),
@@ -225,7 +226,7 @@ def alert_rules(snapshots: DataFrame) -> DataFrame:
                  (F.col("db_errors_total") - prev_db).alias("delta_db_errors"),
                  F.sum(F.when(F.col("ready_ok") == 0, 1).otherwise(0)).over(frame).alias("_not_ready"),
                  F.count(F.lit(1)).over(frame).alias("_n"))
-    s = s.where(F.col("delta_total").isNotNull())
+    s = s.where(F.col("_own") & F.col("delta_total").isNotNull())
     rate = F.when(F.col("delta_total") > 0, F.round(F.col("delta_5xx") / F.col("delta_total"), 6)) \
             .otherwise(F.lit(0.0))
     alerts = F.array(
@@ -257,7 +258,7 @@ def gauge(events: DataFrame) -> DataFrame:
     """The gauge over (event_id, t, delta) events; at equal times ends come
     before starts. It is reset to 0 whenever it would fall below (an end whose
     start is missing) and goes on from there, as the reference's does: the
-    running sum minus its least value so far (0 at most). A bucketed running
-    sum and running minimum, so no single task orders the whole log."""
-    out = running_sum(events, ["t", "delta", "event_id"], {"inflight": "delta"}, minima={"_least": "inflight"})
+    running sum minus its least value so far (0 at most). Summed by time ranges,
+    so no single task orders the whole log."""
+    out = running(events, ["t", "delta", "event_id"], {"inflight": "delta"}, minima={"_least": "inflight"})
     return out.withColumn("inflight", (F.col("inflight") - F.least(F.lit(0), F.col("_least"))).cast("bigint")).drop("_least")

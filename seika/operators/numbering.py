@@ -1,145 +1,97 @@
-"""Exact sequential numbering without sending a whole group to one task.
+"""Exact sequential numbering and running totals without sending a whole group to one task.
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` puts every row of a group in
 one task; one hot group (a date holding a third of the data, say) then becomes
-one task. Here each row is first given a *bucket*: the position of its
-(g, k) key among bucket bounds taken from a small key sample, so a hot group
-is split over many buckets. Rows are numbered inside (group, bucket) by a
-window, and shifted by the row count of the group's earlier buckets, read
-from a count table of at most ``groups x buckets`` rows.
-
-Every step is a deterministic function of the row's key, so the two reads of
-the input (numbering and counting) agree whatever plan Spark picks for each,
-and a recomputed task after an executor loss gives the same numbers.
+one task. Here Spark range-partitions and sorts the rows by (g, k), so a hot group
+spans many ranges, and the result is written once with each row's place
+(``monotonically_increasing_id``: range number and position in the range). A
+row's number is its position past the group's first row in its range, shifted by
+the group's rows in earlier ranges.
+
+The totals by range are a small table: ranges are contiguous, so (group,
+range) pairs are at most ``groups + ranges``. Every size takes this one path;
+adaptive execution joins small ranges, so a small input has one. The places are
+stored before they are read, so a recomputed task can't disagree with them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MAX_BUCKETS = 1024
-SAMPLE_PER_BUCKET = 20
-# Inputs up to this many rows are numbered in one bucket (one bounded task per
-# group); larger inputs get sampled bucket bounds.
-ONE_BUCKET_ROWS = 50_000
-
-
-def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Index of the first bound greater than ``key`` (bounds sorted), as a
-    balanced CASE tree: log2(buckets) comparisons per row."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < bounds[mid], _bucket_expr(key, bounds, lo, mid)) \
-            .otherwise(_bucket_expr(key, bounds, mid + 1, hi))
-
-
-def _lit_as(v, dtype) -> Column:
-    """A literal of the column's exact type (timestamps go through text so no
-    time zone is applied)."""
-    if v is None:
-        return F.lit(None).cast(dtype)
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        return F.lit(v.isoformat(sep=" ")).cast(dtype)
-    return F.lit(v).cast(dtype)
-
-
-def _bound_literals(df: DataFrame, keys: list[str], bounds: list[tuple]) -> list[Column]:
-    types = {f.name: f.dataType for f in df.schema.fields}
-    return [F.struct(*[_lit_as(v, types[k]).alias(k) for k, v in zip(keys, b)]) for b in bounds]
-
-
-def bucket_bounds(df: DataFrame, keys: list[str], buckets: int, seed: int = 7,
-                  small_rows: int = ONE_BUCKET_ROWS) -> list[tuple]:
-    """About ``buckets - 1`` key tuples splitting ``df`` into equal ranges,
-    from a sample of ~20 keys per bucket (a bounded list on the driver)."""
-    kdf = df.select(*keys)
-    total = kdf.count()
-    if total <= small_rows or buckets <= 1:
-        return []
-    frac = min(1.0, SAMPLE_PER_BUCKET * buckets / total)
-    sample = [tuple(r) for r in kdf.sample(False, frac, seed).orderBy(*keys).collect()]
-    if not sample:
-        return []
-    step = max(1, len(sample) // buckets)
-    out = []
-    for i in range(step, len(sample), step):
-        if not out or sample[i] != out[-1]:
-            out.append(sample[i])
-    return out[: buckets - 1]
+
+from seika.session import stage
+
+RANGE_SHIFT = 33  # monotonically_increasing_id keeps the partition in the bits above
+BLOCK_ROWS = 20_000  # rows of one block of ``with_rows_before``: a task's share, not a limit
+
+
+def in_ranges(df: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` stored in contiguous key ranges (nulls first) with ``_range`` (number of the row's range) and
+    ``_at`` (ascending over the whole table). ``ranges`` fixes their number; else Spark's settings do."""
+    by = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    placed = by.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    return stage(placed, "ranges").withColumn("_range", F.shiftright("_at", RANGE_SHIFT))
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                out: str = "rn", start: int = 1, buckets: int | None = None,
-                small_rows: int = ONE_BUCKET_ROWS) -> DataFrame:
+                out: str = "rn", start: int = 1, ranges: int | None = None) -> DataFrame:
     """Add ``out`` = start + 0-based position of the row inside its group in
-    ``order_cols`` order. ``group_cols`` + ``order_cols`` must be unique and
-    non-null per row.
-
-    The count table (groups x buckets rows) is broadcast: callers number by a
-    group with a fixed bound (calendar dates, files of one batch, or no group).
-    """
-    spark = df.sparkSession
-    n = min(MAX_BUCKETS, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = [*group_cols, *order_cols]
-    bounds = bucket_bounds(df, keys, n, small_rows=small_rows)
-    if not bounds:
-        # small input (<= ONE_BUCKET_ROWS rows): a plain window, nothing to shift
-        w1 = Window.partitionBy(*group_cols).orderBy(*order_cols) if group_cols else Window.orderBy(*order_cols)
-        return df.withColumn(out, (F.row_number().over(w1) + F.lit(start - 1)).cast("bigint"))
-    key = F.struct(*[F.col(k) for k in keys])
-    lits = _bound_literals(df, keys, bounds)
-    b = df.withColumn("_b", _bucket_expr(key, lits, 0, len(lits)))
-    w = Window.partitionBy(*group_cols, "_b").orderBy(*order_cols)
-    local = b.withColumn("_r", F.row_number().over(w))
-    counts = b.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wo = Window.partitionBy(*group_cols).orderBy("_b") if group_cols else Window.orderBy("_b")
-    offsets = counts.withColumn("_off", F.sum("_n").over(wo) - F.col("_n")).drop("_n")
-    numbered = local.join(F.broadcast(offsets), on=[*group_cols, "_b"], how="inner")
-    return (numbered
-            .withColumn(out, (F.col("_off") + F.col("_r") + F.lit(start - 1)).cast("bigint"))
-            .drop("_b", "_r", "_off"))
-
-
-def running_sum(df: DataFrame, order_cols: list[str], values: dict[str, str],
-                buckets: int | None = None, small_rows: int = ONE_BUCKET_ROWS,
-                minima: dict[str, str] | None = None) -> DataFrame:
-    """``SUM(v) OVER (ORDER BY order_cols ROWS UNBOUNDED PRECEDING)`` for each
-    ``out: v`` in ``values``, over the whole frame without a single-partition
-    window: rows are bucketed by sampled key bounds, summed inside their
-    bucket, and shifted by the totals of all earlier buckets (a table of
-    ``buckets`` rows). ``order_cols`` must be unique and non-null per row.
-
-    ``minima`` (``out: o``) adds the running minimum of the running sum ``o``:
-    a bucket's minimum is its local one plus the bucket's offset."""
-    minima = minima or {}
-    spark = df.sparkSession
-    n = min(MAX_BUCKETS, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = bucket_bounds(df, order_cols, n, small_rows=small_rows)
-    if not bounds:
-        # small input (<= ONE_BUCKET_ROWS rows): a plain running window
-        w1 = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumns({o: F.sum(v).over(w1) for o, v in values.items()})
-        return out.withColumns({m: F.min(o).over(w1) for m, o in minima.items()}) if minima else out
-    key = F.struct(*[F.col(k) for k in order_cols])
-    lits = _bound_literals(df, order_cols, bounds)
-    b = df.withColumn("_b", _bucket_expr(key, lits, 0, len(lits)))
-    w = (Window.partitionBy("_b").orderBy(*order_cols)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = b.withColumns({f"_s_{o}": F.sum(v).over(w) for o, v in values.items()})
-    totals = b.groupBy("_b").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}")
-                                    for o in values])
-    out = local.join(F.broadcast(offsets), "_b")
-    out = out.withColumns({o: F.col(f"_o_{o}") + F.col(f"_s_{o}") for o in values})
+    ``order_cols`` order. Group columns must be non-null; rows with equal keys get
+    different numbers, in an order that is fixed when the ranges are stored.
+
+    The table of groups by range is broadcast: callers number by a group with a
+    fixed bound (calendar dates, files of one batch, or no group)."""
+    placed = in_ranges(df, [*group_cols, *order_cols], ranges)
+    counts = placed.groupBy(*group_cols, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*group_cols, "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return (placed.join(F.broadcast(shift), [*group_cols, "_range"])
+            .withColumn(out, (F.col("_at") + F.col("_shift") + F.lit(start)).cast("bigint"))
+            .select(*[c for c in df.columns if c != out], out))
+
+
+def running(df: DataFrame, order_cols: list[str], sums: dict[str, str] | None = None,
+            maxima: dict[str, Column] | None = None, minima: dict[str, str] | None = None,
+            ranges: int | None = None) -> DataFrame:
+    """Running totals over the whole table in ``order_cols`` order: ``out: column`` of
+    ``sums`` adds a running sum, of ``maxima`` the running maximum of an expression
+    (nulls passed over), and ``out: o`` of ``minima`` the running minimum of the
+    running sum ``o``. Summed within each range, then shifted by the totals of the
+    earlier ranges (one row a range). Rows with equal keys follow one another."""
+    sums, maxima, minima = sums or {}, maxima or {}, minima or {}
+    placed = in_ranges(df.withColumns({f"_x_{o}": c for o, c in maxima.items()}), order_cols, ranges)
+    here = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumns({**{f"_s_{o}": F.sum(v).over(here) for o, v in sums.items()},
+                                **{f"_h_{o}": F.max(f"_x_{o}").over(here) for o in maxima}})
     if minima:
-        inner = out.withColumns({f"_m_{m}": F.min(o).over(w) for m, o in minima.items()})
-        lows = inner.groupBy("_b").agg(*[F.min(o).alias(f"_l_{m}") for m, o in minima.items()])
-        lows = lows.select("_b", *[F.min(f"_l_{m}").over(before).alias(f"_p_{m}") for m in minima])
-        out = inner.join(F.broadcast(lows), "_b").withColumns(
-            {m: F.least(F.col(f"_m_{m}"), F.col(f"_p_{m}")) for m in minima})
-        out = out.drop(*[x for m in minima for x in (f"_m_{m}", f"_p_{m}")])
-    return out.drop("_b", *[f"_s_{o}" for o in values], *[f"_o_{o}" for o in values])
+        local = local.withColumns({f"_l_{m}": F.min(f"_s_{o}").over(here) for m, o in minima.items()})
+
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy("_range").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()],
+        *[F.max(f"_x_{o}").alias(f"_t_{o}") for o in maxima], *[F.min(f"_l_{m}").alias(f"_t_{m}") for m in minima])
+    before = totals.select("*", *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_b_{o}") for o in sums],
+                           *[F.max(f"_t_{o}").over(earlier).alias(f"_b_{o}") for o in maxima])
+    before = before.select("_range", *[f"_b_{o}" for o in (*sums, *maxima)],
+                           *[F.min(F.col(f"_t_{m}") + F.col(f"_b_{o}")).over(earlier).alias(f"_b_{m}") for m, o in minima.items()])
+    out = local.join(F.broadcast(before), "_range").withColumns(
+        {**{o: F.col(f"_b_{o}") + F.col(f"_s_{o}") for o in sums},
+         **{o: F.greatest(f"_b_{o}", f"_h_{o}") for o in maxima},
+         **{m: F.least(F.col(f"_b_{m}"), F.col(f"_b_{o}") + F.col(f"_l_{m}")) for m, o in minima.items()}})
+    added = [*sums, *maxima, *minima]
+    return out.select(*[c for c in df.columns if c not in added], *added)
+
+
+def with_rows_before(df: DataFrame, order_cols: list[str], rows: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """For frames that look at most ``rows`` rows back: numbers the rows (``_no``, from 0),
+    cuts them into blocks (``_block``) and repeats each block's last ``rows`` rows at the head
+    of the next one (``_own`` is false there). A window over ``_block`` ordered by ``_no``
+    then sees what a window over the whole table would; drop the rows that aren't ``_own`` after it."""
+    if not 0 <= rows <= block_rows:
+        raise ValueError("a block must hold the rows looked back at")
+    numbered = number_rows(df, [], order_cols, out="_no", start=0)
+    block = F.floor(F.col("_no") / block_rows)
+    last = F.col("_no") % block_rows >= block_rows - rows
+    return (numbered.withColumn("_home", block)
+            .withColumn("_block", F.explode(F.when(last, F.array(block, block + 1)).otherwise(F.array(block))))
+            .withColumn("_own", F.col("_block") == F.col("_home")).drop("_home"))

@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from seika.operators import monitor as M
+from seika.operators.numbering import running
 from seika.sources import portal as P
 
 PAGE = """<html><input type="hidden" name="s006.dataDate" value="20240105">
@@ -93,14 +95,49 @@ def test_gauge_resets_and_goes_on(spark):
     t = dt.datetime(2024, 1, 1)
     ev = [(i, t + dt.timedelta(seconds=i), d) for i, d in enumerate([-1, -1, 1, 1, -1, -1, -1, 1])]
     frame = spark.createDataFrame(ev, "event_id long, t timestamp_ntz, delta int")
-    for small in (50_000, 0):             # one bucket, and many
-        import seika.operators.numbering as N
-        out = N.running_sum(frame, ["t", "delta", "event_id"], {"x": "delta"}, small_rows=small, buckets=3, minima={"low": "x"})
+    for ranges in (1, 3, None):
+        out = running(frame, ["t", "delta", "event_id"], {"x": "delta"}, minima={"low": "x"}, ranges=ranges)
         got = [r.x - min(0, r.low) for r in out.orderBy("event_id").collect()]
         assert got == [0, 0, 1, 2, 1, 0, 0, 1]
     assert [r.inflight for r in M.gauge(frame).orderBy("event_id").collect()] == [0, 0, 1, 2, 1, 0, 0, 1]
 
 
+def test_alerts_of_small_blocks_equal_a_plain_loop(spark):
+    # mostly calm: most snapshots raise nothing
+    rnd = random.Random(2)
+    rows, total, bad, db = [], 0, 0, 0
+    for i in range(300):
+        calm = rnd.random() < 0.8
+        total, bad, db = total + rnd.choice([0, 50]), bad + (0 if calm else rnd.randint(0, 3)), db + (0 if calm else 1)
+        rows.append((f"2024-01-{1 + i // 144:02d}T{i // 6 % 24:02d}:{i % 6 * 10:02d}:00Z", 0 if 100 <= i < 105 or i % 40 == 7 else 1,
+                     total, bad, db, 900 if i % 50 == 3 else 100, "failed" if i % 70 == 9 else "success"))
+    snaps = spark.createDataFrame(rows, "timestamp string, ready_ok int, http_total long, http_5xx long, db_errors_total long, "
+                                        "http_p95_ms int, ingestion_latest_status string")
+    exp = {}
+    for i in range(1, len(rows)):
+        (_, _, t0, b0, d0, _, _), (ts, _, t1, b1, d1, p95, st) = rows[i - 1], rows[i]
+        rate = (b1 - b0) / (t1 - t0) if t1 > t0 else 0.0
+        found = [("5xx_rate_high", rate > 0.02), ("http_p95_high", p95 > 800),
+                 ("ready_failed_consecutive", i >= 2 and not any(r[1] for r in rows[i - 2:i + 1])),
+                 ("db_errors_increased", d1 > d0), ("ingestion_status_bad", st == "failed")]
+        if any(y for _, y in found):
+            exp[ts] = [n for n, y in found if y]
+    assert 20 < len(exp) < 150
+    for block_rows in (2, 5, 100_000):
+        assert {r.timestamp: list(r.alerts) for r in M.alert_rules(snaps, block_rows).collect()} == exp
+
+
+def test_no_task_takes_all_snapshots(spark):
+    t = dt.datetime(2024, 1, 1)
+    req = _req(spark, [(i, t + dt.timedelta(minutes=7 * i), "GET", "/", 500, 0.1) for i in range(9)])
+    runs = spark.createDataFrame([(1, t, None, "running")], "id long, started_at timestamp_ntz, finished_at timestamp_ntz, status string")
+    text = M.alert_rules(M.monitor_snapshots(req, runs))._jdf.queryExecution().executedPlan().toString()
+    lines = text.splitlines()
+    # one task sees only the totals of the ranges (one row each), never the snapshots
+    single = [i for i, line in enumerate(lines) if "SinglePartition" in line]
+    assert "_block" in text and single and all("HashAggregate(keys=[_range" in "".join(lines[i + 1:i + 3]) for i in single)
+
+
 def test_inflight(spark):
     t = dt.datetime(2024, 1, 1)
     req = _req(spark, [(1, t, "GET", "/", 200, 2.0), (2, t + dt.timedelta(seconds=1), "GET", "/", 200, 2.0),
