@@ -153,8 +153,10 @@ def prices_latest(star: Star, item_code, market_code=None, origin_code=None, sor
     """Rows on the latest trade date of an item (optionally market/origin),
     with ``total_count`` = rows on that date before paging.
 
-    The latest date and its row count come from one scalar subquery over the
-    filtered fact's per-date counts.
+    Of a stored warehouse the latest date is looked up newest month first
+    (``latest_date``), and the page and its total read only the months that hold
+    it. Of other tables the date and its row count come from one scalar
+    subquery over the filtered fact's per-date counts.
     """
     P.require(item_code=item_code)
     if any(P.text(v) for v in (date, from_, to)):
@@ -164,21 +166,43 @@ def prices_latest(star: Star, item_code, market_code=None, origin_code=None, sor
             P.validate_code(field, P.text(v))
     lim, off = P.parse_limit(limit, 100, 2000), P.parse_offset(offset)
     keys, _, _ = _page_order(sort, order)
-    fact = _code_filters(star.fact, item_code, market_code, origin_code)
-    # one scalar subquery: rows per date (one row per calendar date), then the
-    # newest date with its row count -> latest date and the total in one job
-    per_day = fact.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
-    last = per_day.agg(F.max_by(F.struct("trade_date", "n"), "trade_date").alias("l")).scalar()
-    on_latest = fact.where(F.col("trade_date") == last.getField("trade_date"))
+    codes = (item_code, market_code, origin_code)
+    if star.extra.get("months") is not None:
+        day = latest_date(star, *codes)
+        on_latest = _code_filters(fact_between(star, day, day) if day else star.fact, *codes).where(F.col("trade_date") == F.lit(day))
+        total = on_latest.agg(F.count(F.lit(1))).scalar()
+    else:
+        # one scalar subquery: rows per date (one row per calendar date), then the
+        # newest date with its row count -> latest date and the total in one job
+        fact = _code_filters(star.fact, *codes)
+        per_day = fact.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
+        last = per_day.agg(F.max_by(F.struct("trade_date", "n"), "trade_date").alias("l")).scalar()
+        on_latest = fact.where(F.col("trade_date") == last.getField("trade_date"))
+        total = last.getField("n")
     page = (on_latest.orderBy(*keys).offset(off).limit(lim)
-            .withColumn("total_count", last.getField("n")))
+            .withColumn("total_count", total))
     out = _daily_select(_with_names(page, star, bounded=True).orderBy(*keys))
     meta = P.result_meta(limit=lim, offset=off)
-    meta["latest_trade_date"] = lambda: _first(fact.agg(date_text(F.max("trade_date"))))
+    meta["latest_trade_date"] = lambda: _first(on_latest.agg(date_text(F.max("trade_date"))))
     meta["total"] = lambda: (_first(out.select("total_count").limit(1)) or 0)
     return out, meta
 
 
+def latest_date(star: Star, item_code=None, market_code=None, origin_code=None) -> _dt.date | None:
+    """The latest trade date of rows with these codes in a stored warehouse, newest month first: one month is
+    asked, then two more, four more and so on, until no month left could hold a later date. At most
+    log2(months) small jobs, mostly one; each reads the months' dates and codes alone."""
+    left = sorted(star.extra["months"].items(), key=lambda m: (m[1][1], m[0]), reverse=True)
+    best, step = None, 1
+    while left and (best is None or left[0][1][1] > best):
+        months, left = [m for m, (_, last) in left[:step] if best is None or last > best], left[step:]
+        found = _code_filters(star.fact.where(F.col("load_month").isin(months)), item_code, market_code, origin_code)
+        day = _first(found.agg(F.max("trade_date")))
+        best = max(filter(None, (best, day)), default=None)
+        step *= 2
+    return best
+
+
 def _first(df: DataFrame):
     r = df.take(1)
     return r[0][0] if r else None
@@ -357,10 +381,10 @@ def dimension_list(star: Star, kind: str, q=None, sort=None, order=None, limit=N
     if qq:
         dim = dim.where(like_search(code, name, qq))
     keys = [pg_order(s, o)] + ([F.col("id").asc()] if s != "id" else [])
-    page = dim.orderBy(*keys).offset(off).limit(lim).select(
+    total = P.SeenTotal(dim)
+    page = total.watch().orderBy(*keys).offset(off).limit(lim).select(
         "id", F.col(code).alias("code"), F.col(name).alias("name"))
-    meta = P.result_meta(limit=lim, offset=off)
-    meta["total"] = lambda: dim.count()
+    meta = P.result_meta(limit=lim, offset=off) | {"total": total}
     return page, meta
 
 
@@ -389,9 +413,9 @@ def coverage(star: Star):
 def ingestion_runs(star: Star, limit=None, offset=None):
     """Runs, newest id first, paged."""
     lim, off = P.parse_limit(limit, 50, 500), P.parse_offset(offset)
-    page = star.runs.orderBy(F.col("id").desc()).offset(off).limit(lim)
-    meta = P.result_meta(limit=lim, offset=off)
-    meta["total"] = lambda: star.runs.count()
+    total = P.SeenTotal(star.runs)
+    page = total.watch().orderBy(F.col("id").desc()).offset(off).limit(lim)
+    meta = P.result_meta(limit=lim, offset=off) | {"total": total}
     return page, meta
 
 
@@ -404,7 +428,7 @@ def ingestion_files(star: Star, run_id=None, limit=None, offset=None):
         if not s.lstrip("+").isdigit() or int(s) <= 0:
             raise ValueError("run_id: a number above 0 is needed")
         files = files.where(F.col("run_id") == int(s))
-    page = files.orderBy(F.col("id").desc()).offset(off).limit(lim)
-    meta = P.result_meta(limit=lim, offset=off)
-    meta["total"] = lambda: files.count()
+    total = P.SeenTotal(files)
+    page = total.watch().orderBy(F.col("id").desc()).offset(off).limit(lim)
+    meta = P.result_meta(limit=lim, offset=off) | {"total": total}
     return page, meta

@@ -89,13 +89,38 @@ FROM (SELECT * FROM fact WHERE item_code = '{ITEM}' AND trade_date >= DATE '{FRO
 {NAMES_JOIN}""")
 
 
-def prices_latest() -> str:
+# the item with the most rows on its latest date, and the (date, item) with the most markets
+BUSIEST_LATEST = """
+busiest AS (SELECT item_code FROM fact JOIN (SELECT item_code, max(trade_date) AS trade_date FROM fact GROUP BY 1) USING (item_code, trade_date)
+            GROUP BY 1 ORDER BY count(*) DESC, item_code LIMIT 1)"""
+BUSIEST_DAY = """
+busiest AS (SELECT trade_date, item_code FROM fact GROUP BY 1, 2
+            ORDER BY count(DISTINCT market_code) DESC, trade_date, item_code LIMIT 1)"""
+
+
+def prices_latest(item: str = f"'{ITEM}'", extra: str = "", limit: int = 100) -> str:
     return with_fact(f"""
 SELECT {DAILY_SELECT}, (SELECT count(*) FROM lt) AS total_count
-FROM (SELECT * FROM lt ORDER BY trade_date DESC NULLS FIRST, source_file, source_row_no LIMIT 100) f
-{NAMES_JOIN}""", f"""
-lt AS (SELECT * FROM fact WHERE item_code = '{ITEM}'
-         AND trade_date = (SELECT max(trade_date) FROM fact WHERE item_code = '{ITEM}'))""")
+FROM (SELECT * FROM lt ORDER BY trade_date DESC NULLS FIRST, source_file, source_row_no LIMIT {limit}) f
+{NAMES_JOIN}""", f"""{extra}
+lt AS (SELECT * FROM fact WHERE item_code = {item}
+         AND trade_date = (SELECT max(trade_date) FROM fact WHERE item_code = {item}))""")
+
+
+def result_meta_sql(ranked: int) -> str:
+    """The metadata of five results."""
+    return with_fact(f"""
+SELECT 'dimension_list' AS query, (SELECT count(*) FROM dim_item WHERE contains(lower(item_name), 'ring') OR contains(lower(item_code), 'ring')) AS total,
+  20 AS "limit", NULL AS latest_trade_date, NULL AS default_from, NULL AS default_window_days
+UNION ALL SELECT 'prices_latest', (SELECT count(*) FROM lt), 1, (SELECT strftime(max(trade_date), '%Y-%m-%d') FROM lt), NULL, NULL
+UNION ALL SELECT 'prices_trend', (SELECT count(DISTINCT trade_date) FROM fact WHERE item_code = '{ITEM}' AND price_mid_yen IS NOT NULL
+  AND trade_date BETWEEN DATE '{FROM}' AND DATE '{TO}'), NULL, NULL, NULL, NULL
+UNION ALL SELECT 'prices_summary', (SELECT count(DISTINCT item_code || strftime(trade_date, '%Y-%m')) FROM fact WHERE trade_date >= DATE '1998-11-30'),
+  NULL, NULL, '1998-11-30', 31
+UNION ALL SELECT 'rank_items', (SELECT least({ranked}, count(DISTINCT item_code)) FROM fact WHERE trade_date = DATE '{DATE}' AND arrival_ton IS NOT NULL),
+  {ranked}, NULL, NULL, NULL""", f"""{BUSIEST_LATEST},
+lt AS (SELECT f.* FROM fact f JOIN busiest USING (item_code)
+       WHERE trade_date = (SELECT max(trade_date) FROM fact WHERE item_code = (SELECT item_code FROM busiest)))""")
 
 
 def trend_sql(where: str, keys: str = "trade_date") -> str:
@@ -124,7 +149,7 @@ PERIODS = {
 }
 
 
-def compare_sql(metric: str, where: str, all_items: bool = False) -> str:
+def compare_sql(metric: str, where: str, all_items: bool = False, extra: str = "") -> str:
     val = "avg(price_mid_yen)" if metric == "price_mid" else "sum(arrival_ton)"
     sel = "f.item_code, " if all_items else ""
     return with_fact(f"""
@@ -132,7 +157,7 @@ SELECT {sel}f.market_code, m.market_name, f.rows_count, {r2('f.metric_value')} A
 FROM (SELECT {'item_code, ' if all_items else ''}market_code, count(*) AS rows_count,
              CAST({val} AS DOUBLE) AS metric_value
       FROM fact {where} GROUP BY ALL) f
-JOIN dim_market m ON m.market_code = f.market_code""")
+JOIN dim_market m ON m.market_code = f.market_code""", extra)
 
 
 def rank_sql(metric: str, where: str, limit: int, order: str = "DESC", per_date: bool = False) -> str:

@@ -10,7 +10,7 @@ import datetime as _dt
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seika.functions.dates import recent_from
@@ -153,3 +153,36 @@ def result_meta(**kv) -> dict:
 
 def resolve_meta(meta: dict) -> dict:
     return {k: (v() if callable(v) else v) for k, v in meta.items()}
+
+
+class SeenTotal:
+    """A total that is counted while the result's own action runs (``DataFrame.observe``): ``watch`` marks the rows
+    to count, ``seen`` gives their number after the action. Calling it counts them in a pass of its own."""
+
+    def __init__(self, df: DataFrame):
+        self._df, self._seen = df, Observation()
+
+    def watch(self) -> DataFrame:
+        return self._df.observe(self._seen, F.count(F.lit(1)).alias("n"))
+
+    def seen(self) -> int:
+        return self._seen.get["n"]
+
+    def __call__(self) -> int:
+        return self._df.count()
+
+
+def answer(result: DataFrame, meta: dict) -> tuple[list, dict]:
+    """The rows of a page or an aggregate (bounded by the query's own limit or its keys) and its metadata, by
+    one action: totals before paging are observed, other totals are the rows' number, and the latest
+    date and its total stand in the rows. Nothing is scanned a second time."""
+    rows = result.collect()
+    out = dict(meta)
+    for name, value in meta.items():
+        if isinstance(value, SeenTotal):
+            out[name] = value.seen()
+        elif name == "latest_trade_date":
+            out[name] = rows[0]["trade_date"] if rows else None
+        elif name == "total":
+            out[name] = len(rows) if "total_count" not in result.columns else rows[0]["total_count"] if rows else 0
+    return rows, out

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seika.operators import prices as R
 from seika.plans import oracle as O
+from seika.plans import params as P
 from seika.session import configure
 from seika.sources import testdata as TD
 
@@ -112,6 +114,40 @@ def prices_latest(spark, sf_dir):
     return R.prices_latest(_star(spark, sf_dir, True), ITEM)[0]
 
 
+def _busiest_latest(star) -> str | None:
+    """The item with the most rows on its latest date."""
+    per_day = star.fact.groupBy("item_code", "trade_date").agg(F.count(F.lit(1)).alias("n"))
+    last = per_day.groupBy("item_code").agg(F.max_by("n", "trade_date").alias("n"))
+    row = last.orderBy(F.col("n").desc(), "item_code").first()
+    return row and row.item_code
+
+
+@register("prices_latest_busiest", O.prices_latest("(SELECT item_code FROM busiest)", O.BUSIEST_LATEST + ","))
+def prices_latest_busiest(spark, sf_dir):
+    """R6 for the item with the most rows on its latest date: order and total of a page of several rows."""
+    star = _star(spark, sf_dir, True)
+    return R.prices_latest(star, _busiest_latest(star) or ITEM)[0]
+
+
+@register("result_meta", O.result_meta_sql(3))
+def result_meta(spark, sf_dir):
+    """The metadata of five results, each taken in the action that gives its rows."""
+    star = _star(spark, sf_dir, True)
+    results = {
+        "dimension_list": R.dimension_list(star, "item", q="ring", sort="code", order="asc", limit=20, offset=2),
+        "prices_latest": R.prices_latest(star, _busiest_latest(star) or ITEM, limit=1),
+        "prices_trend": R.prices_trend(star, ITEM, from_=FROM, to=TO, as_of=AS_OF),
+        "prices_summary": R.prices_summary(star, group_by="month", all_items=True, as_of=AS_OF),
+        "rank_items": R.rank_items(star, DATE, "arrival", limit=3),
+    }
+    names = ("total", "limit", "latest_trade_date", "default_from", "default_window_days")
+    rows = []
+    for query, (df, meta) in results.items():
+        found = P.answer(df, meta)[1]
+        rows.append((query, *[found.get(n) for n in names]))
+    return spark.createDataFrame(rows, "query string, total long, `limit` int, latest_trade_date string, default_from string, default_window_days int")
+
+
 _ON_DATE = f"WHERE trade_date = DATE '{O.DATE}'"
 
 
@@ -141,6 +177,21 @@ def compare_markets_arrival(spark, sf_dir):
     return R.compare_markets(_star(spark, sf_dir), DATE, ITEM, metric="arrival")[0]
 
 
+for _m in ("price_mid", "arrival"):
+    def _mk_compare(metric):
+        @register(f"compare_markets_busiest_{metric}",
+                  O.compare_sql(metric, "SEMI JOIN busiest USING (trade_date, item_code)", extra=O.BUSIEST_DAY))
+        def _q(spark, sf_dir):
+            """R10 for the date and item with the most markets."""
+            star = _star(spark, sf_dir)
+            row = (star.fact.groupBy("trade_date", "item_code").agg(F.count_distinct("market_code").alias("n"))
+                   .orderBy(F.col("n").desc(), "trade_date", "item_code").first())
+            date, item = (row.trade_date.isoformat(), row.item_code) if row else (DATE, ITEM)
+            return R.compare_markets(star, date, item, metric=metric)[0]
+        return _q
+    _mk_compare(_m)
+
+
 @register("rank_items_arrival", O.rank_sql("arrival", _ON_DATE, 5))
 def rank_items_arrival(spark, sf_dir):
     """Top 5 items by arrival on the fixed date."""
@@ -197,9 +248,6 @@ from seika.plans import stream_queries  # noqa: E402,F401
 def date_filter_default_window(spark, sf_dir):
     """With no date, from or to, the default window starts 31 days before
     as_of (S13); rows per item inside it."""
-    from pyspark.sql import functions as F
-
-    from seika.plans import params as P
     f = P.date_filter(as_of=AS_OF)
     st = _star(spark, sf_dir)
     return st.fact.where(f.predicate).groupBy("item_code").agg(F.count(F.lit(1)).alias("rows"))

@@ -7,6 +7,7 @@ import io
 from pyspark.sql import functions as F
 
 from seika.operators import prices as R
+from seika.plans import params as P
 from seika.sources.warehouse import Warehouse
 from tests.test_prices import star as make_star, f, D1, D2
 
@@ -84,3 +85,35 @@ def test_hot_month_is_split_over_files(spark, tmp_dir):
     version = wh.manifest()["months"]["202401"][0]
     files = [n for n in os.listdir(f"{tmp_dir}/wh/fact_prices_daily/v={version}/load_month=202401") if n.endswith(".parquet")]
     assert len(files) > 2 and wh.read().fact.count() == 40_000
+
+
+def test_latest_reads_the_months_that_hold_it(spark, tmp_dir):
+    months = [D1.replace(month=m) for m in range(1, 10)]
+    st = make_star(spark, [f(d, "M1", "I2", 50, "5.000", i + 2) for i, d in enumerate(months)]
+                   + [f(months[2], "M1", "I1", 100, "1.005", 20), f(months[2], "M2", "I1", 90, "3.000", 21), f(D1, "M2", "I1", 90, "3.000", 22)])
+    wh = Warehouse(spark, f"{tmp_dir}/wh")
+    wh.write_star(st)
+    stored_star = wh.read()
+    got, meta = R.prices_latest(stored_star, "I1")
+    rows = got.collect()
+    assert [(r.trade_date, r.market_code, r.total_count) for r in rows] == [
+        (r.trade_date, r.market_code, r.total_count) for r in R.prices_latest(st, "I1")[0].collect()]
+    assert len(rows) == 2 and rows[0].trade_date == months[2].isoformat()
+    p = plan(got)
+    first = (p.split("PartitionFilters: [", 1) + [""])[1].split("]", 1)[0]
+    assert "load_month" in first
+    assert R.latest_date(stored_star, "I1", "M2") == months[2] and R.latest_date(stored_star, "none") is None
+    assert R.prices_latest(stored_star, "none")[0].collect() == []
+    assert P.answer(got, meta)[1]["total"] == 2 and P.answer(got, meta)[1]["latest_trade_date"] == months[2].isoformat()
+
+
+def test_total_is_seen_in_the_action_of_the_page(spark, tmp_dir):
+    st = stored(spark, tmp_dir)
+    page, meta = R.dimension_list(st, "item", limit=1)
+    assert "CollectMetrics" in plan(page)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("page-with-total", "page")
+    rows, found = P.answer(page, meta)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rows) == 1 and found["total"] == 2 and len(jobs.getJobIdsForGroup("page-with-total")) == 1
+    assert P.resolve_meta(R.dimension_list(st, "item", limit=1)[1])["total"] == 2      # or counted on its own
