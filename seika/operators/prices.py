@@ -66,7 +66,7 @@ def _where(df: DataFrame, pred: Column | None) -> DataFrame:
 
 def fact_between(star: Star, lo: _dt.date | None = None, hi: _dt.date | None = None) -> DataFrame:
     """The fact table, of a stored warehouse only the months (partitions) whose
-    trade dates, by the manifest, reach into ``[lo, hi]``. The date predicate
+    trade dates, as stored, reach into ``[lo, hi]``. The date predicate
     itself stays the caller's."""
     months = star.extra.get("months")
     if months is None or (lo is None and hi is None):

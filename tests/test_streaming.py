@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from seika.operators import monitor as M
@@ -111,10 +112,10 @@ def test_replayed_batch_keeps_one_run_and_failed_publish_keeps_the_old_state(spa
     assert [(r.id, r.status) for r in st.runs.collect()] == [(1, "success")]
     assert [(r.id, r.run_id) for r in st.files.collect()] == [(1, 1)] and st.fact.count() == 2
     assert all(r.finished_at > r.started_at for r in st.runs.collect())
-    # a failure after the new fact was written, before the manifest
+    # a failure before the new fact is in place
     write_csv(f"{landing}/20240105/a.csv", H, [row(中値="1"), row(中値="2"), row(中値="3")])
     before = sorted(map(str, wh.read().fact.collect()))
-    monkeypatch.setattr(Warehouse, "_write_dims", lambda *a: 1 / 0)
+    monkeypatch.setattr(Warehouse, "_write_fact", lambda *a: 1 / 0)
     try:
         wh.publish(ingest_files(spark, landing, wh.read(), now=now), run_key="s-1")
     except ZeroDivisionError:
@@ -129,6 +130,30 @@ def test_replayed_batch_keeps_one_run_and_failed_publish_keeps_the_old_state(spa
     assert sorted((r.id, r.status) for r in st.runs.collect()) == [(1, "success"), (2, "success")]
 
 
+def test_a_write_that_fails_midway_leaves_all_months(spark, tmp_dir):
+    from seika.operators.ingest import ingest_files
+    from seika.sources.warehouse import FACT, Warehouse
+
+    landing, wh = f"{tmp_dir}/utf8", Warehouse(spark, f"{tmp_dir}/wh")
+    for month in (1, 2, 3):
+        write_csv(f"{landing}/20240{month}05/a.csv", H, [row(月=str(month)), row(月=str(month), 中値="110")])
+    wh.publish(ingest_files(spark, landing, None, now=dt.datetime(2024, 3, 5, 12)))
+    before = sorted(map(str, wh.read().fact.collect()))
+    assert len(before) == 6
+    bad = wh.read().fact.withColumn("weekday_ja", F.when(F.col("load_month") == "202403", F.raise_error(F.lit("lost"))).otherwise(F.lit("x")))
+    for write in (wh._write_fact, lambda f: wh._replace(FACT, f.repartitionByRange(3, "load_month"), "load_month")):
+        with pytest.raises(Exception, match="lost"):
+            write(bad)
+        assert sorted(map(str, wh.read().fact.collect())) == before
+    # dates of a month only widen: a corrected file can't put rows outside of them
+    write_csv(f"{landing}/20240105/a.csv", H, [row(月="4"), row(月="1")])
+    wh.publish(ingest_files(spark, landing, wh.read(), now=dt.datetime(2024, 4, 5, 12), only=[f"{landing}/20240105/a.csv"]))
+    st = wh.read()
+    assert st.extra["months"]["202401"] == (dt.date(2024, 1, 5), dt.date(2024, 4, 5))
+    assert st.extra["months"]["202402"] == (dt.date(2024, 2, 5), dt.date(2024, 2, 5))
+    assert st.fact.groupBy("load_month").count().count() == 3 and st.fact.count() == 6
+
+
 def test_snapshot_stream_matches_batch(spark, tmp_dir):
     t = dt.datetime(2024, 1, 1, 0, 0, 30)
     rows = [(i, t + dt.timedelta(minutes=2 * i), "GET", "/ready" if i % 3 == 0 else "/v1/items",
