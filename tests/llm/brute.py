@@ -113,3 +113,74 @@ def quality(rows):
         out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep),
                     len(w) < 50 or 100 * len(rep) > 50 * len(w)))
     return out
+
+
+def url_tree(pages, rules, labels=None, max_children=8, z=2.0, k=10.0, max_purity=0.8, min_labelled=5):
+    """{page_id: (host, path, rule, verdict, template, purity)} of (page_id, url) pages, by dictionaries and lists.
+    ``rules`` are (verdict, host, path); ``labels`` (page_id -> bad), else a rule's verdict is the label."""
+    seen = {}
+    for page_id, url in pages:
+        rest = (url or "").partition("://")[2]
+        cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host = lower(rest[:cut])
+        path = re.split("[?#]", rest[cut:])[0]
+        fits = [(v, h, p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+        leaf = re.sub("[0-9]+", "#", path).split("/")
+        seen[page_id] = (host, path, rule, tuple(leaf[1:] if path.startswith("/") else leaf))
+    bad_of = labels if labels is not None else {i: r[0] == "block" for i, (_, _, r, _) in seen.items() if r}
+    template = {(h, leaf): list(leaf) for h, _, _, leaf in seen.values()}
+    d = 0
+    while True:
+        below = defaultdict(list)
+        for (h, _), t in template.items():
+            if len(t) > d:
+                below[h, tuple(t[:d])].append(t)
+        if all(len(ts) <= max_children for ts in below.values()):
+            break
+        for ts in below.values():
+            if len({t[d] for t in ts}) > max_children:
+                for t in ts:
+                    t[d] = "*"
+        d += 1
+    count = {(h, tuple(t)): [0, 0] for (h, _), t in template.items()}
+    for i, (h, _, _, leaf) in seen.items():
+        if i in bad_of:
+            count[h, tuple(template[h, leaf])][bool(bad_of[i])] += 1
+    good, bad = (sum(c[j] for c in count.values()) for j in (0, 1))
+    prior = (bad + 0.5) / (good + bad + 1)
+    smooth = lambda g, b, to: (b + k * to) / (g + b + k)
+    judged, shapes = {}, defaultdict(list)
+    for (h, t), (g, b) in count.items():
+        if g + b >= min_labelled:
+            shapes[h, "/".join(s if "#" in s or s in ("*", "") else "@" for s in t)].append(((b + 1) / (g + b + 2), t, g, b))
+            continue
+        purity, inner = None, False
+        for level in range(max(len(t) - 1, 0), -1, -1):
+            pg, pb = (sum(c[j] for (h2, t2), c in count.items() if h2 == h and t2[:level] == t[:level] and len(t2) > level) for j in (0, 1))
+            if pg + pb >= min_labelled:
+                purity, inner = smooth(g, b, smooth(pg, pb, prior)), level > 0
+                break
+        purity = smooth(g, b, prior) if purity is None else purity
+        judged[h, t] = (purity, inner and purity >= max_purity)
+    for (h, _), members in shapes.items():
+        groups = []
+        for rate, t, g, b in sorted(members):
+            if groups:
+                bg, bb = (sum(m[j] for m in groups[-1]) for j in (1, 2))
+                pooled = (bb + 1) / (bg + bb + 2)
+                error = (pooled * (1 - pooled) / (bg + bb + 2) + rate * (1 - rate) / (g + b + 2)) ** 0.5
+            if groups and abs(rate - pooled) <= z * error:
+                groups[-1].append((t, g, b))
+            else:
+                groups.append([(t, g, b)])
+        for group in groups:
+            purity = smooth(sum(m[1] for m in group), sum(m[2] for m in group), prior)
+            judged.update({(h, t): (purity, purity >= max_purity) for t, _, _ in group})
+    out = {}
+    for i, (h, path, rule, leaf) in seen.items():
+        t = tuple(template[h, leaf])
+        purity, reject = judged[h, t]
+        verdict = rule[0] if rule else "block" if reject else "allow"
+        out[i] = (h, path, rule and rule[1] + rule[2], verdict, "/".join(t), purity)
+    return out

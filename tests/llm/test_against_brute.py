@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as E
-from seika.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules, suffix_dedup
+from seika.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules, queries, suffix_dedup, url_filter
 from seika.llm.common import prepare
 
 from . import brute
@@ -176,3 +176,35 @@ def test_quality_rules(tables, name):
     out = quality_rules.quality_rules(docs, carry=["doc_id"]).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got(out, *out.columns) == sorted(brute.quality(rows), key=str)
+
+
+def same_tree(out, expected):
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["template"]) for r in out}
+    assert got == {i: e[:5] for i, e in expected.items()}
+    assert all(abs(r["purity"] - expected[r["page_id"]][5]) < 1e-9 for r in out)
+
+
+def test_url_filter_of_the_given_pages(spark):
+    pages = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()]
+    rules = [(r.verdict, r.host, r.path) for r in queries.URL_RULES]
+    same_tree(E.queries()["op5_url_filter"](spark, SF).select("page_id", "host", "path", "rule", "verdict", "template", "purity").collect(),
+              brute.url_tree(pages, rules))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_filter_of_random_pages(spark, seed):
+    rng = random.Random(seed)
+    name = lambda n: rng.choice(["news", "offer", "user", "de", "fr", "a1", "É", "", "x-22"] + [f"p{chr(97 + i)}" for i in range(n)])
+    urls = [None, "no host", "http://h0", "http://h0/", "http://H0/?a/b", "a://b://c/d"]
+    urls += [f"http://{rng.choice(['h0', 'H1', 'h2.org', 'example.org'])}/" + "/".join([rng.choice(["news", "offer", "user", "de"]), *(name(3 * d) for d in range(rng.randrange(5)))])
+             + rng.choice(["", f"/{rng.randrange(99)}", "?q=/x", "#f"]) for _ in range(1200)]
+    pages = list(enumerate(urls))
+    # labels follow the path's first name, with some noise; many pages have none
+    labels = {i: ("/offer" in (u or "")) ^ (rng.random() < 0.04) for i, u in pages if rng.random() < 0.5}
+    rules = [url_filter.Rule("block", "example.org", "/de"), url_filter.Rule("allow", "org", "/")]
+    limits = dict(max_children=4, z=1.5, k=3.0, max_purity=0.7, min_labelled=4)
+    out = url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string"), rules,
+                                spark.createDataFrame([(i, int(b)) for i, b in labels.items()], "page_id long, bad int"), **limits).collect()
+    expected = brute.url_tree(pages, [(r.verdict, r.host, r.path) for r in rules], labels, **limits)
+    same_tree(out, expected)
+    assert {"block", "allow"} == {e[3] for e in expected.values() if e[2] is None} and any("*" in e[4] for e in expected.values())
