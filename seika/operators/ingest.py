@@ -367,7 +367,11 @@ def ingest_files(spark: SparkSession, root: str, existing: Star | None, run_type
     date_keys = {r.date_key for r in listed}
     if not listed:
         return None
-    records = C.read_records(spark, root, paths)
+    unparsable: list[str] = []
+    records = C.read_records(spark, root, paths, unparsable=unparsable)
+    if unparsable:
+        files = files.withColumn("read_error", F.when(F.col("abs_path").isin(unparsable), F.lit("read file: a record has too many fields"))
+                                 .otherwise(F.col("read_error")))
     maps = stage(C.header_maps(records), "header-maps")
     header_err = (files.join(maps.select("file_path", "missing"), "file_path", "inner")
                   .select("file_path", "date_key",

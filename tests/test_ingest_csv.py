@@ -126,6 +126,22 @@ def test_republish_is_idempotent_and_never_deletes(spark, tmp_dir):
     assert len(set(created.values())) == 1
 
 
+def test_a_file_with_an_overlong_record_fails_alone(spark, tmp_dir):
+    root = f"{tmp_dir}/utf8"
+    write_csv(f"{root}/20240105/a.csv", H, [row()])
+    write_csv(f"{root}/20240105/b.csv", H, [], raw=",".join(H) + "\n" + "," * 100_001 + "\n")
+    write_csv(f"{root}/20240106/_c.csv", H, [], raw=",".join(H) + "\n" + "," * 100_001 + "\n")
+    for day in range(7, 10):
+        write_csv(f"{root}/2024010{day}/a.csv", H, [row(日=str(day)), row(日=str(day), 中値="110")])
+    res = ingest(spark, root)
+    log = {r.file_path: (r.status, r.error, len(r.file_hash)) for r in res.file_log.collect()}
+    wide = ("failed", "read file: a record has too many fields", 64)
+    good = ("success", None, 64)
+    assert log == {"20240105/a.csv": good, "20240105/b.csv": wide, "20240106/_c.csv": wide,
+                   **{f"2024010{d}/a.csv": good for d in range(7, 10)}}
+    assert res.star.fact.count() == 7 and res.run.collect()[0].status == "partial_failed"
+
+
 def test_no_files_is_skipped(spark, tmp_dir):
     os.makedirs(f"{tmp_dir}/utf8/20240109", exist_ok=True)
     assert ingest(spark, f"{tmp_dir}/utf8") is None
