@@ -198,7 +198,9 @@ def _pairs(counts: DataFrame, dealt: DataFrame, groups: DataFrame, langs: DataFr
              .select("lang", "tblock", "i", "j", "gblock", "source", "total", "n_terms",
                      F.coalesce("cells", F.array().cast("array<struct<tid:long,n:long>>")).alias("cells")))
     partial = cells.groupBy("lang", "tblock", "i", "j").applyInArrow(_cell, "lang string, first string, second string, value long")
-    whole = partial.groupBy("lang", "first", "second").agg(F.sum("value").alias("value"))
+    # The rows of a cell come in any order, so a pair may stand either way round in the cells of different term blocks.
+    whole = partial.groupBy("lang", F.least("first", "second").alias("first"), F.greatest("first", "second").alias("second")).agg(
+        F.sum("value").alias("value"))
     both = whole.withColumn("side", F.explode(F.array(F.struct(F.col("first").alias("source"), F.col("second").alias("item")),
                                                      F.struct(F.col("second").alias("source"), F.col("first").alias("item")))))
     return _ranked(both.select("lang", "side.source", F.lit("pair").alias("part"), "side.item", "value"))

@@ -164,6 +164,17 @@ def test_divergence(spark, monkeypatch, groups, terms, pieces):
     assert divergence.divergence(docs.limit(0)).count() == 0
 
 
+def test_pairs_stand_either_way_round_in_a_cell(spark, monkeypatch):
+    """A shuffle gives the groups of a cell in any order, which may differ from one term block to the next."""
+    cell = divergence._cell
+    monkeypatch.setattr(divergence, "TERMS", 3)
+    monkeypatch.setattr(divergence, "_cell", lambda t: cell(t.take(list(range(t.num_rows))[::-1 if t.column("tblock")[0].as_py() % 2 else 1])))
+    rows = [("en", f"s{i % 4}", " ".join("abcdefghijklmnop"[i % 5:i % 13 + 3])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    got = [tuple(r) for r in divergence.divergence(docs, min_docs=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected_divergence(rows, 3)
+
+
 def test_shares_are_exact():
     import numpy as np
     n, total = np.array([0, 2, 7, 9 * 10**14, 123456789]), np.array([5, 3, 7, 9 * 10**15, 10**12])
