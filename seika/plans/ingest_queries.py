@@ -105,7 +105,7 @@ def status_rollup(spark, sf_dir):
 
 
 def _audit_star(spark, sf_dir) -> Star:
-    st = TD.star(spark, sf_dir, with_row_no=False)
+    st = TD.star(spark, sf_dir, with_row_no=False, dims=())
     st.runs, st.files = audit(spark, sf_dir)
     return st
 
@@ -133,15 +133,15 @@ def coverage(spark, sf_dir):
 
 # ------------------------------------------------------------------ upserts
 
+def _jan_1995_rows(spark, sf_dir) -> DataFrame:
+    return TD.price_rows(spark, sf_dir, with_row_no=False).where(F.col("trade_date") < F.lit(_dt.date(1995, 2, 1)))
+
+
 def _jan_1995_star(spark, sf_dir) -> Star:
     """The warehouse after loading January 1995 only (ids in code order)."""
-    st = TD.star(spark, sf_dir, with_row_no=True)
-    early = F.col("trade_date") < F.lit(_dt.date(1995, 2, 1))
-    rows = TD.price_rows(spark, sf_dir, with_row_no=False).where(early)
-    return Star(fact=st.fact, dim_market=TD._code_dim(rows, "market_code", "market_name"),
-                dim_item=TD._code_dim(rows, "item_code", "item_name"),
-                dim_origin=TD._code_dim(rows, "origin_code", "origin_name"),
-                dim_grade=TD._grade_dim(rows))
+    st = TD.star(spark, sf_dir, with_row_no=True, dims=())
+    rows = _jan_1995_rows(spark, sf_dir)
+    return Star(fact=st.fact, **{f"dim_{k}": TD.dimension(rows, k) for k in ("market", "item", "origin", "grade")})
 
 
 def resent_batch(spark, sf_dir) -> DataFrame:
@@ -155,8 +155,8 @@ for _kind in ("market", "item", "origin"):
         def _q(spark, sf_dir):
             """Upsert the re-sent batch's codes/names (all files) into a
             dimension holding January 1995's codes; newest row wins a name."""
-            st = _jan_1995_star(spark, sf_dir)
-            out = I.upsert_code_dimension(st.dim(kind), resent_batch(spark, sf_dir), kind, NOW)
+            old = TD.dimension(_jan_1995_rows(spark, sf_dir), kind)
+            out = I.upsert_code_dimension(old, resent_batch(spark, sf_dir), kind, NOW)
             return out.withColumn("updated", F.col("updated_at") == F.lit(NOW)).drop("created_at", "updated_at")
         return _q
     _mk(_kind)
@@ -165,8 +165,8 @@ for _kind in ("market", "item", "origin"):
 @register("dim_upsert_grade", O.grade_upsert_sql())
 def dim_upsert_grade(spark, sf_dir):
     """Upsert of the four-column grade key."""
-    st = _jan_1995_star(spark, sf_dir)
-    out = I.upsert_grade_dimension(st.dim_grade, resent_batch(spark, sf_dir), NOW)
+    old = TD.dimension(_jan_1995_rows(spark, sf_dir), "grade")
+    out = I.upsert_grade_dimension(old, resent_batch(spark, sf_dir), NOW)
     return out.withColumn("updated", F.col("updated_at") == F.lit(NOW)).drop("created_at", "updated_at")
 
 
@@ -175,7 +175,7 @@ def fact_upsert(spark, sf_dir):
     """Merge every re-sent file into the full fact table on
     (source_file, source_row_no); rejected rows of the re-send keep their old
     version, nothing is deleted."""
-    st = TD.star(spark, sf_dir, with_row_no=True)
+    st = TD.star(spark, sf_dir, with_row_no=True, dims=())
     incoming = I.fact_rows(resent_batch(spark, sf_dir), NOW)
     merged = I.merge_facts(st.fact, incoming)
     return _as_double(merged.withColumn("updated", F.col("updated_at") == F.lit(NOW))

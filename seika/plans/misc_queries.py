@@ -173,7 +173,7 @@ def duplicate_key_check(spark, sf_dir):
     """Q2: duplicated (source_file, source_row_no) after appending the re-sent
     rows without the upsert."""
     from seika.plans.ingest_queries import resent_batch
-    fact = TD.star(spark, sf_dir, with_row_no=True).fact.select("source_file", "source_row_no")
+    fact = TD.star(spark, sf_dir, with_row_no=True, dims=()).fact.select("source_file", "source_row_no")
     return Q.duplicate_keys(fact.unionByName(resent_batch(spark, sf_dir).select("source_file", "source_row_no")),
                             ["source_file", "source_row_no"])
 

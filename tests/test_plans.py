@@ -116,3 +116,24 @@ def test_total_is_seen_in_the_action_of_the_page(spark, tmp_dir):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(rows) == 1 and found["total"] == 2 and len(jobs.getJobIdsForGroup("page-with-total")) == 1
     assert P.resolve_meta(R.dimension_list(st, "item", limit=1)[1])["total"] == 2      # or counted on its own
+
+
+def test_a_dimension_reads_its_batch_once(spark):
+    """The batch of an upsert is aggregated once; names and ids are those of the newest rows."""
+    import datetime as dt
+
+    from seika.operators import ingest as I
+    from seika.sources import testdata as TD
+    rows = spark.createDataFrame([("M1", "old", "20240101", "f", 2), ("M1", "new", "20240102", "f", 2), ("M1", None, "20240102", "f", 1),
+                                  ("M2", "a", None, None, 9), ("M2", "b", "20230101", None, 2), ("M2", "b", "20230101", None, 3)],
+                                 "market_code string, market_name string, date_key string, source_file string, source_row_no int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    old = TD.dimension(rows.where("market_name = 'old'"), "market")
+    out = I.upsert_code_dimension(old, rows.mapInArrow(counted, rows.schema), "market", dt.datetime(2024, 1, 3))
+    assert sorted((r.id, r.market_code, r.market_name) for r in out.collect()) == [(1, "M1", "new"), (2, "M2", "b")]
+    assert seen.value == 6
