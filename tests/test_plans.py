@@ -118,6 +118,19 @@ def test_total_is_seen_in_the_action_of_the_page(spark, tmp_dir):
     assert P.resolve_meta(R.dimension_list(st, "item", limit=1)[1])["total"] == 2      # or counted on its own
 
 
+def test_a_filter_on_the_reason_does_not_parse_again(spark):
+    """accepted() and rejected() over parse_rows match each field's patterns as often as the parse alone."""
+    from seika.operators import ingest as I
+    from seika.schemas import REQUIRED_HEADERS
+    raw = spark.createDataFrame([("x",) * len(REQUIRED_HEADERS)] * 3, ", ".join(f"`{h}` string" for h in REQUIRED_HEADERS)).repartition(2)
+    parsed = I.parse_rows(raw)
+
+    def patterns(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    assert patterns(I.accepted(parsed)) <= patterns(parsed) and patterns(I.rejected(parsed)) <= patterns(parsed)
+    assert I.rejected(parsed).count() == 3 and I.accepted(parsed).count() == 0
+
+
 def test_a_dimension_reads_its_batch_once(spark):
     """The batch of an upsert is aggregated once; names and ids are those of the newest rows."""
     import datetime as dt
