@@ -124,6 +124,22 @@ def test_packing_of_words_that_the_normaliser_parts():
     assert [x.tolist() for x in fresh(["some words of text"])] == [x.tolist() for x in encode(["some words of text"])]
 
 
+def test_packing_looks_up_stems_and_no_punctuation():
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    words = ["stem", "Stem", "STEM,", "stem.", "stem...%%%", "stem\u00e9", "stem\u00e9,", "don't", "don't!", "stem'", "'s", "'s,", "''s", "U.S.", "u.s", "a1", "a1.",
+             "stem:/)]}>\"';,", ".", "...", "'", "<|endoftext|>", "x<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>,", "h\u0331", "H\u0331.", "J\u030c,", "\u0130,",
+             "\u0130.a", "a\u0338,", "=\u0338", "a=\u0338", "\u095c,", "a\u095c.", "\u03a3\u03a3.", "tab\there,", "tab\t,", "\u00a0,", "a\u00a0.", "\u0661.", "\U0001f600.", "a\0.", ""]
+    texts = [*words, " ".join(words), "\n".join(words), "", None, *(f"{v} {w}\n{w}{v}" for v in words for w in words)]
+    for _ in range(2):  # the second time all stems are known
+        for text, ids in zip(texts, encode(texts), strict=True):
+            assert ids.tolist() == [*encode.tok.encode(text or "", add_special_tokens=False).ids, 2], ascii(text)
+    fresh = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    list(fresh(["stem Stem STEM stem, Stem. STEM! stem?! stem... (stem)"]))
+    assert set(fresh.known) == {"", "stem", "(stem"}
+
+
 def test_hosts_are_rejected_together(spark):
     bad = [(i, "too short", "en", "spam", 1) for i in range(40)] + [(100, BODY, "en", "spam", 1)]
     good = [(200 + i, BODY + f" {i}", "en", f"s{i % 4}", 1) for i in range(40)]
