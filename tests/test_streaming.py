@@ -99,6 +99,39 @@ def test_a_running_stream_loads_a_folder_when_its_timer_runs_out(spark, tmp_dir)
     assert sorted((f.run_id, f.file_path) for f in st.files.collect()) == [(1, "20240105/a.csv"), (1, "20240105/b.csv")]
 
 
+def test_a_run_is_listed_while_its_status_is_replaced(spark, tmp_dir, monkeypatch):
+    from py4j.protocol import Py4JJavaError
+    from pyspark.sql import DataFrameReader
+
+    from seika.operators.ingest import ingest_files
+    from seika.sources.warehouse import Warehouse
+
+    class Gone(Py4JJavaError):
+        def __init__(self):
+            pass
+
+        def __str__(self):
+            return "java.io.FileNotFoundException: File ... does not exist"
+
+    landing, wh = f"{tmp_dir}/utf8", Warehouse(spark, f"{tmp_dir}/wh")
+    write_csv(f"{landing}/20240105/a.csv", H, [row()])
+    wh.publish(ingest_files(spark, landing, None, now=dt.datetime(2024, 1, 5, 12)), run_key="s-0")
+    runs = wh.read().runs
+    with pytest.raises(Exception, match="no status"):   # the job of the new status fails: the last one stays
+        wh._write_run(runs.withColumn("status", F.raise_error(F.lit("no status")).cast("string")), "s-0")
+    assert [r.status for r in wh.read().runs.collect()] == ["success"]
+    # a writer replaces the listed file before its schema is read: listed anew
+    real, left = DataFrameReader.parquet, [1]
+
+    def read(self, *paths, **options):
+        if "ingestion_runs" in paths[0] and left:
+            left.pop()
+            raise Gone
+        return real(self, *paths, **options)
+    monkeypatch.setattr(DataFrameReader, "parquet", read)
+    assert [r.status for r in wh.read().runs.collect()] == ["success"] and not left
+
+
 def test_replayed_batch_keeps_one_run_and_failed_publish_keeps_the_old_state(spark, tmp_dir, monkeypatch):
     from seika.operators.ingest import ingest_files
     from seika.sources.warehouse import Warehouse
