@@ -23,12 +23,13 @@ NOW = _dt.datetime(1999, 1, 2, 0, 0, 0)
 RUN_TYPE = "fixture_backfill"
 
 
-def parsed_batch(spark, sf_dir) -> DataFrame:
+def parsed_batch(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
     """The dirty text rows, landed (staged as a table in the shared checkpoint
     folder, as a file drop would be) and then parsed. Landing keeps the
-    rendering of the fixture out of the parse job's generated code."""
+    rendering of the fixture out of the parse job's generated code. ``rows``:
+    numbered price rows that the caller reads too."""
     from seika.session import stage
-    raw = TD.raw_rows(spark, sf_dir).withColumn("date_key", F.split("source_file", "/").getItem(0))
+    raw = TD.raw_rows(spark, sf_dir, rows).withColumn("date_key", F.split("source_file", "/").getItem(0))
     return I.parse_rows(stage(raw, "raw-rows"))
 
 
@@ -144,9 +145,9 @@ def _jan_1995_star(spark, sf_dir) -> Star:
     return Star(fact=st.fact, **{f"dim_{k}": TD.dimension(rows, k) for k in ("market", "item", "origin", "grade")})
 
 
-def resent_batch(spark, sf_dir) -> DataFrame:
+def resent_batch(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
     """Loadable rows of every file, re-sent as dirty text (the whole table)."""
-    return I.loadable(parsed_batch(spark, sf_dir), None, None)
+    return I.loadable(parsed_batch(spark, sf_dir, rows), None, None)
 
 
 for _kind in ("market", "item", "origin"):
@@ -175,8 +176,9 @@ def fact_upsert(spark, sf_dir):
     """Merge every re-sent file into the full fact table on
     (source_file, source_row_no); rejected rows of the re-send keep their old
     version, nothing is deleted."""
-    st = TD.star(spark, sf_dir, with_row_no=True, dims=())
-    incoming = I.fact_rows(resent_batch(spark, sf_dir), NOW)
+    rows = TD.price_rows(spark, sf_dir)  # the fact and the re-sent files are of the same rows
+    st = TD.star(spark, sf_dir, dims=(), rows=rows)
+    incoming = I.fact_rows(resent_batch(spark, sf_dir, rows), NOW)
     merged = I.merge_facts(st.fact, incoming)
     return _as_double(merged.withColumn("updated", F.col("updated_at") == F.lit(NOW))
                       .drop("ingested_at", "created_at", "updated_at"))

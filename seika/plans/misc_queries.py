@@ -173,8 +173,9 @@ def duplicate_key_check(spark, sf_dir):
     """Q2: duplicated (source_file, source_row_no) after appending the re-sent
     rows without the upsert."""
     from seika.plans.ingest_queries import resent_batch
-    fact = TD.star(spark, sf_dir, with_row_no=True, dims=()).fact.select("source_file", "source_row_no")
-    return Q.duplicate_keys(fact.unionByName(resent_batch(spark, sf_dir).select("source_file", "source_row_no")),
+    rows = TD.price_rows(spark, sf_dir)  # the fact and the re-sent files are of the same rows
+    fact = TD.star(spark, sf_dir, dims=(), rows=rows).fact.select("source_file", "source_row_no")
+    return Q.duplicate_keys(fact.unionByName(resent_batch(spark, sf_dir, rows).select("source_file", "source_row_no")),
                             ["source_file", "source_row_no"])
 
 
