@@ -20,11 +20,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seika.functions.parse import (checked_float, float_candidate, int32_overflow, int_candidate,
                                    nullable_number_text, parse_required_int, parse_trade_date,
                                    to_decimal_14_3)
-from seika.functions.text import blank_to_default, normalize_code, trim_unicode
+from seika.functions.text import blank_to_default, normalize_code, pack_texts, trim_unicode, unpack_texts
 from seika.operators.numbering import number_rows
 from seika.schemas import (CODE_DIMS, FACT_COLUMNS, Star, FILE_FAILED, FILE_PARTIAL, FILE_SUCCESS,
                            GRADE_KEY, MAX_LEN, REQUIRED_HEADERS, RUN_FAILED, RUN_PARTIAL,
@@ -289,15 +290,18 @@ def merge_facts(existing: DataFrame, incoming: DataFrame, partition_col: str | N
         in_batch = F.col(partition_col).isin(touched)
         rest = existing.where(~in_batch)
         existing = existing.where(in_batch)
-    # one full outer join: an incoming row replaces everything but created_at
-    values = [c for c in cols if c not in key]
-    old = existing.select(*key, F.struct(*values).alias("_old"))
-    new = incoming.select(*key, F.struct(*values).alias("_new"))
-    j = old.join(new, key, "full_outer")
+    # one full outer join: an incoming row replaces everything but created_at; texts travel as one
+    texts = [c for c in cols if c not in key and existing.schema[c].dataType == incoming.schema[c].dataType == T.StringType()]
+    values = [c for c in cols if c not in key and c not in texts]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*key, F.struct(*values, pack_texts(texts).alias("_texts")).alias(name))
+    j = side(existing, "_old").join(side(incoming, "_new"), key, "full_outer")
     out = j.select(*key, *[
         (F.coalesce(F.col("_old.created_at"), F.col("_new.created_at")) if c == "created_at" else
          F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}"))).alias(c)
-        for c in values]).select(*cols)
+        for c in (*values, "_texts")])
+    out = out.withColumn("_texts", unpack_texts("_texts")).withColumns({c: F.get("_texts", F.lit(i)) for i, c in enumerate(texts)}).select(*cols)
     return out if rest is None else rest.select(*cols).unionByName(out)
 
 

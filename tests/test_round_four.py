@@ -50,3 +50,29 @@ def test_numbered_rows_keep_texts_and_lose_what_is_dropped(spark):
     want = sorted(rows, key=order)
     assert [(r[0], r[1]) for r in got] == [(r[0], r[2]) for r in want]
     assert sorted(map(repr, (r[:4] for r in got))) == sorted(repr((r[0], *r[2:])) for r in rows)
+
+
+def facts(spark, rows, at):
+    texts = ("market_code", "item_code", "grade", "trend_label")
+    made = [(f, n, *t, p, at, at) for f, n, t, p in rows]
+    return spark.createDataFrame(made, "source_file string, source_row_no int, " + ", ".join(f"{c} string" for c in texts)
+                                 + ", price_mid_yen int, created_at timestamp, updated_at timestamp")
+
+
+def test_merged_facts_move_their_texts_as_one_and_keep_repeated_and_null_keys(spark):
+    rnd = random.Random(9)
+    key = lambda: (rnd.choice(["f1", "f2", "f3", None]), rnd.choice([1, 2, 3, 4, None]))
+    old_rows, new_rows = ([(*key(), tuple(rnd.choices(ODD, k=4)), rnd.choice([None, 5, 6])) for _ in range(n)] for n in (40, 12))
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    merged = I.merge_facts(facts(spark, old_rows, t0), facts(spark, new_rows, t1))
+    before = plan(merged)  # the first plan, not the adapted one
+    want = []
+    same = lambda a, b: None not in a[:2] and a[:2] == b[:2]
+    for o in old_rows:
+        hits = [n for n in new_rows if same(o, n)]
+        want += [(*n[:2], *n[2], n[3], t0, t1) for n in hits] or [(*o[:2], *o[2], o[3], t0, t0)]
+    want += [(*n[:2], *n[2], n[3], t1, t1) for n in new_rows if not any(same(o, n) for o in old_rows)]
+    assert sorted(map(repr, map(tuple, merged.collect()))) == sorted(map(repr, want))
+    sides = [x for x in before.splitlines() if " AS _old#" in x or " AS _new#" in x]
+    assert before.count("Exchange hashpartitioning") == len(sides) == 2
+    assert all("_texts" in x and "market_code, market_code" not in x for x in sides)
