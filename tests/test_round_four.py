@@ -1,6 +1,7 @@
 """What the jobs move and how often: texts that travel as one, rows that are numbered once."""
 
 import datetime as dt
+import glob
 import random
 
 import pytest
@@ -76,3 +77,46 @@ def test_merged_facts_move_their_texts_as_one_and_keep_repeated_and_null_keys(sp
     sides = [x for x in before.splitlines() if " AS _old#" in x or " AS _new#" in x]
     assert before.count("Exchange hashpartitioning") == len(sides) == 2
     assert all("_texts" in x and "market_code, market_code" not in x for x in sides)
+
+
+def land(folder, rows, files):
+    """Daily files of as many rows; every file names the codes otherwise."""
+    import os
+    from seika.schemas import REQUIRED_HEADERS
+    for path in files:
+        os.makedirs(os.path.dirname(f"{folder}/{path}"), exist_ok=True)
+        with open(f"{folder}/{path}", "w", encoding="utf-8") as f:
+            f.write(",".join(REQUIRED_HEADERS) + "\n")
+            for i in range(rows):
+                row = {"年": "2024", "月": "1", "日": "8", "市場コード": f"M{i % 3}", "市場名": f"m {path} {i}", "品目コード": "I1", "品目名": f"i {path}", "中値": "10"}
+                f.write(",".join(row.get(h, "") for h in REQUIRED_HEADERS) + "\n")
+    return folder
+
+
+# "20240108 b/" sorts before "20240108/" as a path, but after it as a date group
+FILES = ["20240108/a.csv", "20240108/z.csv", "20240108 b/a.csv", "20240107/100%+ é.csv", "20240107/_x.csv"]
+
+
+def test_paths_are_decoded_once_a_file(spark, tmp_dir):
+    from seika.sources import csv_files as C
+    root = land(f"{tmp_dir}/in", 5, FILES)
+    recs = C.read_records(spark, root, [f"{root}/{f}" for f in FILES])
+    assert "decode(" not in plan(recs).lower()
+    got = {}
+    for r in recs.collect():
+        got.setdefault(r.file_path, set()).add(r.record_no)
+    assert got == {f: set(range(1, 7)) for f in FILES}
+
+
+def test_the_other_landed_files_are_made_of_the_days_files(spark, tmp_dir, monkeypatch):
+    sf = tables(spark, f"{tmp_dir}/t")
+    joined = []
+    real = TD._named
+    monkeypatch.setattr(TD, "_named", lambda *a: joined.append(1) or real(*a))
+    root = TD.landing_csv(spark, sf)
+    assert len(joined) == 1
+    texts = [open(f, encoding="utf-8").read().splitlines() for f in glob.glob(f"{root}/d=20240113/*.csv")]
+    other, day = sorted(texts, key=lambda t: t[0].startswith("動向"))
+    remark = ',"a ""quoted"" remark, with \\"'
+    want = [",".join(reversed(line.split(",")[1:])) for line in day]  # the columns turned round, without 動向
+    assert other == [want[0] + ",備考", *[line + remark for line in want[1:]]] and any(',"",' in line for line in other)
