@@ -97,6 +97,21 @@ def land(folder, rows, files):
 FILES = ["20240108/a.csv", "20240108/z.csv", "20240108 b/a.csv", "20240107/100%+ é.csv", "20240107/_x.csv"]
 
 
+def test_the_newest_name_wins_by_date_group_file_and_row_and_names_are_found_without_files(spark, tmp_dir, monkeypatch):
+    plans = []
+    real = I.batch_names
+    monkeypatch.setattr(I, "batch_names", lambda *a, **k: plans.append(plan(d := real(*a, **k))) or d)
+    res = I.ingest_files(spark, land(f"{tmp_dir}/in", 7, FILES), None, now=dt.datetime(2024, 2, 1))
+    names = {r.market_code: r.market_name for r in res.star.dim_market.collect()}
+    assert names == {"M0": "m20240108b/a.csv6", "M1": "m20240108b/a.csv4", "M2": "m20240108b/a.csv5"}
+    assert [r.item_name for r in res.star.dim_item.collect()] == ["i20240108b/a.csv"]
+    assert len(plans) == 3 and not any("hashpartitioning" in x and "source_file" in line for x in plans for line in x.splitlines() if "Exchange" in line)
+    log = {r.file_path: (r.status, r.rows_ok) for r in res.file_log.collect()}
+    assert log == {f: ("success", 7) for f in FILES}
+    by_month = {(r.source_file, r.load_month): r["count"] for r in res.star.fact.groupBy("source_file", "load_month").count().collect()}
+    assert by_month == {(f, "202401" if " b" not in f else "unknown"): 7 for f in FILES}
+
+
 def test_paths_are_decoded_once_a_file(spark, tmp_dir):
     from seika.sources import csv_files as C
     root = land(f"{tmp_dir}/in", 5, FILES)
