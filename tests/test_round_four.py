@@ -112,6 +112,19 @@ def test_the_newest_name_wins_by_date_group_file_and_row_and_names_are_found_wit
     assert by_month == {(f, "202401" if " b" not in f else "unknown"): 7 for f in FILES}
 
 
+def test_a_first_run_publishes_its_rows_without_a_merged_copy(spark, tmp_dir, monkeypatch):
+    from seika.sources import warehouse
+    stored = []
+    real = warehouse.stage
+    monkeypatch.setattr(warehouse, "stage", lambda df, name="stage": stored.append(name) or real(df, name))
+    wh = warehouse.Warehouse(spark, f"{tmp_dir}/wh")
+    root = land(f"{tmp_dir}/in", 5, FILES[:2])
+    wh.publish(I.ingest_files(spark, root, None, now=dt.datetime(2024, 2, 1)))
+    assert "merged-months" not in stored and wh.read().fact.count() == 10
+    wh.publish(I.ingest_files(spark, land(f"{tmp_dir}/in", 6, FILES[1:2]), wh.read(), now=dt.datetime(2024, 2, 2)))
+    assert stored.count("merged-months") == 1 and wh.read().fact.count() == 11
+
+
 def test_paths_are_decoded_once_a_file(spark, tmp_dir):
     from seika.sources import csv_files as C
     root = land(f"{tmp_dir}/in", 5, FILES)
@@ -135,3 +148,11 @@ def test_the_other_landed_files_are_made_of_the_days_files(spark, tmp_dir, monke
     remark = ',"a ""quoted"" remark, with \\"'
     want = [",".join(reversed(line.split(",")[1:])) for line in day]  # the columns turned round, without 動向
     assert other == [want[0] + ",備考", *[line + remark for line in want[1:]]] and any(',"",' in line for line in other)
+
+
+def test_every_white_space_is_trimmed(spark):
+    from seika.functions.text import UNICODE_SPACES, trim_unicode
+    cores = ["", "x", "x y", "～", "、", "⁠x", "\x00", "\x7f", "é", "﻿x", "　x　y", "\x1f", "!", "~"]
+    rows = [(a + c + b, c.strip(UNICODE_SPACES)) for c in cores for a in ("", *UNICODE_SPACES) for b in ("", *UNICODE_SPACES, " 　\x85")]
+    out = spark.createDataFrame(rows, "t string, want string").select(trim_unicode("t").alias("got"), "want").collect()
+    assert [r for r in out if r.got != r.want] == []
